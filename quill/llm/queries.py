@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, vector_topk
-from .common import table
+from . import chat_format, exact_dedup, language_id, near_dup, quality, token_output, vector_topk
+from .common import shared_path, table
 from .suffix_dedup import remove_repeats
 
 
@@ -17,6 +17,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "ids")
+    token_output.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_output.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("embedding")
     usable = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -48,12 +56,25 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "log_weight", "sample_key", "kept")
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_token_output": op2_token_output,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op9_quality_resampling": op9_quality_resampling,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {

@@ -141,24 +141,22 @@ def kth_largest(values: DataFrame, column: str, k: int, digit: int = 14) -> int
     return prefix - (1 << 64) if prefix >= 1 << 63 else prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, errors: float = 3.0, sample: int = 20_000, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep_good: float = 0.999, sample: int = 20_000, seed: int = 42) -> DataFrame:
     """doc_id, text_hash, log_weight, sample_key, kept for every document.
 
-    The target is the text of rows with quality 1 in ``labels`` (doc_id, quality), raw text that of all labelled rows. k is the
-    share of quality 1 among labelled rows plus ``errors`` standard errors of it, of all documents; the k largest keys stay, with all
-    that tie the last of them. The noise depends on doc_id alone. A text without words has log weight 0. Without labels of quality 1
+    The target is the text of rows with quality 1 in ``labels`` (doc_id, quality), raw text that of all labelled rows. The k
+    largest keys stay, with all that tie the last of them; k is the least number that holds ``keep_good`` of the documents
+    labelled 1. The noise depends on doc_id alone. A text without words has log weight 0. Without labels of quality 1
     all stay. Labels that are null or of unknown documents don't count; of several labels of a document the largest does.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("target"))
     labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    n, good = (x or 0 for x in docs.select("doc_id").join(known, "doc_id").agg(F.count("*"), F.count_if("target")).first())
     ratio = fit(labelled, sample)
     model = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     keys = written(rows.mapInArrow(_weigh(model, seed), "doc_id long, text_hash long, log_weight double, sample_key double, key_order long"), "quality-keys")
-    p = good / n if good else 1.0
-    share = min(1.0, p + errors * math.sqrt(p * (1 - p) / max(n, 1)))
-    least = kth_largest(keys, "key_order", math.ceil(share * keys.count()))
+    good = keys.join(known.filter("target"), "doc_id").select("key_order")
+    least = kth_largest(good, "key_order", math.ceil(keep_good * good.count()))
     kept = F.lit(True) if least is None else F.col("key_order") >= least
     return keys.select("doc_id", "text_hash", "log_weight", "sample_key", kept.alias("kept"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, near_dup, quality, token_output, vector_topk
+from . import chat_format, exact_dedup, language_id, mixing, near_dup, packing, quality, token_output, vector_topk
 from .common import shared_path, table
 from .suffix_dedup import remove_repeats
 
@@ -56,6 +56,15 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability", "mix_kept")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "log_weight", "sample_key", "kept")
@@ -73,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

@@ -14,7 +14,6 @@ symbols          the block's symbols, of ``width`` bytes each
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces
+from .textnp import column_bytes, prefix_hash, range_hash, row_chunks
 
 BLOCK_IDS = 1 << 19
-PAIRS, ROUNDS, LEAST, BINS = 1024, 12, 8, 1 << 17
+PAIRS, ROUNDS, LEAST, BINS = 3000, 12, 8, 1 << 17
 
 
 @dataclass
@@ -39,43 +39,39 @@ class Grammar:
     rules: np.ndarray  # (n, 2)
     symbols: np.ndarray
 
-    def lengths(self) -> np.ndarray:
-        """Expansion length of every symbol."""
-        out = np.ones(self.base + len(self.rules), np.int64)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            out[self.base + k] = out[a] + out[b]
-        return out
-
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(symbols):
-            deep = symbols >= self.base
-            if not deep.any():
-                break
-            at = np.cumsum(deep + 1) - (deep + 1)
-            out = np.empty(len(symbols) + int(deep.sum()), symbols.dtype)
-            out[at[~deep]] = symbols[~deep]
-            pair = self.rules[symbols[deep] - self.base]
-            out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols.astype(np.uint32)
+    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of every symbol's expansion end to end, where each begins and where the last ends)."""
+        size = [1] * self.base
+        text = [(k).to_bytes(4, "little") for k in range(self.base)]
+        for a, b in self.rules.tolist():
+            size.append(size[a] + size[b])
+            text.append(text[a] + text[b])
+        return np.frombuffer(b"".join(text), "<u4"), np.append(0, np.cumsum(size))
+
+    def _expand(self, symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        flat, begin = table
+        lens = (begin[1:] - begin[:-1])[symbols]
+        to = np.cumsum(lens)
+        return flat[np.repeat(begin[symbols] - (to - lens), lens) + np.arange(int(to[-1]) if len(to) else 0)]
 
     def decode(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        return self._expand(self.symbols, self.expansions())
 
     def decode_range(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop-1 of the block; only the symbols that cover them are expanded."""
-        end = np.cumsum(self.lengths()[self.symbols])
+        table = self.expansions()
+        end = np.cumsum(np.diff(table[1])[self.symbols])
         if not len(end) or stop <= start:
             return np.zeros(0, np.uint32)
         i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left")
         before = int(end[i - 1]) if i else 0
-        return self._expand(self.symbols[i : j + 1])[start - before : stop - before]
+        return self._expand(self.symbols[i : j + 1], table)[start - before : stop - before]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
-    """Re-Pair over the documents of a block. Each round takes up to ``pairs`` of its most frequent pairs at once, found by exact
+    """Re-Pair over the documents of a block. Each round takes about ``pairs`` of its most frequent pairs at once, found by exact
     counts within the fullest bins of a hashed count; occurrences that overlap are taken from left to right. It ends when no
-    pair occurs ``least`` times, when a round saves under 1 %, or after ``rounds`` rounds."""
+    pair occurs ``least`` times, when a round saves under 3 %, or after ``rounds`` rounds."""
     s = ids.astype(np.uint32)
     base = max(int(s.max()) + 1 if len(s) else 1, 1)
     last = np.zeros(len(s), bool)  # the document ends after this symbol
@@ -91,19 +87,28 @@ def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: i
         bins[last[:-1]] = 0
         count = np.bincount(bins, minlength=BINS)
         count[0] = 0
-        full = np.argpartition(count, BINS - pairs)[BINS - pairs :]
-        hot = np.zeros(BINS, bool)
-        hot[full[count[full] >= least]] = True
+        hot = count >= least
+        if int(hot.sum()) > 2 * pairs:
+            hot &= count >= np.partition(count, BINS - 2 * pairs)[BINS - 2 * pairs]
         at = np.flatnonzero(hot[bins])
-        key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        found, n = np.unique(key, return_counts=True)
-        most = np.sort(np.argsort(-n, kind="stable")[:pairs])
-        found = found[most[n[most] >= least]]
-        if not len(found):
+        if not len(at):
+            break
+        # one pair stands for each bin, nearly always its only frequent one; its exact count decides
+        key, where = (a[at].astype(np.uint64) << np.uint64(32)) | b[at], bins[at]
+        first = np.zeros(BINS, np.uint64)
+        first[where] = key
+        hit = first[where] == key
+        at, where = at[hit], where[hit]
+        n = np.bincount(where, minlength=BINS)
+        take = n >= least
+        if int(take.sum()) > pairs:
+            take &= n >= np.partition(n, BINS - pairs)[BINS - pairs]
+        number_of = np.cumsum(take) - 1
+        hit = take[where]
+        at, which = at[hit], number_of[where[hit]]
+        found = first[take]
+        if not len(at):
             break
-        which = np.minimum(np.searchsorted(found, key), len(found) - 1)
-        hit = found[which] == key
-        at, which = at[hit], which[hit]
         new = np.append(True, at[1:] != at[:-1] + 1)
         chain = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         at, which = at[chain % 2 == 0], which[chain % 2 == 0]
@@ -120,52 +125,188 @@ def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: i
         stay[at + 1] = False
         s, last = s[stay], last[stay]
         n_rules += int(used.sum())
-        if saved < 0.01:
+        if saved < 0.03:
             break
     return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), s)
 
 
 # --- encoding ---------------------------------------------------------------------------
 
-_ODD = re.compile(r" \s")
+# Byte classes: 0 ASCII white space, 1 ASCII letter, 2 digit, 3 other ASCII mark, 4 apostrophe, 5 beyond ASCII, 6 control.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[:32] = _KIND[127] = 6
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[39] = 4
+_KIND[128:] = 5
+# Pairs of classes between which the byte-level pattern always cuts, whatever stands around.
+_CUT = np.zeros(64, bool)
+for _a, _b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), *((k, 0) for k in range(1, 7))):
+    _CUT[8 * _a + _b] = True
+
+
+def _pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces, each of which the pattern cuts off from its neighbours, and each row's number of pieces.
+
+    White space goes with what follows, as the pattern looks ahead; only a single character other than a space stands alone.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    cut = np.zeros(n + 1, bool)
+    cut[1:n] = _CUT[8 * kind[:-1] + kind[1:]]
+    white = kind == 0
+    lone = white & (data != 32)
+    lone[1:] &= ~white[:-1]
+    lone[:-1] &= ~white[1:]
+    cut[1:][lone] = True
+    cut[offs[offs < n]] = True
+    starts = np.flatnonzero(cut[:n])
+    return starts, np.diff(np.searchsorted(starts, offs))
+
+
+def _odd_rows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows that may hold white space beyond ASCII, or separators that not all patterns count as white space."""
+    at = np.flatnonzero((data >= 28) & (data <= 31))
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(lead):
+        one, two = data[np.minimum(lead + 1, len(data) - 1)], data[np.minimum(lead + 2, len(data) - 1)]
+        first = data[lead]
+        space = ((first == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((first == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((first == 0xE3) & (one == 0x80) & (two == 0x80))
+        space |= (first == 0xE2) & (((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))) | ((one == 0x81) & (two == 0x9F)))
+        at = np.append(at, lead[space])
+    return np.unique(np.searchsorted(offs, at, "right") - 1)
+
+
+def _visible() -> np.ndarray:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
+    The line end, which separates pieces here, is left as it is."""
+    out = np.arange(256, dtype="<u2")
+    hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+    out[hidden] = 256 + np.arange(len(hidden))
+    out[10] = 10
+    return out
+
+
+_VISIBLE = _visible()
 
 
 class Encoder:
-    """Whole-text encoding. The byte-level pattern always cuts before a single space between two other characters, so such
-    pieces are encoded once and kept; a text with a space before white space is encoded in one go."""
+    """Whole-text encoding. The pattern that the tokenizer cuts texts by makes pieces independent of each other, so each
+    piece is encoded once and kept in a table by its 64-bit hash; texts with rare white space are encoded in one go."""
+
+    SLOTS = 1 << 21
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
         self.keep = keep
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts: list[tuple[str, list[str]] | None] = []
-        seen: set[str] = set()
-        for t in texts:
-            if _ODD.search(t):
-                parts.append(None)
+        (self.newline,) = self._raw(["\n"])[0].tolist()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash = np.zeros(self.SLOTS, np.uint64)  # the hash of each slot's piece
+        self.slot = np.zeros(self.SLOTS, np.int32)  # its number in the store
+        self.count = 1
+        self.begin = np.zeros(self.keep // 4 + 2, np.int64)  # begin[k] .. begin[k + 1]: piece k's ids
+        self.ids = np.zeros(self.keep, np.uint32)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order in which the pieces are encoded, their ids in it end to end, number of ids of each).
+
+        A piece of letters alone, or of digits, goes to the tokenizer's model in one go, as the pattern leaves it whole. Other pieces
+        without white space but one space before are encoded as lines of one text; a line end is an id of its own there.
+        """
+        plain, rest, ids, lens = [], [], [], []
+        lined = [k for k, p in enumerate(pieces) if b"\n" not in p]
+        joined = b"\n".join([pieces[k] for k in lined])
+        seen = _VISIBLE[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        tokenize = self.tok.model.tokenize
+        for k, t, v in zip(lined, joined.decode().split("\n"), seen, strict=False):  # no piece: one empty string
+            core = t.removeprefix(" ")
+            if core.isalpha() or (core.isdigit() and core.isascii()):
+                got = [x.id for x in tokenize(v)]
+                plain.append(k)
+                ids += got
+                lens.append(len(got))
             else:
-                first, *rest = t.split(" ")
-                parts.append((first, rest))
-                seen.update(rest)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        new = list(seen.difference(self.known))
-        self.known.update(zip(new, self._raw([" " + w for w in new]), strict=True))
-        heads = {p[0] for p in parts if p is not None}
-        head = dict(zip(heads, self._raw(list(heads)), strict=True))
-        get = self.known.__getitem__
-        whole = iter(self._raw([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole) if p is None else head[p[0]] + b"".join(map(get, p[1])) for p in parts]
+                rest.append(k)
+        rest += [k for k, p in enumerate(pieces) if b"\n" in p]
+        ids, lens = [np.array(ids, np.uint32)], [np.array(lens, np.int64)]
+        lines = [k for k in rest if (t := pieces[k].decode()).removeprefix(" ").split() == [t.removeprefix(" ")]]
+        for i in range(0, len(lines), 2000):
+            x = self._raw(["".join(pieces[k].decode() + "\n" for k in lines[i : i + 2000])])[0]
+            end = x == self.newline
+            lens.append(np.diff(np.append(-1, np.flatnonzero(end))) - 1)
+            ids.append(x[~end])
+        done = set(lines)
+        odd = [k for k in rest if k not in done]
+        for x in self._raw([pieces[k].decode() for k in odd]):
+            lens.append(np.array([len(x)]))
+            ids.append(x)
+        plain += lines
+        rest = odd
+        return plain + rest, np.concatenate(ids), np.concatenate(lens)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of pieces that the table lacks."""
+        new, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        order, ids, lens = self._encode_pieces([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        many = self.count + len(new)
+        if many + 2 > len(self.begin):
+            self.begin = np.append(self.begin, np.zeros(max(many, len(self.begin)), np.int64))
+        numbers = np.empty(len(new), np.int64)
+        numbers[order] = np.arange(self.count, many)
+        to = self.begin[self.count] + np.cumsum(lens)
+        self.begin[self.count + 1 : many + 1] = to
+        if to[-1] > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(int(to[-1]), len(self.ids)), np.uint32))
+        self.ids[self.begin[self.count] : to[-1]] = ids
+        place = (new >> np.uint64(43)).astype(np.int64)
+        self.hash[place], self.slot[place] = new, numbers
+        self.count = many
+        return numbers[back]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, each followed by ``end_id``; number of ids of each row)."""
+        n = len(offs) - 1
+        if self.count > self.keep:
+            self._forget()
+        if not len(data):
+            return np.full(n, end_id, np.uint32), np.ones(n, np.int64)
+        starts, many = _pieces(data, offs)
+        ends = np.append(starts[1:], len(data))
+        h = range_hash(prefix_hash(data), starts, ends)
+        place = (h >> np.uint64(43)).astype(np.int64)
+        number = self.slot[place].astype(np.int64)
+        miss = np.flatnonzero(self.hash[place] != h)
+        if len(miss):
+            number[miss] = self._learn(data, starts[miss], ends[miss], h[miss])
+        lens = self.begin[number + 1] - self.begin[number]
+        to = np.cumsum(lens)
+        first = np.append(0, np.cumsum(many))
+        total = np.append(0, to)[first]
+        ids = np.full(int(to[-1]) + n, end_id, np.uint32)
+        row = np.repeat(np.arange(n), many)  # every earlier row has one end id
+        shift = self.begin[number] - (to - lens)
+        source = np.repeat(shift, lens) + np.arange(int(to[-1]))
+        ids[np.arange(int(to[-1])) + np.repeat(row, lens)] = self.ids[source]
+        lengths = np.diff(total) + 1
+        odd = _odd_rows(data, offs)
+        if len(odd):
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for k, x in zip(odd.tolist(), self._raw([data[offs[k] : offs[k + 1]].tobytes().decode() for k in odd.tolist()]), strict=True):
+                parts[k] = np.append(x, np.uint32(end_id))
+                lengths[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, lengths
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -180,30 +321,29 @@ def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        enc, end = _ENCODERS[path], np.array([end_id], "<u4").tobytes()
+        enc = _ENCODERS[path]
         part = TaskContext.get().partitionId()
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("base", pa.int32()), ("width", pa.int32()), ("rules", pa.binary()), ("symbols", pa.binary())])
-        held: list[bytes] = []
-        held_ids: list[int | None] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = block = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            g = compress(np.frombuffer(b"".join(held), "<u4"), lengths)
+            docs = pa.chunked_array([x[0] for x in held]).combine_chunks()
+            ids, lengths = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            g = compress(ids, lengths)
             width = 2 if g.base + len(g.rules) <= 1 << 16 else 4
-            row = {"part": part, "block": block, "n_ids": int(lengths.sum()), "doc_ids": list(held_ids), "lengths": lengths.tolist(), "base": g.base, "width": width, "rules": _bytes(g.rules, width), "symbols": _bytes(g.symbols, width)}
-            return pa.RecordBatch.from_pylist([row], schema)
+            whole = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
+            cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)]), whole(docs, pa.int64()), whole(lengths.astype(np.int32), pa.int32()), pa.array([g.base], pa.int32()), pa.array([width], pa.int32())]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([_bytes(g.rules, width)]), pa.array([_bytes(g.symbols, width)])], ["part", "block", "n_ids", "doc_ids", "lengths", "base", "width", "rules", "symbols"])
 
         for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
-            for i in range(0, len(texts), 200):
-                for k, x in zip(ids[i : i + 200], enc.encode(texts[i : i + 200]), strict=True):
-                    held.append(x + end)
-                    held_ids.append(k)
-                    size += len(x) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield flush()
-                        held, held_ids, size, block = [], [], 0, block + 1
+            data, offs = column_bytes(b["text"])
+            for i, j in row_chunks(offs, 1 << 20):
+                ids, lengths = enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], end_id)
+                held.append((b["doc_id"].slice(i, j - i), ids, lengths))
+                size += len(ids)
+                if size >= BLOCK_IDS:
+                    yield flush()
+                    held, size, block = [], 0, block + 1
         if held:
             yield flush()
 
@@ -227,28 +367,26 @@ def load(row: dict) -> Grammar:
     return Grammar(row["base"], np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.uint32), np.frombuffer(row["symbols"], kind).astype(np.uint32))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in b.to_pylist():
-            ids = load(row).decode().astype("<u4")
-            lengths = np.array(row["lengths"], np.int64)
-            to = np.cumsum(lengths)
-            raw = ids.tobytes()
-            each = [raw[4 * (e - n) : 4 * e] for e, n in zip(to.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(row["before"] + to - lengths),
-                    pa.array(lengths),
-                    pa.array([zlib.crc32(x) for x in each], pa.int64()),
-                    pa.array(each, pa.binary()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-            )
-
-
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document."""
+def _read(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):
+                row = {c: b[c][k].as_py() for c in ("base", "width", "rules", "symbols", "before")}
+                raw = memoryview(load(row).decode().astype("<u4")).cast("B")
+                lengths = b["lengths"][k].values.to_numpy().astype(np.int64)
+                to = np.cumsum(lengths)
+                each = [raw[4 * (e - n) : 4 * e] for e, n in zip(to.tolist(), lengths.tolist(), strict=True)]
+                cols = [b["doc_ids"][k].values, pa.array(row["before"] + to - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in each], pa.int64())]
+                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    cols, names = [*cols, pa.array([bytes(x) for x in each], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
+
+
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit) of every document."""
     blocks = spark.read.schema(_FILE).parquet(path)
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocks.select("part", "block", "n_ids")
@@ -256,4 +394,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "part_start")
     starts = sizes.withColumn("in_part", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("in_part")).alias("before"))
     rows = blocks.join(starts, ["part", "block"]).select("doc_ids", "lengths", "base", "width", "rules", "symbols", "before")
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(_read(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

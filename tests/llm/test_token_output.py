@@ -2,8 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quill.llm.textnp import column_bytes
 from quill.llm.token_output import Encoder, compress, load, read_ids, write_ids
 
 P = pytest.importorskip("public_tokenizers")
@@ -24,8 +26,13 @@ ODD = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \nb", "a\n \nb", "x   y",
 def test_encoder_equals_whole_text():
     rng = random.Random(3)
     texts = [*ODD, *("".join(rng.choice(["ab", " ", " ", "\n", "'s", "é", "7", ".", "\t", "Zq"]) for _ in range(60)) for _ in range(300))]
-    want = [np.array(e.ids, "<u4").tobytes() for e in plain().encode_batch(texts, add_special_tokens=False)]
-    assert Encoder(PATH).encode(texts) == want
+    texts += ["".join(rng.choice(["ab", " ", "\u00a0", "\n", "'s", "'", "é", "—", "7", ".", "!", "\t", "\x1f", "\u2003", "Zq"]) for _ in range(40)) for _ in range(300)]
+    want = [[*e.ids, 2] for e in plain().encode_batch(texts, add_special_tokens=False)]
+    enc = Encoder(PATH, keep=50)
+    data, offs = column_bytes(pa.array(texts))
+    for _ in range(2):
+        ids, lengths = enc.encode(data, offs, 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
 
 
 def test_grammar_round_trip():

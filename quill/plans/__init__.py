@@ -1,0 +1,3 @@
+"""Registered queries. Importing this package fills the registry."""
+
+from . import conversations, documents, events, fixtures, pages, relational  # noqa: F401

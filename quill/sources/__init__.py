@@ -1,0 +1,10 @@
+"""Tables and files as DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A parquet table of the data folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -79,11 +79,15 @@ def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: i
     last[ends[lengths > 0]] = True
     rules: list[np.ndarray] = []
     n_rules = 0
+    # a pair as one number: 16 bits a symbol where ids leave room for a round of rules, which then end with that room
+    kind, bits = (np.uint32, 16) if base + pairs < 1 << 16 else (np.uint64, 32)
+    spread, down = (np.uint32(0x9E3779B1), np.uint32(15)) if bits == 16 else (np.uint64(0x9E3779B97F4A7C15), np.uint64(47))
     for _ in range(rounds):
         if len(s) < 2:
             break
-        a, b = s[:-1], s[1:]
-        bins = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(15)
+        pair = s[:-1].astype(kind)
+        pair |= s[1:].astype(kind) << kind(bits)
+        bins = (pair * spread) >> down
         bins[last[:-1]] = 0
         count = np.bincount(bins, minlength=BINS)
         count[0] = 0
@@ -94,8 +98,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: i
         if not len(at):
             break
         # one pair stands for each bin, nearly always its only frequent one; its exact count decides
-        key, where = (a[at].astype(np.uint64) << np.uint64(32)) | b[at], bins[at]
-        first = np.zeros(BINS, np.uint64)
+        key, where = pair[at], bins[at]
+        first = np.zeros(BINS, kind)
         first[where] = key
         hit = first[where] == key
         at, where = at[hit], where[hit]
@@ -107,7 +111,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: i
         hit = take[where]
         at, which = at[hit], number_of[where[hit]]
         found = first[take]
-        if not len(at):
+        if not len(at) or base + n_rules + len(found) > 1 << bits:
             break
         new = np.append(True, at[1:] != at[:-1] + 1)
         chain = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
@@ -117,7 +121,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: i
         if not len(at):
             break
         number = np.cumsum(used) - 1
-        rules.append(np.stack([found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([found[used] & kind((1 << bits) - 1), found[used] >> kind(bits)], axis=1).astype(np.uint32))
         saved = len(at) / len(s)
         s[at] = base + n_rules + number[which]
         last[at] = last[at + 1]
@@ -357,8 +361,16 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, parts:
     Columns besides doc_id and text aren't read. ``tokenizer`` is a tokenizer file that every executor has.
     """
     n = parts or pieces(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_write(tokenizer, end_id), _FILE).write.option("compression", "zstd").parquet(out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # bounds from the ids alone: a range partitioning of whole rows would read the texts once more for its sample
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    bounds = sorted(set(cuts or []))
+    part = F.lit(0)
+    if bounds:
+        below = F.array(*map(F.lit, bounds))
+        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(below, lambda x: x < F.col("doc_id"))))
+    rows = rows.repartitionById(len(bounds) + 1, part.cast("int")).sortWithinPartitions("doc_id")
+    rows.mapInArrow(_write(tokenizer, end_id), _FILE).write.option("compression", "none").parquet(out)
 
 
 def load(row: dict) -> Grammar:

@@ -180,7 +180,7 @@ def diff_lines(old: Column | str, new: Column | str) -> Column:
         for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
             if tag != "equal":
                 out += [{"sign": "-", "old_line": n + 1, "new_line": k, "content": x[n]} for n in range(i, j)]
-                out += [{"sign": "+", "old_line": i, "new_line": n + 1, "content": y[n]} for n in range(k, m)]
+                out += [{"sign": "+", "old_line": j, "new_line": n + 1, "content": y[n]} for n in range(k, m)]
         return out
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

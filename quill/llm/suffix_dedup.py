@@ -163,7 +163,8 @@ def search(words: np.ndarray, sa: np.ndarray, other: np.ndarray, starts: np.ndar
 
 
 class Shard:
-    """Texts of one shard, joined with separators that no two texts share (0xFF never occurs in UTF-8)."""
+    """Texts of one shard, joined with separators of bytes 0xF8 to 0xFF, which never occur in UTF-8: a string of text matches text alone.
+    Each separator spells its text's number, so suffixes part there."""
 
     def __init__(self, texts: pa.Array, length: int):
         data, offs = column_bytes(texts)
@@ -174,9 +175,8 @@ class Shard:
         where = np.repeat(8 * np.arange(n), size)
         joined[np.arange(len(data)) + where] = data
         sep = self.first + size
-        joined[sep] = 0xFF
-        for k in range(7):
-            joined[sep + 1 + k] = (np.arange(n) >> (8 * (6 - k))) & 0xFF
+        for k in range(8):
+            joined[sep + k] = 0xF8 | ((np.arange(n) >> (3 * (7 - k))) & 7)
         self.count = np.maximum(size - length + 1, 0)
         self.length = length
         self.words = words8(joined)

@@ -61,6 +61,14 @@ def test_shard_found():
     assert [bool(flag[i]) for i in range(len(data) - 29)] == [data[i : i + 30] in other[0].as_py() for i in range(len(data) - 29)]
 
 
+def test_separators_match_no_text():
+    """Text 116's separator once ended in the byte of 't', so 't' and the next text looked like a string of the shard."""
+    tail = b"his is the continuation of a text that goes on for a while"
+    texts = [b"%03d plain" % k for k in range(116)] + [b"one hundred and sixteen", tail, b"a t" + tail]
+    shard = Shard(pa.array(texts, pa.binary()), len(tail) + 1)
+    assert not shard.repeated().any()
+
+
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))

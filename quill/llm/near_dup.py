@@ -199,14 +199,14 @@ def _links(size: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_bytes: int = 8 << 20, block_docs: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_bytes: int = 2 << 20, block_docs: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept: one row for each input row.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct word shingles; component_id is the smallest
     doc_id that can be reached over links, and kept tells whether it is the row's own. Words are what stands between ASCII white
     space, compared with A-Z in lower case. A text of fewer words than a shingle has them all as one; a text without words, or null, has
     none and is linked with nothing. Rows with a null doc_id are linked with nothing, have a null component_id and are kept.
-    Repeated ids are linked by their texts and share a verdict where the texts do. ``bin_bytes`` and ``block_docs`` bound what a task holds.
+    Repeated ids are linked by their texts and share a verdict where the texts do. ``bin_bytes`` is what small groups of one task have together; ``block_docs`` and ``block_bytes`` bound a block of a large group.
     """
     rows = docs.select("doc_id", *doc_key(), "text")
     sketch = written(rows.select("did", "dth", "text").mapInArrow(_sketch(shingle), "did long, dth long, n long, set1 long, set2 long, regs binary"), "sketches")
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     members = groups.join(nodes, "did").join(sketch.select("did", "dth", "regs"), ["did", "dth"]).join(rows.select("did", "dth", "text"), ["did", "dth"]).select("did", "root", "regs", "text")
     members = written(members, "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text") + 600).alias("bytes"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("bytes") / (4 * bin_bytes))).cast("int"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("bytes") / block_bytes)).cast("int"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bins = max(1, math.ceil(total / bin_bytes))
     placed = members.join(sizes, "root")

@@ -197,3 +197,53 @@ def weakened_signals(rows: DataFrame) -> DataFrame:
     """(id) of rows whose translated signal word is weaker than the source's."""
     rank = lambda c: F.array_position(F.array(*map(F.lit, SIGNALS)), F.upper(c))
     return rows.filter((rank(F.col("dst")) > 0) & (rank(F.col("dst")) < rank(F.col("src")))).select("id")
+
+
+def chapter_problems(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(doc, problem): chapters (doc, ord, title) against a type's list (pos, title): missing ones, and those before an earlier chapter of the list.
+
+    A chapter is out of order where one of a larger place comes before it: a running maximum.
+    """
+    e = expected.select("pos", F.lower(F.trim("title")).alias("k"), F.col("title").alias("wanted"))
+    f = found.withColumn("k", F.lower(F.trim(F.regexp_replace("title", r"^\d+(\.\d+)*\.?\s+", "")))).join(e, "k")
+    before = F.max("pos").over(_by("doc").rowsBetween(Window.unboundedPreceding, -1))
+    late = f.withColumn("b", before).filter("b > pos").select("doc", F.concat("wanted", F.lit(" is out of order")).alias("problem"))
+    every = found.select("doc").distinct().crossJoin(F.broadcast(e))  # a type's list of chapters is written by hand
+    lost = every.join(f.select("doc", "k").distinct(), ["doc", "k"], "left_anti")
+    return late.unionByName(lost.select("doc", F.concat("wanted", F.lit(" is missing")).alias("problem")))
+
+
+def version_numbers(text: Column) -> Column:
+    """The first version in a text as whole numbers, null without one; arrays compare number by number."""
+    v = F.regexp_extract(text, r"\d+(?:\.\d+)+|\d+", 0)
+    return F.when(v != "", F.transform(F.split(v, r"\."), lambda x: x.cast("int")))
+
+
+def names_other_document(before: Column, words: tuple[str, ...], own: Column, this: tuple[str, ...]) -> Column:
+    """Whether the clause before a reference names another document: a document word, that isn't the document's own name and has no word
+    for 'this' before it."""
+    clause = F.lower(F.element_at(F.split(before, "[.;]"), -1))
+    last = F.regexp_extract(clause, rf"(?s)^.*\b({'|'.join(sorted(words, key=len, reverse=True))})\b", 1)
+    lead = F.regexp_extract(clause, rf"(?s)^(.*)\b(?:{'|'.join(sorted(words, key=len, reverse=True))})\b", 1)
+    return (last != "") & ~F.array_contains(own, last) & ~lead.rlike(rf"\b(?:{'|'.join(this)})\b")
+
+
+def card_fields(lines: DataFrame, doc: str) -> DataFrame:
+    """(doc, card, ord, field, value): fields of cards, '**Name:** value' lines and bare continuation lines, under each heading with an id."""
+    line = F.trim("line")
+    card = F.last(F.when(line.rlike(HEADING), F.regexp_extract(line, r"^#+\s+([A-Z]{1,3}\d{1,3})\b", 1)), ignorenulls=True).over(_by(doc))
+    name = F.when(line.rlike(r"^\*\*[^*]+:\*\*"), F.regexp_extract(line, r"^\*\*([^*]+):\*\*", 1))
+    df = lines.withColumn("card", card).withColumn("name", name).withColumn("n", F.count("name").over(Window.partitionBy(doc, "card").orderBy("ord")))
+    df = df.filter((F.coalesce("card", F.lit("")) != "") & (F.col("n") > 0) & (line != "") & ~line.rlike(HEADING))
+    value = F.trim(F.regexp_replace(line, r"^\*\*[^*]+:\*\*", ""))
+    rows = df.groupBy(doc, "card", "n").agg(F.min("ord").alias("ord"), F.max("name").alias("field"), F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))).alias("vs"))
+    return rows.select(doc, "card", "ord", "field", F.trim(F.array_join(F.transform("vs", lambda x: x["v"]), "\n")).alias("value"))
+
+
+def to_be_confirmed(lines: DataFrame, doc: str) -> DataFrame:
+    """Lines under a 'To be confirmed' heading of level two, up to the next heading of its level or above."""
+    line = F.trim("line")
+    level = F.length(F.regexp_extract(line, HEADING, 1))
+    mark = F.when(line.rlike(HEADING) & (level <= 2), ((level == 2) & (F.lower(F.regexp_extract(line, HEADING, 2)) == "to be confirmed")).cast("int"))
+    df = lines.withColumn("__in", F.coalesce(F.last(mark, ignorenulls=True).over(_by(doc)), F.lit(0))).withColumn("__m", mark)
+    return df.filter("__in = 1 and __m is null").drop("__in", "__m")

@@ -255,3 +255,74 @@ def balance(sizes: pd.DataFrame, shards: int) -> pd.DataFrame:
 
 def sample_size(n: int, rate: float = 0.25) -> int:
     return math.ceil(n * rate)
+
+
+#: The order of an intake entry's fields.
+INTAKE_FIELDS = ("kind", "state", "observed", "fingerprint", "context", "repo", "ruling", "id", "occurrences", "latest", "tbc", "applied")
+
+
+def render_intake(date: Column, ref: Column, body: Column, fields: Column) -> Column:
+    """An intake line: known fields in their order, then others by name; fields without a value stand alone, known ones are left out."""
+    known = F.array(*(F.when(F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit("")) != "", F.concat(F.lit(f"{k}="), F.try_element_at(fields, F.lit(k)))) for k in INTAKE_FIELDS))
+    other = F.filter(F.array_sort(F.map_keys(fields)), lambda k: ~k.isin(*INTAKE_FIELDS))
+    rest = F.transform(other, lambda k: F.when(F.try_element_at(fields, k) == "", k).otherwise(F.concat(k, F.lit("="), F.try_element_at(fields, k))))
+    tail = F.array_join(F.concat(F.array_compact(known), rest), " ")
+    return F.concat(F.lit("- "), date, F.lit(" `"), ref, F.lit("` — "), body, F.when(tail != "", F.concat(F.lit(" ["), tail, F.lit("]"))).otherwise(""))
+
+
+def upsert_intake(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """(ord, ident, line): entries with changed lines in their places and new ones after the last; of several changes of one entry the last counts."""
+    last = changes.groupBy("ident").agg(F.max_by("line", "seq").alias("new"), F.min("seq").alias("seq"))
+    top = current.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("top"))
+    kept = current.join(last, "ident", "left").select("ord", "ident", F.coalesce("new", "line").alias("line"))
+    added = last.join(current.select("ident"), "ident", "left_anti").crossJoin(F.broadcast(top))  # one row
+    return kept.unionByName(added.select((F.col("top") + F.row_number().over(Window.orderBy("seq"))).cast(dict(current.dtypes)["ord"]).alias("ord"), "ident", F.col("new").alias("line")))
+
+
+def render_record(header: DataFrame, record: DataFrame) -> DataFrame:
+    """(record, text) of (record, ord, key, value) header rows and (record, id, ord, key, value) unit rows; values of several lines go on indented."""
+    text = F.concat("key", F.lit(": "), F.replace("value", F.lit("\n"), F.lit("\n  ")))
+    h = header.select("record", F.lit(0).alias("id"), "ord", text.alias("line"))
+    u = record.select("record", "id", "ord", text.alias("line"))
+    marks = record.select("record", "id").distinct().select("record", "id", F.lit(-1).alias("ord"), F.concat(F.lit("unit: "), F.col("id").cast("string")).alias("line"))
+    rows = h.unionByName(u).unionByName(marks).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("id", "ord", "line"))).alias("l"))
+    return rows.select("record", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def identity_problems(record: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, problem): units of a record (id, file, lines, span, fingerprint) against a fresh enumeration, and spans that stand twice."""
+    from .integrity import compare
+
+    twice = record.groupBy("file", "span").agg(F.count("*").alias("n"), F.max("id").alias("id")).filter("n > 1")
+    return compare(record, fresh, ["id"], ["file", "lines", "span", "fingerprint"]).unionByName(twice.select("id", F.lit("span used twice").alias("problem")))
+
+
+def cut_ranges(sizes: DataFrame, unit_cap: int, line_cap: int) -> DataFrame:
+    """(path, lo, hi): a file's units (path, sl, el, removed) cut from the bottom into ranges under caps on units and removed lines.
+
+    A greedy pass over each file.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        n = m = 0
+        for r in pdf.sort_values("sl", ascending=False).itertuples():
+            if out and n < unit_cap and m + r.removed <= line_cap:
+                out[-1][1] = r.sl
+                n, m = n + 1, m + r.removed
+            else:
+                out.append([r.path, r.sl, r.el])
+                n, m = 1, r.removed
+        return pd.DataFrame(out, columns=["path", "lo", "hi"])
+
+    return sizes.groupBy("path").applyInPandas(one, "path string, lo int, hi int")
+
+
+def set_verified(text: Column, sha: Column) -> Column:
+    """A document with ``last-verified-at`` in its front matter set to a sha, added where it lacks it; text without front matter gets one."""
+    line = F.concat(F.lit("last-verified-at: "), sha)
+    has_matter, has_line = text.rlike(r"^\x{FEFF}?---\n"), text.rlike(r"(?s)^\x{FEFF}?---\n(?:(?!---).*?\n)??last-verified-at:")
+    changed = F.regexp_replace(text, r"(?m)^last-verified-at:.*$", "\u0001")
+    put = F.replace(F.regexp_replace(changed, "(?s)\u0001(.*)\u0001", "\u0001$1"), F.lit("\u0001"), line)
+    added = F.concat(F.regexp_extract(text, r"^(\x{FEFF}?---\n)", 1), line, F.lit("\n"), F.regexp_replace(text, r"^\x{FEFF}?---\n", ""))
+    return F.when(has_line, put).when(has_matter, added).otherwise(F.concat(F.lit("---\n"), line, F.lit("\n---\n\n"), text))

@@ -25,8 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; one for each call."""
-    return f"{shared_dir(spark)}/quill/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder; one for each call."""
+    return f"{shared_dir(spark)}/quill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> bool:
+    """Delete the tables that this application wrote to the shared folder, once no result that reads them is wanted any more."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quill/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -208,7 +208,8 @@ def chapter_problems(found: DataFrame, expected: DataFrame) -> DataFrame:
     f = found.withColumn("k", F.lower(F.trim(F.regexp_replace("title", r"^\d+(\.\d+)*\.?\s+", "")))).join(e, "k")
     before = F.max("pos").over(_by("doc").rowsBetween(Window.unboundedPreceding, -1))
     late = f.withColumn("b", before).filter("b > pos").select("doc", F.concat("wanted", F.lit(" is out of order")).alias("problem"))
-    every = found.select("doc").distinct().crossJoin(F.broadcast(e))  # a type's list of chapters is written by hand
+    chapters = [F.struct(F.lit(r.k).alias("k"), F.lit(r.wanted).alias("wanted")) for r in e.select("k", "wanted").collect()]  # a type's list is written by hand
+    every = found.select("doc").distinct().select("doc", F.explode(F.array(*chapters)).alias("c")).select("doc", "c.k", "c.wanted")
     lost = every.join(f.select("doc", "k").distinct(), ["doc", "k"], "left_anti")
     return late.unionByName(lost.select("doc", F.concat("wanted", F.lit(" is missing")).alias("problem")))
 

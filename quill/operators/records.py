@@ -68,10 +68,9 @@ def pair_problems(record: DataFrame) -> DataFrame:
 
 def adr_names(existing: DataFrame, new: DataFrame) -> DataFrame:
     """(id, name): file names for new decision records (id, title), numbered on from the largest of existing (name)."""
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract("name", r"^(\d{4})-", 1).try_cast("int")), F.lit(0)).alias("top"))
+    top = existing.agg(F.coalesce(F.max(F.regexp_extract("name", r"^(\d{4})-", 1).try_cast("int")), F.lit(0))).first()[0]
     ranked = new.withColumn("k", F.row_number().over(Window.orderBy("id")))  # the new records of one run, few by their nature
-    out = ranked.crossJoin(F.broadcast(top))  # one row
-    return out.select("id", F.concat(F.lpad((F.col("top") + F.col("k")).cast("string"), 4, "0"), F.lit("-"), tx.slug(F.col("title")), F.lit(".md")).alias("name"))
+    return ranked.select("id", F.concat(F.lpad((F.col("k") + top).cast("string"), 4, "0"), F.lit("-"), tx.slug(F.col("title")), F.lit(".md")).alias("name"))
 
 
 def drop_page_furniture(lines: DataFrame, share: float = 0.6, least_pages: int = 3) -> DataFrame:
@@ -273,10 +272,10 @@ def render_intake(date: Column, ref: Column, body: Column, fields: Column) -> Co
 def upsert_intake(current: DataFrame, changes: DataFrame) -> DataFrame:
     """(ord, ident, line): entries with changed lines in their places and new ones after the last; of several changes of one entry the last counts."""
     last = changes.groupBy("ident").agg(F.max_by("line", "seq").alias("new"), F.min("seq").alias("seq"))
-    top = current.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("top"))
+    top = current.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
     kept = current.join(last, "ident", "left").select("ord", "ident", F.coalesce("new", "line").alias("line"))
-    added = last.join(current.select("ident"), "ident", "left_anti").crossJoin(F.broadcast(top))  # one row
-    return kept.unionByName(added.select((F.col("top") + F.row_number().over(Window.orderBy("seq"))).cast(dict(current.dtypes)["ord"]).alias("ord"), "ident", F.col("new").alias("line")))
+    added = last.join(current.select("ident"), "ident", "left_anti")
+    return kept.unionByName(added.select((F.lit(top) + F.row_number().over(Window.orderBy("seq"))).cast(dict(current.dtypes)["ord"]).alias("ord"), "ident", F.col("new").alias("line")))
 
 
 def render_record(header: DataFrame, record: DataFrame) -> DataFrame:

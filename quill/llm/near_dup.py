@@ -29,6 +29,7 @@ from .textnp import column_bytes, lower_ascii, mix, prefix_hash, range_hash, row
 BANDS, ROWS = 56, 5
 M = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
+SPREAD, SMALL = 16, 256
 _rng = np.random.default_rng(20260)
 _A = _rng.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _C = _rng.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32)
@@ -223,7 +224,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     members = groups.join(nodes, "did").join(sketch.select("did", "dth", "regs"), ["did", "dth"]).join(rows.select("did", "dth", "text"), ["did", "dth"]).select("did", "root", "regs", "text")
     members = written(members, "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text") + 600).alias("bytes"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("bytes") / block_bytes)).cast("int"))
+    # a large group spreads over up to SPREAD blocks for the sake of parallel work, and over more only where its blocks would be too large
+    spread = F.least(F.lit(float(SPREAD)), F.col("docs") / SMALL)
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("bytes") / block_bytes, spread)).cast("int"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bins = max(1, math.ceil(total / bin_bytes))
     placed = members.join(sizes, "root")

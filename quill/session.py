@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +28,22 @@ def local_session(name: str = "quill", cores: int | str = "*", shuffle_partition
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the session's Python workers, once an application, so that no worker needs them on its own path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.realpath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quill-src-")), "quill.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -69,3 +69,14 @@ def test_entry_works_without_the_training_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "quill" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[:2] == 'op' and n[2:3].isdigit() or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    """Python workers get the sources from the session, wherever the driver was started and without a path of their own."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from quill.session import local_session; s = local_session('far', cores=2); assert e.queries()['html_to_text'](s, {SF!r}).count() > 0; e.entry(s).show(1)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)

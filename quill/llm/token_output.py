@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import pieces
 from .textnp import column_bytes, prefix_hash, range_hash, row_chunks
 
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 18
 PAIRS, ROUNDS, LEAST, BINS = 3000, 12, 8, 1 << 17
 
 
@@ -201,7 +201,7 @@ class Encoder:
 
     SLOTS = 1 << 21
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -341,9 +341,10 @@ def _write(path: str, end_id: int):
 
         for b in batches:
             data, offs = column_bytes(b["text"])
-            for i, j in row_chunks(offs, 1 << 20):
+            for i, j in row_chunks(offs, 1 << 18):
                 ids, lengths = enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], end_id)
-                held.append((b["doc_id"].slice(i, j - i), ids, lengths))
+                # a slice of the column would keep the whole batch in memory
+                held.append((pa.array(b["doc_id"].slice(i, j - i).to_pylist(), pa.int64()), ids, lengths))
                 size += len(ids)
                 if size >= BLOCK_IDS:
                     yield flush()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, pieces, written
+from .common import doc_key, written
 from .components import connected_components
 from .textnp import column_bytes, lower_ascii, mix, prefix_hash, range_hash, row_chunks, word_spans
 

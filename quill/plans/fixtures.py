@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files, text, times, urls
-from ..operators import integrity, markdown, quality, records, robots, sampling, transcripts, units
+from ..operators import integrity, markdown, quality, records, robots, sampling, units
 from ..registry import query
 from ..streaming import events as stream
 

@@ -1,5 +1,4 @@
 import email.message
-import io
 import zipfile
 
 import pandas as pd
@@ -44,7 +43,7 @@ def test_folder(spark, tmp_path):
     assert got["a.docx"].text == "## Title\nbody\n| x | y |" and got["b.xlsx"].text == "# One\nhi\t\t3" and got["c.pptx"].text == "# Slide 1\nSlide text"
     assert "Subject: Hi" in got["d.eml"].text and got["d.eml!n.txt"].text == "att" and got["d.eml"].kind == "mail"
     assert {k: got[k].status for k in ("e.bin", "f.docx", "g.txt", "h.pdf")} == {"e.bin": "binary", "f.docx": "failed", "g.txt": "empty", "h.pdf": "unsupported"}
-    assert "x.js" not in got and io
+    assert "x.js" not in got
 
 
 def test_append_pages(spark):

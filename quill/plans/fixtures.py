@@ -195,7 +195,7 @@ def id_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "caption_numbers",
-    rf"""WITH c AS (SELECT doc, ord, CASE WHEN line LIKE '![%' THEN 'figure' ELSE 'table' END AS kind FROM ({MD}) WHERE line LIKE '![%' OR line LIKE 'Table:%') SELECT doc, ord, kind, row_number() OVER (PARTITION BY doc, kind ORDER BY ord) AS n FROM c""",
+    rf"""WITH c AS (SELECT doc, ord, CASE WHEN line LIKE '![%' THEN 'figure' ELSE 'table' END AS kind FROM ({MD}) WHERE line LIKE '![%' OR line LIKE 'Table:%') SELECT doc, ord, kind, CAST(row_number() OVER (PARTITION BY doc, kind ORDER BY ord) AS INTEGER) AS n FROM c""",
 )
 def caption_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and captioned tables numbered in document order."""
@@ -341,7 +341,7 @@ def adr_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING = values("ord, url", *(f"({k}, '/p{k}')" for k in range(1, 9)))
 
 
-@query("capped_listing", f"SELECT pos, url AS text FROM (SELECT row_number() OVER (ORDER BY ord) AS pos, url FROM ({LISTING})) WHERE pos <= 5 UNION ALL SELECT 6, (count(*) - 5) || ' more not listed' FROM ({LISTING}) HAVING count(*) > 5")
+@query("capped_listing", f"SELECT pos, url AS text FROM (SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS pos, url FROM ({LISTING})) WHERE pos <= 5 UNION ALL SELECT 6, (count(*) - 5) || ' more not listed' FROM ({LISTING}) HAVING count(*) > 5")
 def capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.capped_listing(spark.sql(LISTING), ["ord"], "url", 5)
 

@@ -67,3 +67,13 @@ def test_pack(steps):
 def test_run(spark, steps):
     got = cp.run(spark, SF)
     assert sorted(got.collect()) == sorted(steps["packing"])
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "one word", None, None, 8), (3, "long " * 30_000, "en", "s", None)]])
+def test_stages_take_nulls_and_empty_tables(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES[:-1]:
+        docs = cp.written(stage(spark, docs, SF), "edge")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    out = cp.STAGES[-1][1](spark, docs, SF).collect()
+    assert bool(out) == bool(rows)

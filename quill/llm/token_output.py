@@ -28,6 +28,7 @@ from .common import pieces
 from .textnp import column_bytes, prefix_hash, range_hash, row_chunks
 
 BLOCK_IDS = 1 << 18
+MOST_BOUNDS = 512  # a row looks at every bound; more partitions are dealt by Spark's own range partitioning
 PAIRS, ROUNDS, LEAST, BINS = 3000, 12, 8, 1 << 17
 
 
@@ -363,14 +364,16 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, parts:
     """
     n = parts or pieces(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # bounds from the ids alone: a range partitioning of whole rows would read the texts once more for its sample
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    part = F.lit(0)
-    if bounds:
-        below = F.array(*map(F.lit, bounds))
+    if n > MOST_BOUNDS:
+        rows = rows.repartitionByRange(n, "doc_id")
+    else:
+        # bounds from the ids alone: a range partitioning of whole rows would read the texts once more for its sample
+        cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+        bounds = sorted(set(cuts or []))
+        below = F.array(*map(F.lit, bounds)).cast("array<long>")
         part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(below, lambda x: x < F.col("doc_id"))))
-    rows = rows.repartitionById(len(bounds) + 1, part.cast("int")).sortWithinPartitions("doc_id")
+        rows = rows.repartitionById(len(bounds) + 1, part.cast("int"))
+    rows = rows.sortWithinPartitions("doc_id")
     rows.mapInArrow(_write(tokenizer, end_id), _FILE).write.option("compression", "none").parquet(out)
 
 

@@ -49,7 +49,7 @@ def test_grammar_round_trip():
             assert g.decode_range(a, b).tolist() == ids[a:b].tolist()
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     texts = [None, "hello world " * 50, *ODD, "long " * 5000]
     rows = [(i * 3, t, "x") for i, t in enumerate(texts)]
     random.Random(2).shuffle(rows)
@@ -64,6 +64,10 @@ def test_files(spark, tmp_path):
         start += len(ids)
     block = spark.read.parquet(str(tmp_path / "out")).first().asDict()
     assert len(load(block).decode()) == block["n_ids"]
+    monkeypatch.setattr("quill.llm.token_output.MOST_BOUNDS", 2)
+    write_ids(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "ranged"), PATH, parts=3)
+    ranged = {r.doc_id: (r.start, r.ids_crc32) for r in read_ids(spark, str(tmp_path / "ranged"), with_ids=False).collect()}
+    assert ranged == {k: (r.start, r.ids_crc32) for k, r in got.items()}
     empty = spark.createDataFrame([], "doc_id long, text string")
     write_ids(empty, str(tmp_path / "none"), PATH)
     assert read_ids(spark, str(tmp_path / "none")).count() == 0

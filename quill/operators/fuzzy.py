@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
 MIN_RATIO, WORD_RATIO, HUMP_RATIO, WHOLE_RATIO, MOST_CANDIDATES, MOST_POSTINGS, MOST_WORDS = 0.75, 0.92, 0.5, 0.85, 60, 4000, 5
+#: Rows of a block of terms and of keys, and rows that are counted in one go.
+TERM_BLOCK, KEY_BLOCK, ROWS_AT_ONCE = 1000, 1000, 64
 CAMEL = r"[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+|[a-z]+(?:[A-Z][a-z0-9]*)+"
 
 
@@ -23,18 +29,91 @@ def windows(df: DataFrame, tokens: str, most: int = MOST_WORDS) -> DataFrame:
     return sizes.select(*others, "pos", "k", F.array_join(F.slice(F.col(tokens), F.col("pos") + 1, F.col("k")), " ").alias("words"))
 
 
-def candidates(terms: DataFrame, term_id: str, keys: DataFrame, key_id: str, most_postings: int = MOST_POSTINGS) -> DataFrame:
+def _gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(trigrams of all texts as numbers, the text of each), as :func:`quill.functions.text.trigrams` pads them; not yet distinct."""
+    code = np.frombuffer("".join(f"  {t} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    many = np.array([len(t) + 3 for t in texts], np.int64)
+    row, last = np.repeat(np.arange(len(texts)), many), np.cumsum(many)
+    inside = np.ones(len(code), bool)
+    inside[last - 1] = inside[last - 2] = False
+    at = np.flatnonzero(inside)
+    return (code[at] << 42) | (code[at + 1] << 21) | code[at + 2], row[at]
+
+
+def _count_shared(terms: pa.Table, keys: pa.Table) -> pa.Table:
+    """Shared trigrams of every pair of a block of terms (th, term, n) and a block of keys (kh, key, n), where they reach ``need``."""
+    kind = pa.schema([("term", terms.schema.field("term").type), ("key", keys.schema.field("key").type), ("shared", pa.int64()), ("need", pa.int64())])
+    if not len(terms) or not len(keys):
+        return kind.empty_table()
+    _, term_at, term_of = np.unique(terms["th"].to_numpy(), return_index=True, return_inverse=True)
+    _, key_at, key_of = np.unique(keys["kh"].to_numpy(), return_index=True, return_inverse=True)
+    width = len(term_at)
+    gram, row = _gram_keys(terms["n"].to_pylist())
+    pair = np.unique(np.stack([gram, row]), axis=1)  # distinct grams of each row, by gram
+    grams, first = np.unique(pair[0], return_index=True)
+    posting, first = term_of[pair[1]], np.append(first, pair.shape[1])
+    need = np.maximum(2, np.floor(np.bincount(posting, minlength=width) * 0.3).astype(np.int64))
+
+    order = np.argsort(key_of, kind="stable")  # rows of one key side by side
+    texts, key_of = keys["n"].take(pa.array(order)).to_pylist(), key_of[order]
+    cuts = [0]
+    for i in range(1, len(order)):
+        if i - cuts[-1] >= ROWS_AT_ONCE and key_of[i] != key_of[i - 1]:
+            cuts.append(i)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        here = int(key_of[i])
+        shared = np.zeros((int(key_of[j - 1]) - here + 1) * width, np.int64)
+        for k in range(i, j, ROWS_AT_ONCE):
+            part = texts[k : min(k + ROWS_AT_ONCE, j)]
+            gram, row = _gram_keys(part)
+            at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+            hit = grams[at] == gram
+            seen = np.zeros(len(part) * len(grams), bool)
+            seen[row[hit] * len(grams) + at[hit]] = True
+            row, at = np.divmod(np.flatnonzero(seen), len(grams))
+            many = first[at + 1] - first[at]
+            place = np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            shared += np.bincount(np.repeat(key_of[k + row] - here, many) * width + posting[place], minlength=len(shared))
+        key, term = np.divmod(np.flatnonzero(shared >= np.tile(need, len(shared) // width)), width)
+        found.append((term, key + here, shared[key * width + term]))
+    term, key, shared = (np.concatenate(x) for x in zip(*found, strict=True))
+    cols = [terms["term"].take(pa.array(term_at[term])), keys["key"].take(pa.array(key_at[key])), pa.array(shared), pa.array(need[term])]
+    return pa.Table.from_arrays(cols, schema=kind)
+
+
+def candidates(terms: DataFrame, term_id: str, keys: DataFrame, key_id: str, within: str | None = None, most_postings: int = MOST_POSTINGS) -> DataFrame:
     """(term_id, key_id, shared, need): keys that share at least max(2, 30 %) of a term's trigrams; both sides hold n, the normal form.
 
-    Grams with more than ``most_postings`` keys say little and are left out, as the definition of the operator has it; counts
-    come from an aggregation, so no posting list is ever gathered.
+    Keys that are windows of a transcript name it by ``within``: grams of more than ``most_postings`` windows of one transcript
+    are left out for that transcript, as the definition of the operator has it. Keys that stand for themselves, as whole documents, have no such
+    list: every gram counts, however many keys hold it. There, blocks of terms meet blocks of keys and pairs are counted in
+    place, so no posting list is gathered or shuffled; rows with one id count together.
     """
-    grams = keys.select(key_id, F.explode(tx.trigrams(F.col("n"))).alias("g"))
-    stop = grams.groupBy("g").count().filter(F.col("count") > most_postings).select("g")
-    asked = terms.select(term_id, F.explode(tx.trigrams(F.col("n"))).alias("g")).join(stop, "g", "left_anti")
-    need = asked.groupBy(term_id).agg(F.greatest(F.lit(2).cast("long"), F.floor(F.count("*") * 0.3)).alias("need"))
-    shared = asked.join(grams, "g").groupBy(term_id, key_id).agg(F.count("*").alias("shared"))
-    return shared.join(need, term_id).filter("shared >= need").select(term_id, key_id, "shared", "need")
+    if within is None:
+        spark = keys.sparkSession
+        n_terms, n_keys = (max(1, math.ceil(df.count() / rows)) for df, rows in ((terms, TERM_BLOCK), (keys, KEY_BLOCK)))
+        left = terms.filter("n is not null").select(F.xxhash64(term_id).alias("th"), F.col(term_id).alias("term"), "n")
+        right = keys.filter("n is not null").select(F.xxhash64(key_id).alias("kh"), F.col(key_id).alias("key"), "n")
+        left = left.withColumn("tb", F.pmod("th", F.lit(n_terms))).join(F.broadcast(spark.range(n_keys).select(F.col("id").alias("kb"))))
+        right = right.withColumn("kb", F.pmod("kh", F.lit(n_keys))).withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_terms - 1).cast("long"))))
+        schema = T.StructType([T.StructField("term", terms.schema[term_id].dataType), T.StructField("key", keys.schema[key_id].dataType), *T.StructType.fromDDL("shared long, need long").fields])
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            return _count_shared(a, b)
+
+        met = left.groupBy("tb", "kb").cogroup(right.groupBy("tb", "kb")).applyInArrow(run, schema)
+        return met.select(F.col("term").alias(term_id), F.col("key").alias(key_id), "shared", "need")
+    grams = keys.select(F.col(within).alias("__in"), key_id, F.explode(tx.trigrams(F.col("n"))).alias("g"))
+    stop = grams.groupBy("__in", "g").count().filter(F.col("count") > most_postings).select("__in", "g")
+    asked = terms.select(term_id, F.explode(tx.trigrams(F.col("n"))).alias("g"))
+    stopped = asked.join(stop, "g").groupBy(term_id, "__in").agg(F.count("*").alias("off"))
+    shared = asked.join(grams.join(stop, ["__in", "g"], "left_anti"), "g").groupBy(term_id, "__in", key_id).agg(F.count("*").alias("shared"))
+    left_over = F.col("all") - F.coalesce("off", F.lit(0))
+    need = F.greatest(F.lit(2).cast("long"), F.floor(left_over * 0.3)).alias("need")
+    whole = asked.groupBy(term_id).agg(F.count("*").alias("all"))
+    out = shared.join(whole, term_id).join(stopped, [term_id, "__in"], "left").select(term_id, key_id, "shared", need)
+    return out.filter("shared >= need")
 
 
 def _norm(s: str) -> str:
@@ -101,7 +180,7 @@ def suggest(transcript: DataFrame, doc: str, text: str, terms: DataFrame) -> Dat
     spots = windows(tokens, "tokens").groupBy(doc, "words").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     keys = spots.select(doc, "words", F.struct(doc, "words").alias("k"), tx.letters_norm(F.col("words")).alias("n")).filter(F.length("n") >= 4)
     canon = terms.select("term", tx.letters_norm(F.col("term")).alias("n")).filter(F.length("n") >= 5).dropDuplicates(["n"])
-    near = candidates(canon, "term", keys, "k")
+    near = candidates(canon, "term", keys, "k", within=doc)
     taken = canon.select("n").withColumn("__is_term", F.lit(True))
     rank = F.row_number().over(_best("term", doc))
     near = near.select("term", F.col(f"k.{doc}").alias(doc), F.col("k.words").alias("words"), "shared").withColumn("__r", rank).filter(F.col("__r") <= MOST_CANDIDATES)

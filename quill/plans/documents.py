@@ -236,11 +236,12 @@ c AS (SELECT item_id, doc_id, count(*) AS shared FROM k JOIN dg USING (g) GROUP
 SELECT item_id, doc_id, shared, need FROM c JOIN need USING (item_id) WHERE shared >= need""",
 )
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share enough trigrams with a benchmark passage; grams of over 4000 documents don't count."""
+    """Documents that share enough trigrams with a benchmark passage. A document is one key, so every gram counts, however many documents hold it;
+    the SQL, which leaves out grams of over 4000 documents, gives other rows where there are such grams."""
     start = lambda c: tx.norm(F.col(c))
     terms = table(spark, sf_dir, "benchmark").select("item_id", start("text").alias("n"))
     keys = table(spark, sf_dir, "documents").select("doc_id", start("text").alias("n"))
-    return fuzzy.candidates(terms, "item_id", keys, "doc_id", most_postings=4000)
+    return fuzzy.candidates(terms, "item_id", keys, "doc_id")
 
 
 @query("sound_keys", r"SELECT doc_id, regexp_replace(translate(regexp_replace(lower(text), '[^0-9a-zà-ÿ]', '', 'g'), 'pvfcqgtzxwy', 'bbbkkkdssui'), '[aeiouàèéìòùh]', '', 'g') AS consonants FROM documents")

@@ -93,6 +93,29 @@ def test_suggest(spark):
     assert fuzzy.verdict("documento", "DocumentDto") is None and fuzzy.verdict("gam view pkl2", "GAM_VIEW_PKL2") == 1.0
 
 
+def test_trigram_candidates_count_frequent_grams(spark):
+    """Grams of more than 4000 documents count too, repeated ids count together, and a pair is held against plain sets."""
+    grams = lambda t: {f"  {t} "[k : k + 3] for k in range(len(t) + 1)}
+    terms = [(1, "common words here"), (2, "rare été 😀 thing"), (3, None)]
+    docs = [(k, "common words here" if k % 2 else f"words {k}") for k in range(8100)] + [(9000, "rare été"), (9000, "😀 thing"), (9001, None), (None, "common")]
+    got = fuzzy.candidates(spark.createDataFrame(terms, "t long, n string"), "t", spark.createDataFrame(docs, "d long, n string"), "d").collect()
+    want = {}
+    for t, a in terms[:2]:
+        for d, b in docs:
+            want[t, d] = want.get((t, d), 0) + len(grams(a) & grams(b or "")) * (b is not None)
+    need = {t: max(2, int(0.3 * len(grams(a)))) for t, a in terms[:2]}
+    assert len(got) > 4000
+    assert {(r.t, r.d): (r.shared, r.need) for r in got} == {k: (n, need[k[0]]) for k, n in want.items() if n >= need[k[0]]}
+
+
+def test_stop_list_of_suggest_is_of_one_transcript(spark):
+    """4000 windows are counted inside a transcript: others neither add to the count nor lose grams by it."""
+    keys = [("a", f"a{k}", "common") for k in range(6)] + [("b", f"b{k}", "common") for k in range(3)]
+    df = spark.createDataFrame(keys, "doc string, k string, n string")
+    got = fuzzy.candidates(spark.createDataFrame([("common",)], "n string").selectExpr("n as term", "n"), "term", df, "k", within="doc", most_postings=5).collect()
+    assert {(r.k, r.shared, r.need) for r in got} == {(f"b{k}", 7, 2) for k in range(3)}
+
+
 POSITIVE = {
     "config-key-value": '<add key="ClientSecret" value="abc123xyz"/>',
     "named-value": 'Password: "hunter2x"',

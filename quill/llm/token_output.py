@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces
@@ -279,13 +279,10 @@ class Encoder:
         self.count = many
         return numbers[back]
 
-    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, each followed by ``end_id``; number of ids of each row)."""
-        n = len(offs) - 1
+    def _numbers(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece in the table, each row's number of pieces)."""
         if self.count > self.keep:
             self._forget()
-        if not len(data):
-            return np.full(n, end_id, np.uint32), np.ones(n, np.int64)
         starts, many = _pieces(data, offs)
         ends = np.append(starts[1:], len(data))
         h = range_hash(prefix_hash(data), starts, ends)
@@ -294,6 +291,26 @@ class Encoder:
         miss = np.flatnonzero(self.hash[place] != h)
         if len(miss):
             number[miss] = self._learn(data, starts[miss], ends[miss], h[miss])
+        return number, many
+
+    def count_ids(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Number of ids of each row as :meth:`encode` gives them, the end id included."""
+        if not len(data):
+            return np.ones(len(offs) - 1, np.int64)
+        number, many = self._numbers(data, offs)
+        total = np.append(0, np.cumsum(self.begin[number + 1] - self.begin[number]))[np.append(0, np.cumsum(many))]
+        lengths = np.diff(total) + 1
+        odd = _odd_rows(data, offs)
+        if len(odd):
+            lengths[odd] = [len(x) + 1 for x in self._raw([data[offs[k] : offs[k + 1]].tobytes().decode() for k in odd.tolist()])]
+        return lengths
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, each followed by ``end_id``; number of ids of each row)."""
+        n = len(offs) - 1
+        if not len(data):
+            return np.full(n, end_id, np.uint32), np.ones(n, np.int64)
+        number, many = self._numbers(data, offs)
         lens = self.begin[number + 1] - self.begin[number]
         to = np.cumsum(lens)
         first = np.append(0, np.cumsum(many))
@@ -315,6 +332,26 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def n_ids(text: Column | str, tokenizer: str) -> Column:
+    """Number of ids that :func:`write_ids` writes for a text, its end id included; null counts as empty."""
+
+    def run(col: pa.Array) -> pa.Array:
+        data, offs = column_bytes(col)
+        enc = _encoder(tokenizer)
+        parts = [enc.count_ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_chunks(offs, 1 << 18)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+
+    return F.arrow_udf(run, "long")(text)
+
+
 _FILE = "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, base int, width int, rules binary, symbols binary"
 
 
@@ -324,9 +361,7 @@ def _bytes(x: np.ndarray, width: int) -> bytes:
 
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        enc = _ENCODERS[path]
+        enc = _encoder(path)
         part = TaskContext.get().partitionId()
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = block = 0

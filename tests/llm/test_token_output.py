@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from quill.llm import queries
 from quill.llm.textnp import column_bytes
-from quill.llm.token_output import Encoder, compress, load, read_ids, write_ids
+from quill.llm.token_output import Encoder, compress, load, n_ids, read_ids, write_ids
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
@@ -71,3 +72,19 @@ def test_files(spark, tmp_path, monkeypatch):
     empty = spark.createDataFrame([], "doc_id long, text string")
     write_ids(empty, str(tmp_path / "none"), PATH)
     assert read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_counts_equal_whole_text(spark):
+    texts = [None, *ODD, "a\u00a0b \x1f c", "long words " * 40_000]
+    got = {r.k: r.n for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", n_ids("t", PATH).alias("n")).collect()}
+    assert got == {k: len(plain().encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+
+
+def test_mixing_and_packing_queries_count_ids(spark):
+    """op7 and op8 measure documents by the ids that op2 writes, not by words."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    ids = sorted((r.doc_id, len(e.ids) + 1) for r, e in zip(rows, plain().encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True))
+    assert sorted((r.doc_id, r.mix_tokens) for r in queries.op7_mixing(spark, sf).collect()) == ids
+    pieces = queries.op8_packing(spark, sf).collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in pieces) == sorted((d, s, min(2048, n - s)) for d, n in ids for s in range(0, n, 2048))

@@ -5,8 +5,8 @@
    registers follows the sets' similarity.
 2. *Classes.* Texts with the same set are one class; only one text of each goes on.
 3. *Bands.* 56 bands of 5 registers: sets of similarity 0.8 share a band but for a chance of 2e-10. Every member of a bucket is tied to the
-   bucket's smallest id, and the ties' connected components are the candidate groups; pairs are never listed.
-4. *Links.* A group's sketches and texts meet in one task. Each document's similarity with those not yet linked to it is
+   bucket's smallest class, and the ties' connected components are the candidate groups; pairs are never listed.
+4. *Links.* A group's sketches and texts meet in one task. Each class's similarity with those not yet linked to it is
    estimated by maximum likelihood from the registers that are equal, larger and smaller; what comes within 0.15 (six
    standard deviations) of the threshold is verified on the full sets. Groups above a size are dealt into blocks, and each
    pair of blocks is a task; the links found are joined by connected components again.
@@ -170,30 +170,30 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(regs), axis=0)
         for r in range(ROWS):
             key = mix(key * np.uint64(65537) + regs[:, :, r] + np.uint64(1))
-        did = b["did"].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(did, BANDS))], ["bucket", "did"])
+        node = b["node"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], ["bucket", "node"])
 
 
 def _links(size: int, percent: int):
-    """Links within the candidate groups of a bin, or between the two blocks of a pair: (u, v) with v the smallest id linked."""
+    """Links within the candidate groups of a bin, or between the two blocks of a pair: (u, v) with v the smallest class linked."""
 
     def run(t: pa.Table) -> pa.Table:
         u: list[np.ndarray] = []
         v: list[np.ndarray] = []
-        t = t.sort_by([("root", "ascending"), ("side", "ascending"), ("did", "ascending")])
+        t = t.sort_by([("root", "ascending"), ("side", "ascending"), ("node", "ascending")])
         root = t["root"].to_numpy()
         cut = np.append(np.flatnonzero(np.append(True, root[1:] != root[:-1])), len(root)) if len(root) else np.zeros(1, np.int64)
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             part = t.slice(i, j - i)
-            did, side = part["did"].to_numpy(), part["side"].to_numpy()
+            node, side = part["node"].to_numpy(), part["side"].to_numpy()
             left = int((side == 0).sum()) if side.any() else None
             keys, to = shingles(*column_bytes(part["text"]), size)
             comp = link(_registers_of(part["regs"].combine_chunks()), keys, to, percent, left=left)
-            order = np.lexsort((did, comp))
+            order = np.lexsort((node, comp))
             c = comp[order]
             head = np.append(True, c[1:] != c[:-1])
-            least = did[order][np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))]
-            u.append(did[order][~head])
+            least = node[order][np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))]
+            u.append(node[order][~head])
             v.append(least[~head])
         return pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
 
@@ -207,21 +207,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     doc_id that can be reached over links, and kept tells whether it is the row's own. Words are what stands between ASCII white
     space, compared with A-Z in lower case. A text of fewer words than a shingle has them all as one; a text without words, or null, has
     none and is linked with nothing. Rows with a null doc_id are linked with nothing, have a null component_id and are kept.
-    Repeated ids are linked by their texts and share a verdict where the texts do. ``bin_bytes`` is what small groups of one task have together; ``block_docs`` and ``block_bytes`` bound a block of a large group.
+    Repeated ids are linked by their texts, each text for itself, and share a verdict where the texts do. ``bin_bytes`` is what small groups of one task have together; ``block_docs`` and ``block_bytes`` bound a block of a large group.
     """
     rows = docs.select("doc_id", *doc_key(), "text")
     sketch = written(rows.select("did", "dth", "text").mapInArrow(_sketch(shingle), "did long, dth long, n long, set1 long, set2 long, regs binary"), "sketches")
     usable = sketch.filter((F.col("n") > 0) & (F.col("did") != -(1 << 63)))
-    classes = written(usable.groupBy("set1", "set2", "n").agg(F.min(F.struct("did", "dth")).alias("rep")).select("set1", "set2", "n", "rep.did", "rep.dth"), "classes")
-    # an id with several texts keeps the class of one text as its node; the rest stand alone with their class
-    nodes = classes.groupBy("did").agg(F.min("dth").alias("dth"))
-    heads = sketch.join(nodes, ["did", "dth"]).select("did", "regs")
-    buckets = written(heads.mapInArrow(_bands, "bucket long, did long"), "bands")
-    pivots = buckets.groupBy("bucket").agg(F.min("did").alias("v"), F.max("did").alias("most")).filter("most > v").select("bucket", "v")
-    ties = buckets.join(pivots, "bucket").filter("did <> v").select(F.col("did").alias("u"), "v").distinct()
-    groups = written(connected_components(ties).select(F.col("node").alias("did"), "root"), "groups")
-
-    members = groups.join(nodes, "did").join(sketch.select("did", "dth", "regs"), ["did", "dth"]).join(rows.select("did", "dth", "text"), ["did", "dth"]).select("did", "root", "regs", "text")
+    classes = usable.groupBy("set1", "set2", "n").agg(F.min(F.struct("did", "dth")).alias("rep"))
+    # sketches, bands and links are of classes; an id with several texts is in the class of each
+    classes = written(classes.select("set1", "set2", "n", F.xxhash64("set1", "set2", "n").alias("node"), "rep.did", "rep.dth"), "classes")
+    nodes = classes.select("did", "dth", "node")
+    heads = sketch.join(nodes, ["did", "dth"]).select("node", "regs")
+    buckets = written(heads.mapInArrow(_bands, "bucket long, node long"), "bands")
+    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("most > v").select("bucket", "v")
+    ties = buckets.join(pivots, "bucket").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    groups = written(connected_components(ties), "groups")
+
+    members = groups.join(nodes, "node").join(sketch.select("did", "dth", "regs"), ["did", "dth"]).join(rows.select("did", "dth", "text"), ["did", "dth"]).select("node", "root", "regs", "text")
     members = written(members, "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text") + 600).alias("bytes"))
     # a large group spreads over up to SPREAD blocks for the sake of parallel work, and over more only where its blocks would be too large
@@ -230,15 +231,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bins = max(1, math.ceil(total / bin_bytes))
     placed = members.join(sizes, "root")
-    whole = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), F.lit(0).alias("one"), F.lit(0).alias("two"), "root", F.lit(0).alias("side"), "did", "regs", "text")
-    block = F.pmod(F.xxhash64("did"), F.col("blocks")).cast("int")
+    whole = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), F.lit(0).alias("one"), F.lit(0).alias("two"), "root", F.lit(0).alias("side"), "node", "regs", "text")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     split = placed.filter("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select(F.col("root").alias("bin"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "root", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "did", "regs", "text")
+    split = split.select(F.col("root").alias("bin"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "root", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "regs", "text")
     inner = whole.groupBy("bin").applyInArrow(_links(shingle, percent), "u long, v long")
     outer = split.groupBy("bin", "one", "two").applyInArrow(_links(shingle, percent), "u long, v long")
     found = written(inner.unionByName(outer), "links")
     roots = connected_components(found)
-    known = classes.join(roots, classes["did"] == roots["node"], "left").select("set1", "set2", "n", F.coalesce("root", "did").alias("component"))
+    known = classes.join(roots, "node", "left").select("set1", "set2", "n", "did", F.coalesce("root", "node").alias("root"))
+    least = known.groupBy("root").agg(F.min("did").alias("component"))
+    known = known.join(least, "root").select("set1", "set2", "n", "component")
     out = sketch.select("did", "dth", "n", "set1", "set2").join(known, ["set1", "set2", "n"], "left")
     null_id = F.col("did") == -(1 << 63)
     doc_id = F.when(~null_id, F.col("did"))

@@ -70,6 +70,21 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text", "__x"]
 
 
+def test_several_texts_under_one_id(spark):
+    """Each text of an id is linked for itself: near copies of any of them are found, and none takes another's component."""
+    words = [[f"{c}{k}" for k in range(60)] for c in "tuvw"]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    t, u, v, w = (" ".join(x) for x in words)
+    rows = [(2, near(words[0])), (5, t), (5, u), (5, v), (7, near(words[1])), (8, near(words[2])), (9, w), (4, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text_hash): (r.component_id, r.kept) for r in nd.near_duplicates(df).collect()}
+    hashed = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    want = [(2, True), (2, False), (4, False), (5, True), (4, False), (5, False), (9, True), (4, True)]
+    assert {k: got[k[0], hashed[k]] for k in rows} == dict(zip(rows, want, strict=True))
+    kept = {(r.doc_id, r.text) for r in nd.drop_near_duplicates(df).collect()}
+    assert kept == {r for r, (_, keep) in zip(rows, want, strict=True) if keep}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 63, 3000).astype(np.uint64)

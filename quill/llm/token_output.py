@@ -59,7 +59,7 @@ class Grammar:
         return self._expand(self.symbols, self.expansions())
 
     def decode_range(self, start: int, stop: int) -> np.ndarray:
-        """Ids start..stop-1 of the block; only the symbols that cover them are expanded."""
+        """Ids start..stop-1 of the block, put together from the symbols that cover them; the expansions of all symbols are built first."""
         table = self.expansions()
         end = np.cumsum(np.diff(table[1])[self.symbols])
         if not len(end) or stop <= start:

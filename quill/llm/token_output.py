@@ -1,18 +1,20 @@
 """Token-id output in Re-Pair grammar files.
 
 Texts are encoded in ascending doc_id order and written as blocks of bounded size. In each block frequent pairs of ids
-are replaced by nonterminals, over and over; a block stores its rules, and from them every symbol's expansion length, so
-any range of ids can be decoded without the rest. Rules never span documents. A file row is one block:
+are replaced by nonterminals until no pair stands ``LEAST`` times; a block stores its rules and their expansion lengths, so
+any range of ids can be decoded without expanding the rest. Rules never span documents. A file row is one block:
 
 part, block      order of the blocks (by range partition, then within it)
 doc_ids, lengths documents of the block and their id counts
 base             ids below it are terminals; nonterminal k is base + k
 rules            two little-endian symbols for each nonterminal, of ``width`` bytes each
+sizes            the nonterminals' expansion lengths, of 4 bytes each
 symbols          the block's symbols, of ``width`` bytes each
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,114 +27,169 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces
-from .textnp import column_bytes, prefix_hash, range_hash, row_chunks
+from .textnp import column_bytes, mix, row_chunks
 
 BLOCK_IDS = 1 << 18
 MOST_BOUNDS = 512  # a row looks at every bound; more partitions are dealt by Spark's own range partitioning
-PAIRS, ROUNDS, LEAST, BINS = 3000, 12, 8, 1 << 17
+LEAST = 8  # a pair that stands less often in a block gets no rule
+BARS = (400, 100, 32, 12)  # counts of the first rounds
+BIN_BITS = 17
+BINS = 1 << BIN_BITS
 
 
 @dataclass
 class Grammar:
-    """A block of ids as a grammar: symbols below ``base`` are ids, others index ``rules``."""
+    """A block of ids as a grammar: symbols below ``base`` are ids, others index ``rules``; ``sizes`` are the rules' expansion lengths."""
 
     base: int
     rules: np.ndarray  # (n, 2)
+    sizes: np.ndarray  # (n,)
     symbols: np.ndarray
 
-    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of every symbol's expansion end to end, where each begins and where the last ends)."""
-        size = [1] * self.base
-        text = [(k).to_bytes(4, "little") for k in range(self.base)]
-        for a, b in self.rules.tolist():
-            size.append(size[a] + size[b])
-            text.append(text[a] + text[b])
-        return np.frombuffer(b"".join(text), "<u4"), np.append(0, np.cumsum(size))
-
-    def _expand(self, symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        flat, begin = table
-        lens = (begin[1:] - begin[:-1])[symbols]
-        to = np.cumsum(lens)
-        return flat[np.repeat(begin[symbols] - (to - lens), lens) + np.arange(int(to[-1]) if len(to) else 0)]
+    def lengths(self, symbols: np.ndarray) -> np.ndarray:
+        """Expansion length of each symbol."""
+        out = np.ones(len(symbols), np.int64)
+        ruled = symbols >= self.base
+        out[ruled] = self.sizes[symbols[ruled] - self.base]
+        return out
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of the symbols end to end: nonterminals are replaced by their two sides until none is left."""
+        out = symbols.astype(np.uint32)
+        while len(at := np.flatnonzero(out >= self.base)):
+            many = np.ones(len(out), np.int64)
+            many[at] = 2
+            side = self.rules[out[at] - self.base]
+            place = at + np.arange(len(at))
+            out = np.repeat(out, many)
+            out[place], out[place + 1] = side[:, 0], side[:, 1]
+        return out
 
     def decode(self) -> np.ndarray:
-        return self._expand(self.symbols, self.expansions())
+        """All ids of the block; each rule is expanded once."""
+        flat = np.append(np.arange(self.base, dtype=np.uint32), self.expand(self.base + np.arange(len(self.rules))))
+        lens = self.lengths(self.symbols)
+        begin = np.append(np.arange(self.base), self.base + np.cumsum(self.sizes) - self.sizes)[self.symbols]
+        to = np.cumsum(lens)
+        return flat[np.repeat(begin - (to - lens), lens) + np.arange(int(to[-1]) if len(to) else 0)]
 
     def decode_range(self, start: int, stop: int) -> np.ndarray:
-        """Ids start..stop-1 of the block, put together from the symbols that cover them; the expansions of all symbols are built first."""
-        table = self.expansions()
-        end = np.cumsum(np.diff(table[1])[self.symbols])
+        """Ids start..stop-1 of the block: the stored lengths tell which symbols cover them, and only those are expanded."""
+        end = np.cumsum(self.lengths(self.symbols))
         if not len(end) or stop <= start:
             return np.zeros(0, np.uint32)
         i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left")
         before = int(end[i - 1]) if i else 0
-        return self._expand(self.symbols[i : j + 1], table)[start - before : stop - before]
-
-
-def compress(ids: np.ndarray, lengths: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
-    """Re-Pair over the documents of a block. Each round takes about ``pairs`` of its most frequent pairs at once, found by exact
-    counts within the fullest bins of a hashed count; occurrences that overlap are taken from left to right. It ends when no
-    pair occurs ``least`` times, when a round saves under 3 %, or after ``rounds`` rounds."""
+        return self.expand(self.symbols[i : j + 1])[start - before : stop - before]
+
+
+def _choose(which: np.ndarray, count: np.ndarray, beside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the places, in order, are replaced; which pairs get a rule). Of places that overlap the next (``beside``) the one of
+    the more frequent pair is taken, of equally frequent ones every other from the left."""
+    weight = count[which]
+    keep = np.ones(len(which), bool)
+    keep[1:] &= ~(beside & (weight[1:] < weight[:-1]))
+    keep[:-1] &= ~(beside & (weight[:-1] < weight[1:]))
+    tied = np.zeros(len(which), bool)
+    tied[1:] = beside & keep[1:] & keep[:-1]
+    run = np.arange(len(which))
+    keep &= (run - np.maximum.accumulate(np.where(tied, 0, run))) % 2 == 0
+    used = np.bincount(which[keep], minlength=len(count)) >= max(2, least // 2)
+    return keep & used[which], used
+
+
+class _Rules:
+    def __init__(self, base: int):
+        self.base, self.sides, self.sizes = base, [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> int:
+        """The first of the new symbols."""
+        known = lambda x: np.where(x < self.base, 1, np.append(self.sizes, 0)[np.maximum(x.astype(np.int64) - self.base, 0)])
+        first = self.base + len(self.sizes)
+        self.sides.append(np.stack([left, right], axis=1).astype(np.uint32))
+        self.sizes = np.append(self.sizes, known(left) + known(right))
+        return first
+
+
+def _round(s: np.ndarray, last: np.ndarray, rules: _Rules, bar: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Replace the pairs that stand ``bar`` times or more, as far as a hashed count finds them."""
+    # a pair as one number: 16 bits a symbol while there are so few of them
+    kind, bits = (np.uint32, 16) if rules.base + len(rules.sizes) <= 1 << 16 else (np.uint64, 32)
+    spread, down = (0x9E3779B1, 32 - BIN_BITS) if bits == 16 else (0x9E3779B97F4A7C15, 64 - BIN_BITS)
+    pair = s[:-1].astype(kind)
+    pair |= s[1:].astype(kind) << kind(bits)
+    bins = ((pair * kind(spread + 2 * turn)) >> kind(down)).astype(np.intp)
+    bins[last[:-1]] = BINS
+    hot = np.bincount(bins, minlength=BINS + 1) >= bar
+    hot[BINS] = False
+    at = np.flatnonzero(hot[bins])
+    # one pair stands for each bin, nearly always its only frequent one; its exact count decides
+    key, where = pair[at], bins[at]
+    first = np.zeros(BINS + 1, kind)
+    first[where] = key
+    hit = first[where] == key
+    at, where = at[hit], where[hit]
+    count = np.bincount(where, minlength=BINS + 1)
+    take = count >= bar
+    hit = take[where]
+    at, which, found, count = at[hit], (np.cumsum(take) - 1)[where[hit]], first[take], count[take]
+    if not len(at):
+        return s, last
+    keep, used = _choose(which, count, at[1:] == at[:-1] + 1, bar)
+    at, which = at[keep], which[keep]
+    new = rules.add(found[used] & kind((1 << bits) - 1), found[used] >> kind(bits))
+    s[at] = new + (np.cumsum(used) - 1)[which]
+    last[at] = last[at + 1]
+    stay = np.ones(len(s), bool)
+    stay[at + 1] = False
+    return s[stay], last[stay]
+
+
+def _finish(s: np.ndarray, last: np.ndarray, rules: _Rules, least: int) -> np.ndarray:
+    """Replace pairs until none stands ``least`` times. After the first count only places of frequent pairs and those beside a replaced one
+    are looked at: any other pair stands as often as before or less."""
+    n = len(s)
+    code = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
+    bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.intp)
+    at = np.flatnonzero((np.bincount(bins, minlength=BINS) >= least)[bins] & ~last[:-1])
+    after, before, live = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    while len(at):
+        found, which, count = np.unique(s[at].astype(np.uint64) << np.uint64(32) | s[after[at]], return_inverse=True, return_counts=True)
+        ok = (count >= least)[which]
+        if not ok.any():
+            break
+        at, which = at[ok], which[ok]
+        keep, used = _choose(which, count, after[at[:-1]] == at[1:], least)
+        hit, which = at[keep], which[keep]
+        new = rules.add(found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF))
+        s[hit] = new + (np.cumsum(used) - 1)[which]
+        gone = after[hit]
+        last[hit], live[gone], after[hit] = last[gone], False, after[gone]
+        beyond = after[hit] < n
+        before[after[hit[beyond]]] = hit[beyond]
+        at = np.unique(np.concatenate([at, hit, before[hit]]))
+        at = at[at >= 0]
+        at = at[live[at] & ~last[at]]
+    return s[live]
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> Grammar:
+    """Re-Pair over the documents of a block, until no pair stands ``least`` times.
+
+    Rounds replace all pairs above a count that falls from round to round; pairs that overlap give way to more frequent ones. Pairs never span
+    documents.
+    """
     s = ids.astype(np.uint32)
-    base = max(int(s.max()) + 1 if len(s) else 1, 1)
+    rules = _Rules(max(int(s.max()) + 1 if len(s) else 1, 1))
     last = np.zeros(len(s), bool)  # the document ends after this symbol
     ends = np.cumsum(lengths) - 1
     last[ends[lengths > 0]] = True
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    # a pair as one number: 16 bits a symbol where ids leave room for a round of rules, which then end with that room
-    kind, bits = (np.uint32, 16) if base + pairs < 1 << 16 else (np.uint64, 32)
-    spread, down = (np.uint32(0x9E3779B1), np.uint32(15)) if bits == 16 else (np.uint64(0x9E3779B97F4A7C15), np.uint64(47))
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        pair = s[:-1].astype(kind)
-        pair |= s[1:].astype(kind) << kind(bits)
-        bins = (pair * spread) >> down
-        bins[last[:-1]] = 0
-        count = np.bincount(bins, minlength=BINS)
-        count[0] = 0
-        hot = count >= least
-        if int(hot.sum()) > 2 * pairs:
-            hot &= count >= np.partition(count, BINS - 2 * pairs)[BINS - 2 * pairs]
-        at = np.flatnonzero(hot[bins])
-        if not len(at):
-            break
-        # one pair stands for each bin, nearly always its only frequent one; its exact count decides
-        key, where = pair[at], bins[at]
-        first = np.zeros(BINS, kind)
-        first[where] = key
-        hit = first[where] == key
-        at, where = at[hit], where[hit]
-        n = np.bincount(where, minlength=BINS)
-        take = n >= least
-        if int(take.sum()) > pairs:
-            take &= n >= np.partition(n, BINS - pairs)[BINS - pairs]
-        number_of = np.cumsum(take) - 1
-        hit = take[where]
-        at, which = at[hit], number_of[where[hit]]
-        found = first[take]
-        if not len(at) or base + n_rules + len(found) > 1 << bits:
-            break
-        new = np.append(True, at[1:] != at[:-1] + 1)
-        chain = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        at, which = at[chain % 2 == 0], which[chain % 2 == 0]
-        used = np.bincount(which, minlength=len(found)) >= max(3, least // 2)
-        at, which = at[used[which]], which[used[which]]
-        if not len(at):
-            break
-        number = np.cumsum(used) - 1
-        rules.append(np.stack([found[used] & kind((1 << bits) - 1), found[used] >> kind(bits)], axis=1).astype(np.uint32))
-        saved = len(at) / len(s)
-        s[at] = base + n_rules + number[which]
-        last[at] = last[at + 1]
-        stay = np.ones(len(s), bool)
-        stay[at + 1] = False
-        s, last = s[stay], last[stay]
-        n_rules += int(used.sum())
-        if saved < 0.03:
-            break
-    return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), s)
+    for turn, bar in enumerate(BARS):
+        if bar > least and len(s) > 1:
+            s, last = _round(s, last, rules, bar, turn)
+    if len(s) > 1:
+        s = _finish(s, last, rules, least)
+    return Grammar(rules.base, np.concatenate(rules.sides), rules.sizes, s)
 
 
 # --- encoding ---------------------------------------------------------------------------
@@ -196,25 +253,49 @@ def _visible() -> np.ndarray:
 _VISIBLE = _visible()
 
 
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+SHORT = 15  # bytes that a piece's two words can hold beside its length
+
+
+def _byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file cuts texts by the byte-level pattern and nothing else, so that pieces can be encoded apart."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    whole = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    lines = not any(t["content"].split() != [t["content"]] for t in spec.get("added_tokens") or [])
+    return bool(plain and whole and lines and model.get("type") == "BPE" and not (spec.get("normalizer") or spec.get("truncation") or spec.get("padding")))
+
+
 class Encoder:
-    """Whole-text encoding. The pattern that the tokenizer cuts texts by makes pieces independent of each other, so each
-    piece is encoded once and kept in a table by its 64-bit hash; texts with rare white space are encoded in one go."""
+    """Whole-text encoding, as the library's ``encode(text, add_special_tokens=False)`` gives it.
+
+    The byte-level pattern makes pieces independent of each other, so each piece is encoded once and kept in a table by its very bytes:
+    up to ``SHORT`` as two words with the length, longer ones in a dictionary. Texts with rare white space or with the string of an
+    added token are encoded in one go, and so is everything where the tokenizer isn't of that kind.
+    """
 
-    SLOTS = 1 << 21
+    SLOT_BITS = 20
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = _byte_level(spec)
+        self.strings = [t["content"].encode() for t in spec.get("added_tokens") or []]
+        del spec
         self.keep = keep
-        (self.newline,) = self._raw(["\n"])[0].tolist()
+        if self.plain:
+            (self.newline,) = self._raw(["\n"])[0].tolist()
         self._forget()
 
     def _forget(self) -> None:
-        self.hash = np.zeros(self.SLOTS, np.uint64)  # the hash of each slot's piece
-        self.slot = np.zeros(self.SLOTS, np.int32)  # its number in the store
+        n = 1 << self.SLOT_BITS
+        self.words = np.zeros((2, n), np.uint64)  # the piece of each slot; no piece is all zeros, as its length is one byte
+        self.slot = np.zeros(n, np.int32)  # its number in the store
+        self.long: dict[bytes, int] = {}
         self.count = 1
         self.begin = np.zeros(self.keep // 4 + 2, np.int64)  # begin[k] .. begin[k + 1]: piece k's ids
         self.ids = np.zeros(self.keep, np.uint32)
@@ -234,75 +315,102 @@ class Encoder:
         seen = _VISIBLE[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le").split("\n")
         tokenize = self.tok.model.tokenize
         for k, t, v in zip(lined, joined.decode().split("\n"), seen, strict=False):  # no piece: one empty string
-            core = t.removeprefix(" ")
+            core = t[1:] if t[:1] == " " else t
             if core.isalpha() or (core.isdigit() and core.isascii()):
                 got = [x.id for x in tokenize(v)]
                 plain.append(k)
                 ids += got
                 lens.append(len(got))
             else:
-                rest.append(k)
-        rest += [k for k, p in enumerate(pieces) if b"\n" in p]
+                rest.append((k, t, core))
         ids, lens = [np.array(ids, np.uint32)], [np.array(lens, np.int64)]
-        lines = [k for k in rest if (t := pieces[k].decode()).removeprefix(" ").split() == [t.removeprefix(" ")]]
+        lines, odd = [], [(k, pieces[k].decode()) for k, p in enumerate(pieces) if b"\n" in p]
+        for k, t, core in rest:
+            (lines if core.split() == [core] else odd).append((k, t))
         for i in range(0, len(lines), 2000):
-            x = self._raw(["".join(pieces[k].decode() + "\n" for k in lines[i : i + 2000])])[0]
+            x = self._raw(["".join([t + "\n" for _, t in lines[i : i + 2000]])])[0]
             end = x == self.newline
             lens.append(np.diff(np.append(-1, np.flatnonzero(end))) - 1)
             ids.append(x[~end])
-        done = set(lines)
-        odd = [k for k in rest if k not in done]
-        for x in self._raw([pieces[k].decode() for k in odd]):
+        for x in self._raw([t for _, t in odd]):
             lens.append(np.array([len(x)]))
             ids.append(x)
-        plain += lines
-        rest = odd
-        return plain + rest, np.concatenate(ids), np.concatenate(lens)
+        return plain + [k for k, _ in lines + odd], np.concatenate(ids), np.concatenate(lens)
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of pieces that the table lacks."""
-        new, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        order, ids, lens = self._encode_pieces([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        many = self.count + len(new)
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces that the table lacks, all different."""
+        order, ids, lens = self._encode_pieces(pieces)
+        many = self.count + len(pieces)
         if many + 2 > len(self.begin):
             self.begin = np.append(self.begin, np.zeros(max(many, len(self.begin)), np.int64))
-        numbers = np.empty(len(new), np.int64)
+        numbers = np.empty(len(pieces), np.int64)
         numbers[order] = np.arange(self.count, many)
         to = self.begin[self.count] + np.cumsum(lens)
         self.begin[self.count + 1 : many + 1] = to
         if to[-1] > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(max(int(to[-1]), len(self.ids)), np.uint32))
         self.ids[self.begin[self.count] : to[-1]] = ids
-        place = (new >> np.uint64(43)).astype(np.int64)
-        self.hash[place], self.slot[place] = new, numbers
         self.count = many
-        return numbers[back]
+        return numbers
 
     def _numbers(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of every piece in the table, each row's number of pieces)."""
         if self.count > self.keep:
             self._forget()
         starts, many = _pieces(data, offs)
-        ends = np.append(starts[1:], len(data))
-        h = range_hash(prefix_hash(data), starts, ends)
-        place = (h >> np.uint64(43)).astype(np.int64)
+        size = np.diff(np.append(starts, len(data)))
+        raw = data.tobytes() + bytes(16)
+        at = np.ndarray(len(data) + 9, "<u8", raw, 0, (1,))  # the 8 bytes from each place on
+        one = at[starts] & _MASK[np.minimum(size, 8)]
+        two = at[starts + np.minimum(size, 8)] & _MASK[np.clip(size - 8, 0, 7)] | (size.astype(np.uint64) << np.uint64(56))
+        place = (mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> np.uint64(64 - self.SLOT_BITS)).astype(np.intp)
         number = self.slot[place].astype(np.int64)
-        miss = np.flatnonzero(self.hash[place] != h)
+        short = size <= SHORT
+        miss = np.flatnonzero(short & ((self.words[0, place] != one) | (self.words[1, place] != two)))
+        cut = lambda k: [raw[x : x + n] for x, n in zip(starts[k].tolist(), size[k].tolist(), strict=True)]
         if len(miss):
-            number[miss] = self._learn(data, starts[miss], ends[miss], h[miss])
+            miss = miss[np.lexsort((one[miss], two[miss]))]
+            new = np.append(True, (one[miss[1:]] != one[miss[:-1]]) | (two[miss[1:]] != two[miss[:-1]]))
+            head = miss[new]
+            numbers = self._learn(cut(head))
+            number[miss] = numbers[np.cumsum(new) - 1]
+            self.words[:, place[head]], self.slot[place[head]] = (one[head], two[head]), numbers
+        long = np.flatnonzero(~short)
+        if len(long):
+            found = cut(long)
+            new = list(dict.fromkeys(p for p in found if p not in self.long))
+            if new:
+                self.long.update(zip(new, self._learn(new).tolist(), strict=True))
+            number[long] = [self.long[p] for p in found]
         return number, many
 
+    def _odd(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Rows that are encoded in one go."""
+        rows = [_odd_rows(data, offs)]
+        raw = data.tobytes()
+        for t in self.strings:
+            at, hits = raw.find(t), []
+            while at >= 0:
+                hits.append(at)
+                at = raw.find(t, at + 1)
+            rows.append(np.searchsorted(offs, np.array(hits, np.int64), "right") - 1)
+        return np.unique(np.concatenate(rows))
+
+    def _whole(self, data: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        return self._raw([data[offs[k] : offs[k + 1]].tobytes().decode() for k in rows.tolist()])
+
     def count_ids(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Number of ids of each row as :meth:`encode` gives them, the end id included."""
         if not len(data):
             return np.ones(len(offs) - 1, np.int64)
+        if not self.plain:
+            return np.array([len(x) + 1 for x in self._whole(data, offs, np.arange(len(offs) - 1))], np.int64)
         number, many = self._numbers(data, offs)
         total = np.append(0, np.cumsum(self.begin[number + 1] - self.begin[number]))[np.append(0, np.cumsum(many))]
         lengths = np.diff(total) + 1
-        odd = _odd_rows(data, offs)
+        odd = self._odd(data, offs)
         if len(odd):
-            lengths[odd] = [len(x) + 1 for x in self._raw([data[offs[k] : offs[k + 1]].tobytes().decode() for k in odd.tolist()])]
+            lengths[odd] = [len(x) + 1 for x in self._whole(data, offs, odd)]
         return lengths
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,21 +418,22 @@ class Encoder:
         n = len(offs) - 1
         if not len(data):
             return np.full(n, end_id, np.uint32), np.ones(n, np.int64)
+        if not self.plain:
+            parts = [np.append(x, np.uint32(end_id)) for x in self._whole(data, offs, np.arange(n))]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         number, many = self._numbers(data, offs)
         lens = self.begin[number + 1] - self.begin[number]
         to = np.cumsum(lens)
-        first = np.append(0, np.cumsum(many))
-        total = np.append(0, to)[first]
+        total = np.append(0, to)[np.append(0, np.cumsum(many))]
+        place = np.arange(int(to[-1]))
+        source = self.ids[np.repeat(self.begin[number] - (to - lens), lens) + place]
         ids = np.full(int(to[-1]) + n, end_id, np.uint32)
-        row = np.repeat(np.arange(n), many)  # every earlier row has one end id
-        shift = self.begin[number] - (to - lens)
-        source = np.repeat(shift, lens) + np.arange(int(to[-1]))
-        ids[np.arange(int(to[-1])) + np.repeat(row, lens)] = self.ids[source]
+        ids[place + np.repeat(np.arange(n), np.diff(total))] = source  # every earlier row has one end id
         lengths = np.diff(total) + 1
-        odd = _odd_rows(data, offs)
+        odd = self._odd(data, offs)
         if len(odd):
             parts = np.split(ids, np.cumsum(lengths)[:-1])
-            for k, x in zip(odd.tolist(), self._raw([data[offs[k] : offs[k + 1]].tobytes().decode() for k in odd.tolist()]), strict=True):
+            for k, x in zip(odd.tolist(), self._whole(data, offs, odd), strict=True):
                 parts[k] = np.append(x, np.uint32(end_id))
                 lengths[k] = len(parts[k])
             ids = np.concatenate(parts)
@@ -352,7 +461,7 @@ def n_ids(text: Column | str, tokenizer: str) -> Column:
     return F.arrow_udf(run, "long")(text)
 
 
-_FILE = "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, base int, width int, rules binary, symbols binary"
+_FILE = "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, base int, width int, rules binary, sizes binary, symbols binary"
 
 
 def _bytes(x: np.ndarray, width: int) -> bytes:
@@ -373,7 +482,7 @@ def _write(path: str, end_id: int):
             width = 2 if g.base + len(g.rules) <= 1 << 16 else 4
             whole = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
             cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)]), whole(docs, pa.int64()), whole(lengths.astype(np.int32), pa.int32()), pa.array([g.base], pa.int32()), pa.array([width], pa.int32())]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([_bytes(g.rules, width)]), pa.array([_bytes(g.symbols, width)])], ["part", "block", "n_ids", "doc_ids", "lengths", "base", "width", "rules", "symbols"])
+            return pa.RecordBatch.from_arrays([*cols, pa.array([_bytes(g.rules, width)]), pa.array([_bytes(g.sizes, 4)]), pa.array([_bytes(g.symbols, width)])], ["part", "block", "n_ids", "doc_ids", "lengths", "base", "width", "rules", "sizes", "symbols"])
 
         for b in batches:
             data, offs = column_bytes(b["text"])
@@ -415,14 +524,14 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, parts:
 def load(row: dict) -> Grammar:
     """The grammar of one file row."""
     kind = "<u2" if row["width"] == 2 else "<u4"
-    return Grammar(row["base"], np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.uint32), np.frombuffer(row["symbols"], kind).astype(np.uint32))
+    return Grammar(row["base"], np.frombuffer(row["rules"], kind).reshape(-1, 2).astype(np.uint32), np.frombuffer(row["sizes"], "<u4").astype(np.int64), np.frombuffer(row["symbols"], kind).astype(np.uint32))
 
 
 def _read(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
-                row = {c: b[c][k].as_py() for c in ("base", "width", "rules", "symbols", "before")}
+                row = {c: b[c][k].as_py() for c in ("base", "width", "rules", "sizes", "symbols", "before")}
                 raw = memoryview(load(row).decode().astype("<u4")).cast("B")
                 lengths = b["lengths"][k].values.to_numpy().astype(np.int64)
                 to = np.cumsum(lengths)
@@ -444,5 +553,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     # one row for each part: their number is that of the write's partitions
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "part_start")
     starts = sizes.withColumn("in_part", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("in_part")).alias("before"))
-    rows = blocks.join(starts, ["part", "block"]).select("doc_ids", "lengths", "base", "width", "rules", "symbols", "before")
+    rows = blocks.join(starts, ["part", "block"]).select("doc_ids", "lengths", "base", "width", "rules", "sizes", "symbols", "before")
     return rows.mapInArrow(_read(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,10 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
 
 
-def plain():
+def plain(path=PATH):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \nb", "a\n \nb", "x   y", "it's <|endoftext|> don't", "é à ñ", "a  b", "tab\tb c", "😀 ok 12 345,6", "\n\n x"]
@@ -36,6 +35,48 @@ def test_encoder_equals_whole_text():
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
 
 
+def thue_morse(n=1024):
+    """A word and its complement, on which polynomial hashes modulo a power of two collide whatever their base."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_pieces_are_told_apart_by_their_bytes():
+    texts = [*thue_morse(), *(" " + t for t in thue_morse(64)), "a" * 15, "a" * 16, " " + "a" * 15, "é" * 7, "é" * 8, "x<|endoftext|>y", "x <|endoftext|> y"]
+    enc = Encoder(PATH)
+    ids, lengths = enc.encode(*column_bytes(pa.array(texts)), 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*plain().encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert plain().encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = P.path("word_bpe_49k.json")
+    texts = ["Hello  World", "", "it's <|endoftext|> 12 345", "é\n\nx", *thue_morse()]
+    enc = Encoder(path)
+    assert not enc.plain
+    data, offs = column_bytes(pa.array(texts))
+    want = [[*plain(path).encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    ids, lengths = enc.encode(data, offs, 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    assert enc.count_ids(data, offs).tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("least", [2, 8])
+def test_grammar_runs_to_its_floor(least):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 300, 200)
+    ids = np.concatenate([rng.zipf(1.3, int(lengths.sum())).clip(0, 60_000), [7] * 500, [1, 2] * 300]).astype(np.uint32)
+    lengths = np.append(lengths, [500, 600])
+    g = compress(ids, lengths, least)
+    assert g.decode().tolist() == ids.tolist()
+    assert g.sizes.tolist() == [len(g.expand(np.array([g.base + k]))) for k in range(len(g.rules))]
+    ends = set(np.cumsum(lengths).tolist())
+    at = np.cumsum(g.lengths(g.symbols)).tolist()
+    pairs = Counter((a, b) for a, b, end in zip(g.symbols.tolist(), g.symbols[1:].tolist(), at, strict=False) if end not in ends)
+    assert max(pairs.values()) < least
+    assert len(g.symbols) + 2 * len(g.rules) < 0.9 * len(ids)
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     for n_docs, top in ((0, 5), (1, 3), (40, 4), (40, 70000)):

@@ -160,6 +160,8 @@ def _finish(s: np.ndarray, last: np.ndarray, rules: _Rules, least: int) -> np.nd
             break
         at, which = at[ok], which[ok]
         keep, used = _choose(which, count, after[at[:-1]] == at[1:], least)
+        if not keep.any():  # what is left overlaps itself
+            break
         hit, which = at[keep], which[keep]
         new = rules.add(found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF))
         s[hit] = new + (np.cumsum(used) - 1)[which]

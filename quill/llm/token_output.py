@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces
-from .textnp import column_bytes, mix, row_chunks
+from .textnp import column_bytes, mix, row_chunks, trim
 
 BLOCK_IDS = 1 << 18
 MOST_BOUNDS = 512  # a row looks at every bound; more partitions are dealt by Spark's own range partitioning
@@ -458,6 +458,7 @@ def n_ids(text: Column | str, tokenizer: str) -> Column:
         data, offs = column_bytes(col)
         enc = _encoder(tokenizer)
         parts = [enc.count_ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_chunks(offs, 1 << 18)]
+        trim()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
 
     return F.arrow_udf(run, "long")(text)
@@ -496,8 +497,11 @@ def _write(path: str, end_id: int):
                 if size >= BLOCK_IDS:
                     yield flush()
                     held, size, block = [], 0, block + 1
+            trim()
         if held:
             yield flush()
+        held = []
+        trim()
 
     return run
 
@@ -543,6 +547,7 @@ def _read(with_ids: bool):
                 if with_ids:
                     cols, names = [*cols, pa.array([bytes(x) for x in each], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            trim()
 
     return run
 

@@ -13,12 +13,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset and all runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jdir.get() if jdir.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -58,3 +60,28 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("did"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dth"),
     ]
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column (letter case doesn't tell columns apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, entries: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``entries``, which have each key once and how many of the ``total`` rows bear it.
+
+    Entries of more than a thousandth of all rows, fewer than a thousand by that, are broadcast, so no task gets all rows of such a key;
+    the others are shuffled. Both sides are read again for each part and should be tables. ``how``: inner or left.
+    """
+    heavy = F.col(weight) * 1000 > total
+    top = entries.filter(heavy)
+    if top.isEmpty():
+        return rows.join(entries, on, how)
+    rest = rows.join(F.broadcast(top.select(*on)), on, "left_anti").join(entries.filter(~heavy), on, how)
+    return rows.join(F.broadcast(top), on).unionByName(rest)

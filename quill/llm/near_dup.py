@@ -3,17 +3,19 @@
 1. *Sketch.* Each text's set of word shingles gives registers: the least of exponentially distributed hashes, on a logarithmic scale
    of base 1.001 and truncated to 16 bits. Registers of a union are the larger of both, so sketches merge; the share of equal
    registers follows the sets' similarity.
-2. *Classes.* Texts with the same set are one class; only one text of each goes on.
-3. *Bands.* 56 bands of 5 registers: sets of similarity 0.8 share a band but for a chance of 2e-10. Every member of a bucket is tied to the
-   bucket's smallest class, and the ties' connected components are the candidate groups; pairs are never listed.
+2. *Classes.* Texts of the same words in the same order, by SHA-256, are one class; only one text of each goes on.
+3. *Bands.* Sets that share one of 56 bands of 5 registers meet in its bucket. Every member of a bucket is tied to the
+   bucket's smallest class, and the ties' connected components are the candidate groups; pairs are never listed. Large groups, which
+   chance ties may hold together, are taken apart first: sketches alone are compared there, and near ones form the groups.
 4. *Links.* A group's sketches and texts meet in one task. Each class's similarity with those not yet linked to it is
    estimated by maximum likelihood from the registers that are equal, larger and smaller; what comes within 0.15 (six
-   standard deviations) of the threshold is verified on the full sets. Groups above a size are dealt into blocks, and each
+   standard deviations) of the threshold is verified on the full sets of shingles, word by word. Groups above a size are dealt into blocks, and each
    pair of blocks is a task; the links found are joined by connected components again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, written
+from .common import doc_key, free, join_hot, written
 from .components import connected_components
-from .textnp import column_bytes, lower_ascii, mix, prefix_hash, range_hash, row_chunks, word_spans
+from .textnp import column_bytes, lower_ascii, mix, prefix_hash, range_hash, row_chunks, trim, word_bytes, word_spans
 
 BANDS, ROWS = 56, 5
 M = BANDS * ROWS
@@ -35,29 +37,49 @@ _A = _rng.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32) | np.uint32
 _C = _rng.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32)
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of distinct shingles, row offsets). Words are compared with A-Z in lower case; a row of fewer words
-    than ``size`` has them all as its one shingle, a row without words has none."""
+def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of distinct shingles, row offsets, hashes of the shingles). Words are compared with A-Z in lower case; a row of fewer words
+    than ``size`` has them all as its one shingle, a row without words has none. Equal numbers mean equal words, byte for byte: words
+    are numbered by a dictionary and shingles by their words' numbers; the hashes are for sketches alone."""
     data = lower_ascii(data)
     s, e, first = word_spans(data, offs)
     n = np.diff(first)
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     to = np.append(0, np.cumsum(count))
+    if not to[-1]:
+        return np.zeros(0, np.int64), to, np.zeros(0, np.uint64)
+    lens = e - s
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[s] += 1
+    inside[e] -= 1
+    words = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(0, np.cumsum(lens))), pa.py_buffer(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])]).dictionary_encode()
+    code, (letters, at) = words.indices.to_numpy().astype(np.int64), column_bytes(words.dictionary)
+    h = range_hash(prefix_hash(letters), at[:-1], at[1:])
     row = np.repeat(np.arange(len(n)), count)
-    if not len(row):
-        return np.zeros(0, np.uint64), to
-    h = range_hash(prefix_hash(data), s, e)
     at = first[:-1][row] + np.arange(len(row)) - to[row]
     end = first[1:][row]
-    key = np.zeros(len(at), np.uint64)
+    number, key = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
     for k in range(size):
-        key = np.where(at + k < end, mix(key * np.uint64(3) + h[np.minimum(at + k, len(h) - 1)]), key)
-    order = np.argsort(key)
-    order = order[np.argsort(row[order], kind="stable")]
-    key, row = key[order], row[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-    key, row = key[new], row[new]
-    return key, np.searchsorted(row, np.arange(len(n) + 1))
+        there, word = at + k < end, code[np.minimum(at + k, len(code) - 1)]
+        key = np.where(there, mix(key * np.uint64(3) + h[word]), key)
+        number = (number << 32) | np.where(there, word + 1, 0)
+        if k < size - 1:
+            number = pa.array(number).dictionary_encode().indices.to_numpy().astype(np.int64)
+    number = pa.array(number).dictionary_encode().indices.to_numpy().astype(np.int64)
+    order = np.argsort((row << 32) | number)
+    number, row, key = number[order], row[order], key[order]
+    new = np.append(True, (number[1:] != number[:-1]) | (row[1:] != row[:-1]))
+    return number[new], np.searchsorted(row[new], np.arange(len(n) + 1)), key[new]
+
+
+def word_digests(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """SHA-256 of each row's words, in lower case with one space between."""
+    space = ~word_bytes(data)
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]
+    raw = np.where(space[keep], np.uint8(32), lower_ascii(data[keep])).tobytes()
+    at = np.append(0, np.cumsum(keep))[offs].tolist()
+    return [hashlib.sha256(raw[i:j].strip(b" ")).digest() for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def registers(keys: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -99,17 +121,18 @@ def estimate(n_a: float, n_b: np.ndarray, larger: np.ndarray, smaller: np.ndarra
     return np.take_along_axis(j, like.argmax(axis=1)[:, None], 1)[:, 0]
 
 
-def link(regs: np.ndarray, keys: np.ndarray, to: np.ndarray, percent: int, margin: float = 0.15, left: int | None = None) -> np.ndarray:
+def link(regs: np.ndarray, size: np.ndarray, percent: int, sets: tuple[np.ndarray, np.ndarray] | None = None, margin: float = 0.15, left: int | None = None) -> np.ndarray:
     """Component number of every set, links being pairs with 100 * intersection >= percent * union.
 
-    A pair is left out only where both are in one component already, or where the estimate is more than ``margin`` too small.
+    ``sets`` are the shingles' numbers and row offsets, on which links are verified; without them the estimate alone counts, ``margin`` below the
+    threshold. A pair is left out only where both are in one component already, or where the estimate is more than ``margin`` too small.
     With ``left``, only pairs of a set before that place and one from it on count.
     """
     n = len(regs)
-    size = np.diff(to)
     comp = np.arange(n)
-    _, dense = np.unique(keys, return_inverse=True)
-    mark = np.zeros(int(dense.max()) + 1 if len(dense) else 1, bool)
+    if sets is not None:
+        keys, to = sets
+        mark = np.zeros(int(keys.max()) + 1 if len(keys) else 1, bool)
     for a in range(n if left is None else left):
         rest = np.arange(a + 1 if left is None else left, n)
         rest = rest[(comp[rest] != comp[a]) & (100 * np.minimum(size[rest], size[a]) >= percent * np.maximum(size[rest], size[a]))]
@@ -121,17 +144,15 @@ def link(regs: np.ndarray, keys: np.ndarray, to: np.ndarray, percent: int, margi
         rest, y = rest[equal >= (percent / 100 - 2 * margin) * M], y[equal >= (percent / 100 - 2 * margin) * M]
         if not len(rest):
             continue
-        near = estimate(size[a], size[rest].astype(float), (x > y).sum(axis=1), (x < y).sum(axis=1)) >= percent / 100 - margin
-        rest = rest[near]
-        if not len(rest):
-            continue
-        mark[dense[to[a] : to[a + 1]]] = True
-        lens = size[rest]
-        begin = np.cumsum(lens) - lens
-        at = np.repeat(to[rest] - begin, lens) + np.arange(int(lens.sum()))
-        inter = np.add.reduceat(mark[dense[at]].astype(np.int64), begin)
-        mark[dense[to[a] : to[a + 1]]] = False
-        hit = rest[100 * inter >= percent * (size[a] + lens - inter)]
+        hit = rest[estimate(size[a], size[rest].astype(float), (x > y).sum(axis=1), (x < y).sum(axis=1)) >= percent / 100 - margin]
+        if len(hit) and sets is not None:
+            mark[keys[to[a] : to[a + 1]]] = True
+            lens = size[hit]
+            begin = np.cumsum(lens) - lens
+            at = np.repeat(to[hit] - begin, lens) + np.arange(int(lens.sum()))
+            inter = np.add.reduceat(mark[keys[at]].astype(np.int64), begin)
+            mark[keys[to[a] : to[a + 1]]] = False
+            hit = hit[100 * inter >= percent * (size[a] + lens - inter)]
         if len(hit):
             joined = np.append(comp[hit], comp[a])
             comp[np.isin(comp, joined)] = joined.min()
@@ -143,17 +164,14 @@ def _sketch(size: int):
         for b in batches:
             data, offs = column_bytes(b["text"])
             for i, j in row_chunks(offs, 1 << 19):
-                keys, to = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
-                n = np.diff(to)
-                sums = []
-                for salt in (1, 2):
-                    run_ = np.append(np.uint64(0), np.cumsum(mix(keys + np.uint64(salt))))
-                    sums.append((run_[to[1:]] - run_[to[:-1]]).view(np.int64))
+                part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                _, to, keys = shingles(part, at, size)
                 regs = registers(keys, to)
                 yield pa.RecordBatch.from_arrays(
-                    [b["did"].slice(i, j - i), b["dth"].slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array([x.tobytes() for x in regs], pa.binary())],
-                    ["did", "dth", "n", "set1", "set2", "regs"],
+                    [b["did"].slice(i, j - i), b["dth"].slice(i, j - i), pa.array(np.diff(to)), pa.array(word_digests(part, at), pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())],
+                    ["did", "dth", "n", "digest", "regs"],
                 )
+            trim()
 
     return run
 
@@ -172,10 +190,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = mix(key * np.uint64(65537) + regs[:, :, r] + np.uint64(1))
         node = b["node"].to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], ["bucket", "node"])
+        trim()
 
 
-def _links(size: int, percent: int):
-    """Links within the candidate groups of a bin, or between the two blocks of a pair: (u, v) with v the smallest class linked."""
+def _links(size: int, percent: int, texts: bool):
+    """Links within the candidate groups of a bin, or between the two blocks of a pair: (u, v) with v the smallest class linked.
+    Without ``texts`` they are by the estimate alone."""
 
     def run(t: pa.Table) -> pa.Table:
         u: list[np.ndarray] = []
@@ -187,19 +207,31 @@ def _links(size: int, percent: int):
             part = t.slice(i, j - i)
             node, side = part["node"].to_numpy(), part["side"].to_numpy()
             left = int((side == 0).sum()) if side.any() else None
-            keys, to = shingles(*column_bytes(part["text"]), size)
-            comp = link(_registers_of(part["regs"].combine_chunks()), keys, to, percent, left=left)
+            sets = shingles(*column_bytes(part["text"]), size)[:2] if texts else None
+            comp = link(_registers_of(part["regs"].combine_chunks()), part["n"].to_numpy(), percent, sets, left=left)
             order = np.lexsort((node, comp))
             c = comp[order]
             head = np.append(True, c[1:] != c[:-1])
             least = node[order][np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))]
             u.append(node[order][~head])
             v.append(least[~head])
-        return pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+        out = pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+        trim()
+        return out
 
     return run
 
 
+def _placed(members: DataFrame, columns: list[str], blocks: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
+    """(members of groups of one block, by bin; members of larger groups, once for each pair of blocks that theirs takes part in)."""
+    placed = members.join(blocks, "root")
+    whole = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), "root", F.lit(0).alias("side"), "node", *columns)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    split = placed.filter("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side")
+    return whole, split.select(F.col("root").alias("bin"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "root", side, "node", *columns)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_bytes: int = 2 << 20, block_docs: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept: one row for each input row.
 
@@ -208,49 +240,55 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     space, compared with A-Z in lower case. A text of fewer words than a shingle has them all as one; a text without words, or null, has
     none and is linked with nothing. Rows with a null doc_id are linked with nothing, have a null component_id and are kept.
     Repeated ids are linked by their texts, each text for itself, and share a verdict where the texts do. ``bin_bytes`` is what small groups of one task have together; ``block_docs`` and ``block_bytes`` bound a block of a large group.
+    A text must fit a task, with some 20 times its bytes of working memory.
     """
     rows = docs.select("doc_id", *doc_key(), "text")
-    sketch = written(rows.select("did", "dth", "text").mapInArrow(_sketch(shingle), "did long, dth long, n long, set1 long, set2 long, regs binary"), "sketches")
+    sketch = written(rows.select("did", "dth", "text").mapInArrow(_sketch(shingle), "did long, dth long, n long, digest binary, regs binary"), "sketches")
     usable = sketch.filter((F.col("n") > 0) & (F.col("did") != -(1 << 63)))
-    classes = usable.groupBy("set1", "set2", "n").agg(F.min(F.struct("did", "dth")).alias("rep"))
     # sketches, bands and links are of classes; an id with several texts is in the class of each
-    classes = written(classes.select("set1", "set2", "n", F.xxhash64("set1", "set2", "n").alias("node"), "rep.did", "rep.dth"), "classes")
-    nodes = classes.select("did", "dth", "node")
-    heads = sketch.join(nodes, ["did", "dth"]).select("node", "regs")
-    buckets = written(heads.mapInArrow(_bands, "bucket long, node long"), "bands")
-    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("most > v").select("bucket", "v")
-    ties = buckets.join(pivots, "bucket").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    classes = usable.groupBy("digest").agg(F.min(F.struct("did", "dth")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("rows"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "rep.did", "rep.dth", "n", "regs", "rows"), "classes")
+    buckets = written(classes.select("node", "regs").mapInArrow(_bands, "bucket long, node long"), "bands")
+    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("most"), F.count("*").alias("many")).filter("most > v")
+    pivots = written(pivots.select("bucket", "v", "many"), "pivots")
+    ties = join_hot(buckets, pivots, ["bucket"], "many", buckets.count()).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     groups = written(connected_components(ties), "groups")
 
-    members = groups.join(nodes, "node").join(sketch.select("did", "dth", "regs"), ["did", "dth"]).join(rows.select("did", "dth", "text"), ["did", "dth"]).select("node", "root", "regs", "text")
-    members = written(members, "members")
+    # large groups held together by chance ties are taken apart by their sketches before any text is moved
+    sizes = written(groups.groupBy("root").agg(F.count("*").alias("docs")), "sizes")
+    spread = F.ceil(F.greatest(F.col("docs") / block_docs, F.least(F.lit(float(SPREAD)), F.col("docs") / SMALL))).cast("int")
+    large = sizes.filter(F.col("docs") > 2 * SMALL).select("root", spread.alias("blocks"))
+    if not large.isEmpty():
+        of_large = groups.join(large.select("root"), "root").join(classes.select("node", "n", "regs"), "node")
+        _, pairs = _placed(written(of_large, "large"), ["n", "regs"], large, 1)
+        near = written(pairs.groupBy("bin", "one", "two").applyInArrow(_links(shingle, percent, False), "u long, v long"), "near")
+        groups = written(groups.join(large, "root", "left_anti").select("node", "root").unionByName(connected_components(near)), "groups")
+
+    reps = groups.join(classes.select("node", "did", "dth", "n", "regs"), "node")
+    members = reps.join(rows.select("did", "dth", "text"), ["did", "dth"]).groupBy("did", "dth").agg(*(F.first(c).alias(c) for c in ("node", "root", "n", "regs", "text")))
+    members = written(members.select("node", "root", "n", "regs", "text"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text") + 600).alias("bytes"))
     # a large group spreads over up to SPREAD blocks for the sake of parallel work, and over more only where its blocks would be too large
-    spread = F.least(F.lit(float(SPREAD)), F.col("docs") / SMALL)
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("bytes") / block_bytes, spread)).cast("int"))
+    spread = F.greatest(F.col("docs") / block_docs, F.col("bytes") / block_bytes, F.least(F.lit(float(SPREAD)), F.col("docs") / SMALL))
+    blocks = sizes.select("root", F.ceil(spread).cast("int").alias("blocks"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    bins = max(1, math.ceil(total / bin_bytes))
-    placed = members.join(sizes, "root")
-    whole = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), F.lit(0).alias("one"), F.lit(0).alias("two"), "root", F.lit(0).alias("side"), "node", "regs", "text")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    split = placed.filter("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select(F.col("root").alias("bin"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "root", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "regs", "text")
-    inner = whole.groupBy("bin").applyInArrow(_links(shingle, percent), "u long, v long")
-    outer = split.groupBy("bin", "one", "two").applyInArrow(_links(shingle, percent), "u long, v long")
-    found = written(inner.unionByName(outer), "links")
-    roots = connected_components(found)
-    known = classes.join(roots, "node", "left").select("set1", "set2", "n", "did", F.coalesce("root", "node").alias("root"))
+    whole, split = _placed(members, ["n", "regs", "text"], blocks, max(1, math.ceil(total / bin_bytes)))
+    inner = whole.groupBy("bin").applyInArrow(_links(shingle, percent, True), "u long, v long")
+    outer = split.groupBy("bin", "one", "two").applyInArrow(_links(shingle, percent, True), "u long, v long")
+    roots = connected_components(written(inner.unionByName(outer), "links"))
+    known = classes.join(roots, "node", "left").select("digest", "did", "rows", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("did").alias("component"))
-    known = known.join(least, "root").select("set1", "set2", "n", "component")
-    out = sketch.select("did", "dth", "n", "set1", "set2").join(known, ["set1", "set2", "n"], "left")
+    known = written(known.join(least, "root").select("digest", "component", "rows"), "known")
+    out = join_hot(sketch.select("did", "dth", "n", "digest"), known, ["digest"], "rows", sketch.count(), "left")
     null_id = F.col("did") == -(1 << 63)
     doc_id = F.when(~null_id, F.col("did"))
-    component = F.when(~null_id, F.coalesce("component", "did"))
+    component = F.when(~null_id & (F.col("n") > 0), F.col("component")).when(~null_id, F.col("did"))
     return out.select(doc_id.alias("doc_id"), F.col("dth").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"), (null_id | (F.col("did") == component)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    id_, hash_ = free(docs.columns, "id", "hash")
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_))
     return docs.join(gone, same, "left_anti")

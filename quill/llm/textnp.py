@@ -122,6 +122,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return ~_SPACE[data]
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

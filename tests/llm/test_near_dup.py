@@ -85,6 +85,36 @@ def test_several_texts_under_one_id(spark):
     assert kept == {r for r, (_, keep) in zip(rows, want, strict=True) if keep}
 
 
+def test_colliding_hashes_link_nothing(spark):
+    """A Thue-Morse word and its complement collide under polynomial hashes; texts that differ in it share no shingle of four words."""
+    bits = [k.bit_count() % 2 for k in range(1024)]
+    t, u = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, f"{t} q w e"), (2, f"{u} q w e"), (3, f"{t} Q  w e")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False)}
+
+
+@pytest.mark.parametrize("block", [4096, 200])
+def test_large_groups_are_taken_apart(spark, monkeypatch, block):
+    """A group that chance ties hold together, larger than a block, gives the links of brute force."""
+    monkeypatch.setattr(nd, "SMALL", 32)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(220):
+        words = [w if rng.random() < 0.93 else f"x{rng.randrange(50)}" for w in base]
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, shingle=4, block_docs=block).collect()}
+    assert got == brute(rows, 4, 80)
+
+
+def test_dropping_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8, 9), (2, "a b c", 7, 8, 9)], "doc_id long, text string, id int, hash int, __id int")
+    out = nd.drop_near_duplicates(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a b c", 7, 8, 9)]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 63, 3000).astype(np.uint64)

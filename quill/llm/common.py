@@ -73,15 +73,23 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def join_hot(rows: DataFrame, entries: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, entries: DataFrame, on: list[str], weight: str, total: int, spread: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``entries``, which have each key once and how many of the ``total`` rows bear it.
 
-    Entries of more than a thousandth of all rows, fewer than a thousand by that, are broadcast, so no task gets all rows of such a key;
-    the others are shuffled. Both sides are read again for each part and should be tables. ``how``: inner or left.
+    Entries of more than a thousandth of all rows, fewer than a thousand by that, are broadcast, and their rows are dealt out by the
+    column ``spread`` afterwards, so no task gets all rows of such a key. ``entries`` is read twice and should be a table. ``how``: inner or left.
     """
     heavy = F.col(weight) * 1000 > total
     top = entries.filter(heavy)
     if top.isEmpty():
         return rows.join(entries, on, how)
-    rest = rows.join(F.broadcast(top.select(*on)), on, "left_anti").join(entries.filter(~heavy), on, how)
-    return rows.join(F.broadcast(top), on).unionByName(rest)
+    values = [c for c in entries.columns if c not in on]
+    hit, salt, match, *early = free([*rows.columns, *entries.columns], "hit", "salt", "match", *(f"top_{c}" for c in values))
+    top = top.select(*on, F.lit(True).alias(hit), *(F.col(c).alias(e) for c, e in zip(values, early, strict=True)))
+    first = rows.join(F.broadcast(top), on, "left").withColumn(salt, F.when(F.col(hit), F.xxhash64(spread)).otherwise(0))
+    rest = entries.filter(~heavy).withColumns({salt: F.pmod(weight, F.lit(1)).cast("long"), match: F.lit(True)})
+    out = first.join(rest, [*on, salt], "left")
+    if how == "inner":
+        out = out.filter(F.coalesce(hit, match, F.lit(False)))
+    late = (F.coalesce(F.col(e), F.col(c)).alias(c) for c, e in zip(values, early, strict=True))
+    return out.select(*on, *(c for c in rows.columns if c not in on), *late)

@@ -15,7 +15,7 @@ def _canonical(edges: DataFrame) -> DataFrame:
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """Edges with the least neighbour of their u; the edges of a centre of many are spread over all tasks."""
-    return join_hot(edges, least, ["u"], "n", total).drop("n")
+    return join_hot(edges, least, ["u"], "n", total, "v").drop("n")
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

@@ -1,89 +1,134 @@
 """Exact deduplication with an extendible-hash index, in DataFrame functions only.
 
-A text's key is the 64-bit hash of its normalised form. Rows are first aggregated to classes
-of equal key, digest and length, so a text with a third of all rows is one entry. The directory
-addresses entries by the leading bits of their key: it starts with one bucket, and while a bucket
-holds more than ``capacity`` entries the bucket is split on the next bit, doubling the directory when
-its depth is used up. The index (bucket, key, chain place, digest, keeper) is written to the
-shared folder, each bucket by the task that owns its key range. Entries of one key are chained by
-digest. A lookup compares the bytes of every copy with those of the row that stays.
+A text's key is the 64-bit hash of its normalised form. The directory addresses buckets by the leading bits of keys: it starts with one
+bucket, and while a bucket holds more than ``capacity`` keys it is split on the next bit, doubling the directory when its depth is used
+up. Rows go to the buckets of their keys; there, texts of one key are compared byte by byte (they are grouped by the text itself, after
+copies were combined where they were read, so a text with a third of all rows is a few entries) and different ones are
+chained. The index (bucket, key, chain place, digest, smallest doc_id, size) is written to the shared folder, each bucket by the
+task that owns its key range. A document looks its verdict up by bucket and key, and by its text where the key's chain has several.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACES, pieces, written
+from .common import join_hot, pieces, written
+
+
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
+#: Runs of ASCII white space that aren't one space already.
+UNEVEN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def normalised(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN, " ")
 
 
-def directory(cells: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[tuple[int, int]]]:
-    """(global depth, buckets as (prefix, local depth)) for entry counts by the leading ``max_depth`` key bits.
+def directory(counts: dict[tuple[int, int], int], capacity: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(buckets that are settled, overfull ones), each a prefix and its depth, from key counts by prefix and depth.
 
-    The driver holds at most 2**max_depth counts. A bucket at ``max_depth`` is split no more, whatever it holds.
+    Of an overfull bucket the halves are looked at, as far as their counts are given.
+    """
+    done, over = [], []
+    todo = [b for b in counts if (b[0] >> 1, b[1] - 1) not in counts]
+    while todo:
+        prefix, depth = todo.pop()
+        halves = [(2 * prefix + bit, depth + 1) for bit in (0, 1)]
+        if counts[prefix, depth] <= capacity or depth == 64:
+            done.append((prefix, depth))
+        elif any(h in counts for h in halves):
+            todo += [h for h in halves if h in counts]
+            done += [h for h in halves if h not in counts]  # empty
+        else:
+            over.append((prefix, depth))
+    return done, over
+
+
+def build_directory(keys: DataFrame, capacity: int, bits: int = 8) -> list[tuple[int, int]]:
+    """Buckets as (prefix, depth) over a table with one row for each key, none of more than ``capacity`` keys, in order of their prefixes.
+
+    Overfull buckets are split ``bits`` levels at a time. The driver holds a few numbers for each bucket, so their count is that of keys over
+    ``capacity``.
     """
-    level = [dict(cells)]
-    while len(level) <= max_depth:
-        up: dict[int, int] = {}
-        for prefix, n in level[-1].items():
-            up[prefix >> 1] = up.get(prefix >> 1, 0) + n
-        level.append(up)
-    level.reverse()  # level[d]: counts by d leading bits
-    depth, done, full = 0, [], [(0, 0)]
-    while full:
-        over = [(p, d) for p, d in full if level[d].get(p, 0) > capacity and d < max_depth]
-        done += [b for b in full if b not in set(over)]
-        if over:
-            depth = max(depth, over[0][1] + 1)  # doubling
-        full = [(2 * p + bit, d + 1) for p, d in over for bit in (0, 1)]
-    return depth, sorted(done, key=lambda b: b[0] << (max_depth - b[1]))
-
-
-def _directory_table(spark: SparkSession, buckets: list[tuple[int, int]], max_depth: int) -> DataFrame:
-    """One row for each cell of 2**max_depth at most: bucket number. Its size is bounded by the depth alone."""
-    rows = [(p << (max_depth - d), (p + 1) << (max_depth - d), k) for k, (p, d) in enumerate(buckets)]
-    ranges = spark.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType()) for n in ("lo", "hi", "bucket")]))
-    return ranges.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("cell"), "bucket")
-
-
-def build_index(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """The index of classes: bucket, key, chain (place among entries of one key), digest, n_bytes, keep_id, group_size."""
-    spark = entries.sparkSession
-    cell = F.shiftrightunsigned("key", 64 - max_depth)
-    classes = written(entries.groupBy("key", "digest", "n_bytes").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "classes")
-    counts = {r.cell: r.n for r in classes.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # 2**max_depth rows at most
-    _, buckets = directory(counts, capacity, max_depth)
-    owned = classes.withColumn("cell", cell).join(F.broadcast(_directory_table(spark, buckets, max_depth)), "cell").drop("cell")
-    owned = owned.repartition(max(1, min(len(buckets), 4 * pieces(spark))), "bucket")
-    chain = Window.partitionBy("bucket", "key").orderBy("digest", "n_bytes")
-    return written(owned.withColumn("chain", F.row_number().over(chain)), "index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 50_000, max_depth: int = 12) -> DataFrame:
+    done: list[tuple[int, int]] = []
+    over = [(0, 0)]
+    while over:
+        depth = over[0][1]
+        deep = min(depth + bits, 64)
+        prefix = lambda d: F.shiftrightunsigned("key", 64 - d) if d else F.lit(0).cast("long")
+        wanted = _table(keys.sparkSession, over, "p long, d int").select("p")
+        part = keys.select(prefix(depth).alias("p"), prefix(deep).alias("q")).join(F.broadcast(wanted), "p")
+        counts: dict[tuple[int, int], int] = dict.fromkeys(over, 0)
+        for r in part.groupBy("q").agg(F.count("*").alias("n")).toLocalIterator():
+            q = r.q % (1 << 64)
+            for d in range(depth, deep + 1):
+                at = (q >> (deep - d), d)
+                counts[at] = counts.get(at, 0) + r.n
+        settled, over = directory(counts, capacity)
+        done += settled
+    return sorted(done, key=lambda b: b[0] << (64 - b[1]))
+
+
+def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    signed = [tuple(x - (1 << 64) if x >= 1 << 63 else x for x in r) for r in rows]
+    return spark.createDataFrame(signed, schema)
+
+
+def bucket_of(spark: SparkSession, buckets: list[tuple[int, int]]) -> tuple[DataFrame, Column]:
+    """(cell -> bucket, one row for each cell; the cell of a key): the directory at the depth of its deepest bucket."""
+    depth = max((d for _, d in buckets), default=0)
+    cells = [(p << (depth - d), ((p + 1) << (depth - d)) - 1, k) for k, (p, d) in enumerate(buckets)]
+    ranges = _table(spark, cells, "lo long, hi long, bucket long")
+    cell = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    return ranges.select(F.explode(F.sequence("lo", "hi")).alias("cell"), "bucket"), cell
+
+
+def build_index(rows: DataFrame, capacity: int) -> tuple[DataFrame, Column, DataFrame, DataFrame]:
+    """(directory, cell of a key, index, texts) of rows (doc_id, key, norm).
+
+    Index: bucket, key, place (in the key's chain), chain (texts in it), digest, n_bytes, keep_id, group_size; texts: bucket, key, norm and
+    the same verdict, not written.
+    """
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    cells, cell = bucket_of(rows.sparkSession, buckets := build_directory(keys, capacity))
+    routed = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell")
+    texts = routed.groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = texts.withColumns({"digest": F.sha2(F.encode("norm", "utf-8"), 256), "n_bytes": F.octet_length("norm")})
+    owned = texts.drop("norm").repartition(max(1, min(len(buckets), 4 * pieces(rows.sparkSession))), "bucket")
+    one_key = Window.partitionBy("bucket", "key")
+    place = F.row_number().over(one_key.orderBy("digest", "n_bytes", "keep_id"))
+    return cells, cell, written(owned.withColumns({"place": place, "chain": F.count("*").over(one_key)}), "index"), texts
+
+
+def exact_dedup(docs: DataFrame, capacity: int = 1_000_000) -> DataFrame:
     """All input columns plus keep_id, group_size, kept and text_sha256 (of the normalised text).
 
     Texts are equal when they are byte for byte the same after each run of ASCII white space
     became one space; null counts as empty. Of equal texts the row with the smallest doc_id stays.
     Rows repeated with one doc_id and text share that id's verdict; null doc_ids count in group_size
-    and stay only where the whole class has none. Input columns with the names of results are replaced.
-    ``capacity`` (entries in a bucket) and ``max_depth`` (bits of the directory) shape the index, never the result.
+    and stay only where the whole class has none. Input columns with the names of results are replaced, others are left as they are.
+    ``capacity`` (keys in a bucket) shapes the index, never the result.
     """
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    return _verdicts(docs, capacity, F.xxhash64)
+
+
+def _verdicts(docs: DataFrame, capacity: int, hashed: Callable[[Column], Column]) -> DataFrame:
+    own = [c for c in docs.columns if c.lower() not in RESULTS]
+    apart = {c: f"own{k}" for k, c in enumerate(own)}  # no input column clashes with one of the index
     norm = normalised(F.col("text"))
-    keyed = docs.select(*own, norm.alias("__norm")).withColumns({"__key": F.xxhash64("__norm"), "__digest": F.sha2(F.encode("__norm", "utf-8"), 256), "__bytes": F.octet_length("__norm")})
-    index = build_index(keyed.select("doc_id", F.col("__key").alias("key"), F.col("__digest").alias("digest"), F.col("__bytes").alias("n_bytes")), capacity, max_depth)
-    entry = index.select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("n_bytes").alias("__bytes"), "keep_id", "group_size")
-    keepers = keyed.select(F.col("doc_id").alias("keep_id"), "__digest", F.col("__norm").alias("__kept_norm"))
-    several = entry.filter("group_size > 1").join(keepers, ["keep_id", "__digest"], "left")
-    # one text for each keeper, also where its row is repeated; partitioned by the join already
-    several = several.groupBy("keep_id", "__digest").agg(*(F.first(c).alias(c) for c in ("__key", "__bytes", "group_size", "__kept_norm")))
-    known = entry.filter("group_size = 1").withColumn("__kept_norm", F.lit(None).cast("string")).unionByName(several)
-    same = F.col("__kept_norm").isNull() | (F.col("__kept_norm") == F.col("__norm"))
-    checked = F.when(same, F.col("keep_id").eqNullSafe(F.col("doc_id"))).otherwise(F.raise_error(F.lit("texts of one digest differ")).cast("boolean"))
-    return keyed.join(known, ["__key", "__digest", "__bytes"]).select(*own, "keep_id", F.col("group_size").cast("long").alias("group_size"), checked.alias("kept"), F.col("__digest").alias("text_sha256"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in apart.items()), F.col("doc_id"), norm.alias("norm"), hashed(norm).alias("key"))
+    cells, cell, index, texts = build_index(rows.select("doc_id", "key", "norm"), capacity)
+    routed = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell").drop("cell")
+    verdict = ["keep_id", "group_size", "digest"]
+    total = index.agg(F.sum("group_size")).first()[0] or 0
+    out = join_hot(routed.drop("norm"), index.filter("chain = 1").select("bucket", "key", *verdict), ["bucket", "key"], "group_size", total, "doc_id")
+    chained = index.filter("chain > 1").select("bucket", "key").distinct()
+    if not chained.isEmpty():  # different texts under one key: these are told apart by the texts themselves
+        several = texts.join(chained, ["bucket", "key"]).select("bucket", "key", "norm", *verdict)
+        out = out.unionByName(routed.join(several, ["bucket", "key", "norm"]).drop("norm"))
+    kept = F.col("keep_id").eqNullSafe(F.col("doc_id"))
+    return out.select(*(F.col(a).alias(c) for c, a in apart.items()), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))

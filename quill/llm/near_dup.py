@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     buckets = written(classes.select("node", "regs").mapInArrow(_bands, "bucket long, node long"), "bands")
     pivots = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("most"), F.count("*").alias("many")).filter("most > v")
     pivots = written(pivots.select("bucket", "v", "many"), "pivots")
-    ties = join_hot(buckets, pivots, ["bucket"], "many", buckets.count()).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    ties = join_hot(buckets, pivots, ["bucket"], "many", buckets.count(), "node").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     groups = written(connected_components(ties), "groups")
 
     # large groups held together by chance ties are taken apart by their sketches before any text is moved
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bin_by
     known = classes.join(roots, "node", "left").select("digest", "did", "rows", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("did").alias("component"))
     known = written(known.join(least, "root").select("digest", "component", "rows"), "known")
-    out = join_hot(sketch.select("did", "dth", "n", "digest"), known, ["digest"], "rows", sketch.count(), "left")
+    out = join_hot(sketch.select("did", "dth", "n", "digest"), known, ["digest"], "rows", sketch.count(), "did", "left")
     null_id = F.col("did") == -(1 << 63)
     doc_id = F.when(~null_id, F.col("did"))
     component = F.when(~null_id & (F.col("n") > 0), F.col("component")).when(~null_id, F.col("did"))

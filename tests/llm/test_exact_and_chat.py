@@ -18,15 +18,18 @@ def plain(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("capacity", "depth"), [(50_000, 12), (1, 3)])
-def test_exact_dedup(spark, capacity, depth):
+@pytest.mark.parametrize(("capacity", "hashed"), [(1_000_000, None), (1, None), (3, lambda x: F.shiftleft(F.length(x).cast("long"), 60))])
+def test_exact_dedup(spark, capacity, hashed):
+    """Also where the directory is deep, and where the keys of different texts collide and are chained."""
     rng = random.Random(1)
-    texts = ["a b", "a  b", "a\tb\n", " a b", None, "", " ", " ", "é", "x" * 100_000] + [f"t{rng.randint(0, 40)}" for _ in range(150)]
+    texts = ["a b", "a  b", "a\tb\n", " a b", None, "", " ", " ", "é", "x" * 100_000] + [f"t{rng.randint(0, 40)}" for _ in range(150)]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame([(i, t, "old", 1) for i, t in rows], "doc_id long, text string, kept string, bucket int")
-    out = ed.exact_dedup(df, capacity, depth)
-    assert out.columns == ["doc_id", "text", "bucket", "keep_id", "group_size", "kept", "text_sha256"]
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in out.collect()) == plain(rows)
+    df = spark.createDataFrame([(i, t, "old", 1, "k") for i, t in rows], "doc_id long, text string, kept string, bucket int, key string")
+    out = ed._verdicts(df, capacity, hashed) if hashed else ed.exact_dedup(df, capacity)
+    assert out.columns == ["doc_id", "text", "bucket", "key", "keep_id", "group_size", "kept", "text_sha256"]
+    got = out.collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == plain(rows)
+    assert {(r.text, r.bucket, r.key) for r in got} == {(t, 1, "k") for t in texts}
 
 
 def test_exact_dedup_edges(spark):
@@ -34,19 +37,32 @@ def test_exact_dedup_edges(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (5, "a"), (5, "a"), (None, "b")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in ed.exact_dedup(df).collect())
     assert got == [(-1, -1, 1, True), (-1, 5, 4, False), (-1, 5, 4, False), (5, 5, 4, True), (5, 5, 4, True)]
-
-
-def test_directory():
-    depth, buckets = ed.directory({0: 5, 1: 1, 6: 9, 7: 9}, 6, 3)
-    assert depth == 3
-    assert buckets == [(0, 1), (2, 2), (6, 3), (7, 3)]
-    assert ed.directory({}, 5, 3) == (0, [(0, 0)])
-
-
-def test_classes_with_one_key_are_chained(spark):
-    entries = spark.createDataFrame([(1, 77, "aa", 3), (2, 77, "bb", 3), (3, 77, "aa", 3)], "doc_id long, key long, digest string, n_bytes int")
-    got = sorted((r.chain, r.digest, r.keep_id, r.group_size) for r in ed.build_index(entries, 1, 4).collect())
-    assert got == [(1, "aa", 1, 2), (2, "bb", 2, 1)]
+    names = ["__key", "__norm", "norm", "cell", "own0", "digest", "hit", "salt"]
+    wide = spark.createDataFrame([(k % 3, "t", *names) for k in range(6)], ["doc_id", "text", *names])
+    got = ed.exact_dedup(wide)
+    assert got.columns == ["doc_id", "text", *names, "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(tuple(r)[2:-3] for r in got.collect()) == [(*names, 0)] * 6
+
+
+def test_directory_splits_overfull_buckets(spark):
+    rng = random.Random(4)
+    keys = {rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)} | set(range(20)) | {-1, -(1 << 63)}
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    for capacity in (1000, 25, 4):
+        buckets = ed.build_directory(df, capacity)
+        ends = [(p << (64 - d), (p + 1) << (64 - d)) for p, d in buckets]
+        assert ends[0][0] == 0 and ends[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        sizes = [sum(lo <= k % (1 << 64) < hi for k in keys) for lo, hi in ends]
+        assert max(sizes) <= capacity and sum(sizes) == len(keys)
+        if capacity == 1000:
+            assert buckets == [(0, 0)]
+
+
+def test_keys_with_several_texts_are_chained(spark):
+    rows = spark.createDataFrame([(1, 77, "aa"), (2, 77, "bb"), (3, 77, "aa"), (4, 5, "c")], "doc_id long, key long, norm string")
+    index = ed.build_index(rows, 1)[2]
+    assert sorted((r.key, r.chain, r.keep_id, r.group_size) for r in index.collect()) == [(5, 1, 4, 1), (77, 2, 1, 2), (77, 2, 2, 1)]
+    assert sorted(r.place for r in index.filter("key = 77").collect()) == [1, 2]
 
 
 NASTY = ["", "plain", "</s>", "<s>", "[INST]", "[/INST]x", cf.ESC, "<" + cf.ESC, "<" + cf.ESC + "s>", cf.ESC * 3 + "<s>" + cf.ESC, "<s", "</s", "[/INST", "a</s>[INST] ok [/INST]", "<<s>>[[INST]]", "é😀\n\n", "x" * 50_000, "</</s>s>"]

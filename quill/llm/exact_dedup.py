@@ -10,6 +10,7 @@ task that owns its key range. A document looks its verdict up by bucket and key,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,7 +29,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN, " ")
 
 
-def directory(counts: dict[tuple[int, int], int], capacity: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def directory(counts: dict[tuple[int, int], int], capacity: int, deepest: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(buckets that are settled, overfull ones), each a prefix and its depth, from key counts by prefix and depth.
 
     Of an overfull bucket the halves are looked at, as far as their counts are given.
@@ -38,7 +39,7 @@ def directory(counts: dict[tuple[int, int], int], capacity: int) -> tuple[list[t
     while todo:
         prefix, depth = todo.pop()
         halves = [(2 * prefix + bit, depth + 1) for bit in (0, 1)]
-        if counts[prefix, depth] <= capacity or depth == 64:
+        if counts[prefix, depth] <= capacity or depth == deepest:
             done.append((prefix, depth))
         elif any(h in counts for h in halves):
             todo += [h for h in halves if h in counts]
@@ -51,14 +52,16 @@ def directory(counts: dict[tuple[int, int], int], capacity: int) -> tuple[list[t
 def build_directory(keys: DataFrame, capacity: int, bits: int = 8) -> list[tuple[int, int]]:
     """Buckets as (prefix, depth) over a table with one row for each key, none of more than ``capacity`` keys, in order of their prefixes.
 
-    Overfull buckets are split ``bits`` levels at a time. The driver holds a few numbers for each bucket, so their count is that of keys over
-    ``capacity``.
+    Overfull buckets are split ``bits`` levels at a time, down to 16 buckets for each that evenly spread keys would fill; one that is
+    overfull even there is left so, as its keys share their leading bits. So the directory, all that the driver holds and broadcasts, has at most
+    32 cells for each ``capacity`` keys.
     """
+    deepest = math.ceil(math.log2(max(1.0, keys.count() / capacity))) + 4
     done: list[tuple[int, int]] = []
     over = [(0, 0)]
     while over:
         depth = over[0][1]
-        deep = min(depth + bits, 64)
+        deep = min(depth + bits, deepest)
         prefix = lambda d: F.shiftrightunsigned("key", 64 - d) if d else F.lit(0).cast("long")
         wanted = _table(keys.sparkSession, over, "p long, d int").select("p")
         part = keys.select(prefix(depth).alias("p"), prefix(deep).alias("q")).join(F.broadcast(wanted), "p")
@@ -68,7 +71,7 @@ def build_directory(keys: DataFrame, capacity: int, bits: int = 8) -> list[tuple
             for d in range(depth, deep + 1):
                 at = (q >> (deep - d), d)
                 counts[at] = counts.get(at, 0) + r.n
-        settled, over = directory(counts, capacity)
+        settled, over = directory(counts, capacity, deepest)
         done += settled
     return sorted(done, key=lambda b: b[0] << (64 - b[1]))
 

@@ -1,9 +1,8 @@
 """Quality selection by importance resampling over hashed n-gram models.
 
-Two generative models, one of target text and one of raw text, give each document the log ratio of its
+Two generative models over hashed words and pairs of words, one of target text and one of raw text, give each document the log ratio of its
 probabilities under both; Gumbel noise is added and the best k documents are taken, which samples without replacement
-in proportion to the ratio. N-grams are of words: the hashed word itself, and n-grams of word shapes (case, digits, marks,
-length, whether the word repeats the one before), which also say something about words never seen before.
+in proportion to the ratio. The target is text that is labelled good, raw text is that of all documents.
 """
 
 from __future__ import annotations
@@ -16,50 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 from .language_id import uniform
-from .textnp import column_bytes, mix, prefix_hash, range_hash, row_chunks, word_spans
+from .textnp import column_bytes, mix, prefix_hash, range_hash, row_chunks, segment_ids, trim, word_spans
 
 BUCKETS = 1 << 16
-_CLASS = np.full(256, 3, np.uint8)  # 0 upper, 1 lower and other letters, 2 digit, 3 plain mark, 4 other mark
-_CLASS[65:91] = 0
-_CLASS[97:123] = 1
-_CLASS[128:] = 1
-_CLASS[48:58] = 2
-_CLASS[[ord(c) for c in "!#$%&*+<=>@[\\]^_`{|}~"]] = 4
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets as words x 4, index of each row's first word). Buckets: word, and shape n-grams of 1, 2 and 3 words;
-    BUCKETS where the n-gram would begin before its row."""
+    """(buckets as words x 2, index of each row's first word). Buckets of the word and of the pair that it ends;
+    BUCKETS where the pair would begin before its row."""
     s, e, first = word_spans(data, offs)
-    out = np.full((len(s), 4), BUCKETS, np.int64)
-    if not len(s):
-        return out, first
-    h = range_hash(prefix_hash(data), s, e)
-    place = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
-    kind = _CLASS[data]
-    many = []
-    for k in (0, 1, 2, 4):
-        run = np.append(0, np.cumsum(kind == k, dtype=np.int32))
-        many.append(run[e] - run[s])
-    upper, lower, digit, mark = many
-    case = np.where(upper == 0, 0, np.where(lower == 0, np.where(upper == 1, 1, 2), np.where((upper == 1) & (kind[s] == 0), 3, 4)))
-    size = np.minimum(e - s, 15) // 4
-    again = np.zeros(len(s), bool)
-    again[1:] = (h[1:] == h[:-1]) & (place[1:] > 0)
-    shape = (((case * 3 + np.minimum(digit, 2)) * 3 + np.minimum(mark, 2)) * 4 + size) * 2 + again
-    shape = shape * 3 + np.where(kind[e - 1] == 3, 1, np.where(kind[e - 1] == 4, 2, 0))
-    g = shape.astype(np.uint64) + np.uint64(1)
-    out[:, 0] = mix(h) >> np.uint64(48)
-    key = g
-    for n in range(3):
-        if n:
-            key = key[1:] * np.uint64(4099) + g[: len(g) - n]
-        if not len(key):
-            break
-        bucket = mix(key * np.uint64(8) + np.uint64(n)) >> np.uint64(48)
-        out[n:, n + 1] = np.where(place[n:] >= n, bucket.astype(np.int64), BUCKETS)
+    out = np.full((len(s), 2), BUCKETS, np.int64)
+    if len(s):
+        h = range_hash(prefix_hash(data), s, e)
+        out[:, 0] = mix(h) >> np.uint64(48)
+        row = segment_ids(first)
+        pair = (mix(h[:-1] * np.uint64(3) + h[1:]) >> np.uint64(48)).astype(np.int64)
+        out[1:, 1] = np.where(row[1:] == row[:-1], pair, BUCKETS)
     return out, first
 
 
@@ -70,34 +43,30 @@ def _chunks(b: pa.RecordBatch, most: int = 1 << 20):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS + 1), np.int64)
+    total = np.zeros(BUCKETS + 1, np.int64)
     for b in batches:
-        target = b["target"].to_numpy(zero_copy_only=False).astype(bool)
-        for i, _, idx, first in _chunks(b):
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first)) + i
-            total[0] += np.bincount(idx[target[row]].ravel(), minlength=BUCKETS + 1)
-            total[1] += np.bincount(idx.ravel(), minlength=BUCKETS + 1)
-    model, bucket = np.nonzero(total[:, :BUCKETS])
-    yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[model, bucket])], ["model", "bucket", "n"])
+        for _, _, idx, _ in _chunks(b):
+            total += np.bincount(idx.ravel(), minlength=BUCKETS + 1)
+        trim()
+    bucket = np.flatnonzero(total[:BUCKETS])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(total[bucket])], ["bucket", "n"])
 
 
-def fit(labelled: DataFrame, sample: int = 20_000) -> np.ndarray:
-    """Log ratio of each bucket's probability under the target model to that under the raw one; a last 0 for no n-gram.
+def counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the texts; BUCKETS numbers on the driver."""
+    got = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
 
-    ``labelled``: doc_id, text, target (boolean). About ``sample`` rows are read, taken by a hash of doc_id; the target model is of those
-    that are target, the raw model of all. Without target rows the ratios are all 0.
-    """
-    rows = labelled.filter("doc_id is not null and target is not null")
-    n = rows.count()
-    if n > sample:
-        rows = rows.filter(uniform(F.lit("fit"), F.col("doc_id")) < sample / n)
-    got = rows.select("text", "target").mapInArrow(_count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toArrow()  # 2 x BUCKETS rows at most
-    c = np.zeros((2, BUCKETS))
-    c[got["model"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    if not c[0].sum():
+
+def fit(target: DataFrame, raw: DataFrame) -> np.ndarray:
+    """Log ratio of each bucket's probability in target text to that in raw text; a last 0 for no n-gram. Without target words all are 0."""
+    good = counts(target)
+    if not good.sum():
         return np.zeros(BUCKETS + 1)
-    c += 0.5
-    return np.append(np.log(c[0] / c[0].sum()) - np.log(c[1] / c[1].sum()), 0.0)
+    good, all_ = good + 0.5, counts(raw) + 0.5
+    return np.append(np.log(good / good.sum()) - np.log(all_ / all_.sum()), 0.0)
 
 
 def _weigh(model, seed: int):
@@ -109,11 +78,12 @@ def _weigh(model, seed: int):
                 run_ = np.append(0.0, np.cumsum(ratio[idx].sum(axis=1)))
                 weight[i:j] = run_[first[1:]] - run_[first[:-1]]
             ids = b["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            u = ((mix(ids + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+            u = ((mix(ids * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([seed], np.uint64))) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
             key = weight - np.log(-np.log(u))
             bits = (key + 0.0).view(np.int64)
             order = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)  # whole numbers in the order of the keys
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(weight), pa.array(key), pa.array(order)], ["doc_id", "text_hash", "log_weight", "sample_key", "key_order"])
+            trim()
 
     return run
 
@@ -141,28 +111,34 @@ def kth_largest(values: DataFrame, column: str, k: int, digit: int = 14) -> int
     return prefix - (1 << 64) if prefix >= 1 << 63 else prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep_good: float = 0.999, sample: int = 20_000, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, spare: float = 1.03, sample: int = 20_000, seed: int = 42) -> DataFrame:
     """doc_id, text_hash, log_weight, sample_key, kept for every document.
 
-    The target is the text of rows with quality 1 in ``labels`` (doc_id, quality), raw text that of all labelled rows. The k
-    largest keys stay, with all that tie the last of them; k is the least number that holds ``keep_good`` of the documents
-    labelled 1. The noise depends on doc_id alone. A text without words has log weight 0. Without labels of quality 1
+    The target is the text of rows with quality 1 in ``labels`` (doc_id, quality), of about ``sample`` such rows taken by a hash of doc_id;
+    raw text is that of all rows. The k largest keys stay, with all that tie the last of them; k is the share ``keep`` of all rows, and by
+    default ``spare`` times the share of good ones among the labels, since near the border good ones fall behind by chance. The noise depends
+    on doc_id alone. A text without words has log weight 0. Without labels of quality 1
     all stay. Labels that are null or of unknown documents don't count; of several labels of a document the largest does.
     """
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("target"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    ratio = fit(labelled, sample)
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    known = written(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
+    n, good = known.agg(F.count("*"), F.count_if("good")).first()
+    target = known.filter("good").select("doc_id")
+    if good > sample:
+        target = target.filter(uniform(F.lit("fit"), F.col("doc_id")) < sample / good)
+    ratio = fit(docs.select("doc_id", "text").join(F.broadcast(target), "doc_id"), docs)  # about ``sample`` ids
     model = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     keys = written(rows.mapInArrow(_weigh(model, seed), "doc_id long, text_hash long, log_weight double, sample_key double, key_order long"), "quality-keys")
-    good = keys.join(known.filter("target"), "doc_id").select("key_order")
-    least = kth_largest(good, "key_order", math.ceil(keep_good * good.count()))
+    share = (min(1.0, spare * good / n) if n and good else 1.0) if keep is None else keep
+    least = kth_largest(keys, "key_order", math.ceil(share * keys.count())) if share < 1 else None
     kept = F.lit(True) if least is None else F.col("key_order") >= least
     return keys.select("doc_id", "text_hash", "log_weight", "sample_key", kept.alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs`` that :func:`resample` keeps, with all their columns. Null ids and repeated rows share their text's verdict."""
-    gone = resample(docs, labels, **options).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    id_, hash_ = free(docs.columns, "id", "hash")
+    gone = resample(docs, labels, **options).filter("not kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_))
     return docs.join(gone, same, "left_anti")

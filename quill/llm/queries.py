@@ -14,7 +14,9 @@ from .suffix_dedup import remove_repeats
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    kept = F.col("kept")
+    more = (F.octet_length(kept).cast("long").alias("n_kept"), F.make_valid_utf8(kept.cast("string")).alias("text"))  # a cut inside a character leaves U+FFFD
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", *more)
 
 
 def _tokenizer() -> str:

@@ -7,8 +7,8 @@ spans the corpus:
 1. *Dealing.* Each start of a ``length``-byte string takes as key the least hash among the
    grams inside the string. Equal strings have equal keys, so a key's strings can be settled
    apart from all others. Neighbouring starts of one key form a run (on average about
-   ``length / 2`` starts) and only runs are shuffled, never strings. Runs whose text is the same byte
-   for byte form a class with a multiplicity, which settles exact copies before any sorting.
+   ``length / 2`` starts) and only runs are shuffled, never strings. Runs of the same text, told by a 128-bit cryptographic digest of
+   its bytes, form a class with a multiplicity, which settles exact copies before any sorting: a key with one text needs no suffix array.
 2. *Shards.* The distinct texts of keys that have two or more classes are dealt into shards
    of bounded size. In a shard the suffix array is built by Larsson-Sadakane refinement and
    common prefixes by Kasai's algorithm, run in step over the shard's texts.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, pieces, written
-from .textnp import column_bytes, mix, powers, prefix_hash, range_hash, row_chunks
+from .textnp import column_bytes, mix, powers, prefix_hash, row_chunks, trim
 
 GRAM = 24
 RUN = 512  # starts in one run at most
@@ -214,7 +214,7 @@ class Shard:
 
 
 def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, key, text hash, first start, last start, inner) of the runs of all rows; starts relative to their row.
+    """(row, key, first start, last start, inner) of the runs of all rows; starts relative to their row.
 
     inner: the run may hold one string twice. Such strings overlap with a period that the key's gram repeats,
     so that gram leaves the window at a start that isn't the run's last and the least hash stays the same.
@@ -222,7 +222,7 @@ def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     z = np.zeros(0, np.int64)
     width = length - GRAM + 1
     if len(data) < length:
-        return z, z, z, z, z, z.astype(bool)
+        return z, z, z, z, z.astype(bool)
     prefix = prefix_hash(data)
     _, inv = powers(len(prefix))
     least = mix((prefix[GRAM:] - prefix[:-GRAM]) * inv[: len(prefix) - GRAM])
@@ -237,7 +237,7 @@ def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     count = np.maximum(size - length + 1, 0)
     row = np.repeat(np.arange(len(size)), count)
     if not len(row):
-        return z, z, z, z, z, z.astype(bool)
+        return z, z, z, z, z.astype(bool)
     at = np.repeat(offs[:-1] - np.cumsum(count) + count, count) + np.arange(len(row))
     key = least[at]
     cut = np.ones(len(row), bool)
@@ -253,7 +253,13 @@ def _runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     last = np.append(begin[1:], len(row)) - 1
     lo, hi = at[begin], at[last]
     r = row[begin]
-    return r, key[begin].view(np.int64), range_hash(prefix, lo, hi + length).view(np.int64), lo - offs[r], hi - offs[r], inner
+    return r, key[begin].view(np.int64), lo - offs[r], hi - offs[r], inner
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """A 128-bit cryptographic digest of each range: equal texts, and no others, are told by it."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def _run_rows(length: int):
@@ -261,12 +267,14 @@ def _run_rows(length: int):
         for b in batches:
             data, offs = column_bytes(b["text"])
             for i, j in row_chunks(offs, 1 << 20):
-                r, key, same, lo, hi, inner = _runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+                r, key, lo, hi, inner = _runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+                same = _digests(data, offs[r + i] + lo, offs[r + i] + hi + length)
                 take = pa.array(r + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(same), b["did"].take(take), b["dth"].take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(inner)],
+                    [pa.array(key), pa.array(same, pa.binary()), b["did"].take(take), b["dth"].take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(inner)],
                     ["key", "same", "did", "dth", "lo", "hi", "inner"],
                 )
+            trim()
 
     return run
 
@@ -290,7 +298,7 @@ def _slices(length: int):
     return run
 
 
-_HITS = "key long, same long, hits array<struct<a:int,b:int>>"
+_HITS = "key long, same binary, hits array<struct<a:int,b:int>>"
 
 
 def _hit_table(t: pa.Table, hits: list) -> pa.Table:
@@ -374,7 +382,7 @@ def _cut(length: int):
 def repeated_starts(docs: DataFrame, length: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(runs, hits): every run of starts, and for each class of runs the intervals of starts that are repeated."""
     spark = docs.sparkSession
-    runs = written(docs.select(*doc_key(), "text").mapInArrow(_run_rows(length), "key long, same long, did long, dth long, lo int, hi int, inner boolean"), "runs")
+    runs = written(docs.select(*doc_key(), "text").mapInArrow(_run_rows(length), "key long, same binary, did long, dth long, lo int, hi int, inner boolean"), "runs")
     classes = runs.groupBy("key", "same").agg(F.count("*").alias("times"), F.min(F.struct("did", "dth", "lo", "hi")).alias("rep"), F.max("inner").alias("inner"))
     keys = classes.groupBy("key").agg(F.count("*").alias("texts"), F.sum("times").alias("all"), F.sum(F.col("rep.hi") - F.col("rep.lo") + length + 8).alias("bytes"), F.max("inner").alias("twice")).filter("all > 1 or twice")
     classes = written(classes.drop("inner").join(keys, "key").drop("all"), "classes")
@@ -392,7 +400,7 @@ def repeated_starts(docs: DataFrame, length: int, shard_bytes: int) -> tuple[Dat
     )
     want = place.groupBy("did", "dth").agg(F.collect_list(F.struct("shard", "part", "parts", "key", "same", "times", "lo", "hi")).alias("want"))
     texts = docs.select(*doc_key(), "text")
-    cut = texts.join(want, ["did", "dth"]).select("text", "want").mapInArrow(_slices(length), "shard long, part int, parts int, key long, same long, times long, text binary")
+    cut = texts.join(want, ["did", "dth"]).select("text", "want").mapInArrow(_slices(length), "shard long, part int, parts int, key long, same binary, times long, text binary")
     cut = written(cut, "texts")
     settled = cut.repartition(min(shards, 8 * pieces(spark)), "shard", "part").groupBy("shard", "part").applyInArrow(_settle(length), _HITS)
     big = cut.filter("parts > 1")
@@ -411,7 +419,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 3 << 2
 
     Null texts count as empty and, like texts shorter than ``length``, lose nothing. A repeated row is
     another document: its text is then repeated. Rows with a null doc_id take part like any other.
-    Columns besides doc_id and text are not read. An empty table gives an empty result.
+    Columns besides doc_id and text are not read. An empty table gives an empty result. A text must fit a task, with some 60 times
+    its bytes of working memory. A key too large for a shard costs the square of its number of shards.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")

@@ -31,8 +31,10 @@ def test_stages_keep_the_columns_of_documents(steps):
 def test_quality(spark, steps):
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {r.doc_id for r in steps["quality"]}
-    assert sum(k not in kept for k, q in label.items() if q == 1) <= 1
-    assert sum(k not in kept for k, q in label.items() if q == 0) > 0.8 * sum(q == 0 for q in label.values())
+    good = [k for k, q in label.items() if q == 1]
+    assert len(kept) == -(-len(steps["documents"]) * 1.03 * len(good) // len(label))
+    assert sum(k in kept for k in good) / len(good) > 0.97
+    assert sum(k not in kept for k, q in label.items() if q == 0) > 0.7 * sum(q == 0 for q in label.values())
 
 
 def test_exact(steps):

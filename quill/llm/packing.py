@@ -2,7 +2,7 @@
 
 Documents are cut into pieces of at most ``max_len`` tokens. The histogram of all pieces' lengths (``max_len`` counts at most) goes to the
 driver, where dynamic programming finds the bucket boundaries that minimise padding. Inside a bucket, pieces form batches
-of a token budget. Places in a bucket are numbered in parallel: within hashed strips first, then strips are set end to end.
+of a token budget; :func:`emit` gives their ids. Places in a bucket are numbered in parallel: within hashed strips first, then strips are set end to end.
 """
 
 from __future__ import annotations
@@ -78,3 +78,14 @@ def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 6
     slots = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket"))).cast("long")
     out = pieces.join(offsets, ["bucket", "strip"]).withColumn("place", place).withColumn("slots", slots)
     return out.select("doc_id", "piece", "start", "length", "bucket", F.floor(F.col("place") / F.col("slots")).alias("batch"), F.pmod("place", "slots").alias("slot"))
+
+
+def emit(packed: DataFrame, ids: DataFrame, pad_id: int = 0) -> DataFrame:
+    """bucket, batch, slot, doc_id, length, ids: each packed piece with its token ids, filled up to its bucket with ``pad_id``.
+
+    ``ids`` has doc_id and ids (little-endian unsigned 32-bit numbers end to end), as ``token_output.read_ids`` gives them; ids come out in that form
+    too. Each doc_id must be there once, and pieces must have been measured by the same ids; pieces of ids that are missing have null.
+    """
+    part = F.substring(F.col("ids"), (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    filled = F.rpad(part, (4 * F.col("bucket")).cast("int"), F.lit(pad_id.to_bytes(4, "little")))
+    return packed.join(ids.select("doc_id", "ids"), "doc_id", "left").select("bucket", "batch", "slot", "doc_id", "length", filled.alias("ids"))

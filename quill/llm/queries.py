@@ -19,7 +19,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", *more)
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
+    """The file of the tokenizer by which documents are measured and encoded."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -27,7 +28,7 @@ def _tokenizer() -> str:
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "ids")
-    token_output.write_ids(table(spark, sf_dir, "documents"), path, _tokenizer(), end_id=2)
+    token_output.write_ids(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
     return token_output.read_ids(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -63,12 +64,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), tokens=token_output.n_ids("text", _tokenizer()))
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), tokens=token_output.n_ids("text", tokenizer()))
     return out.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability", "mix_kept")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokens=token_output.n_ids("text", _tokenizer()))
+    return packing.pack(table(spark, sf_dir, "documents"), tokens=token_output.n_ids("text", tokenizer()))
 
 
 def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def top_k(vectors: DataFrame, weights: Column, is_query: Column, k: int = 5, id_
 
     ``weights`` is an array of whole numbers, null where the row takes no part; components beyond the shorter of two vectors count
     as 0. Candidates are all rows but those with the query's own id; ties go to the smaller id. Rows with a null id take no part.
-    Repeated candidate rows are candidates of their own; of repeated query rows one asks. Fewer than k candidates give fewer rows.
+    Repeated candidate rows are candidates of their own; of query rows with one id the one with the largest vector asks. Fewer than k candidates give fewer rows.
     Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), weights.cast("array<long>").alias("w"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("id is not null and w is not null")
@@ -88,7 +88,7 @@ def top_k(vectors: DataFrame, weights: Column, is_query: Column, k: int = 5, id_
     block = lambda many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     cands = rows.select("id", "w", F.lit(False).alias("is_query"), block(n_rows).alias("rb"), every(n_asks).alias("qb"))
-    queries = rows.filter("asks").dropDuplicates(["id"]).select("id", "w", F.lit(True).alias("is_query"), every(n_rows).alias("rb"), block(n_asks).alias("qb"))
+    queries = rows.filter("asks").groupBy("id").agg(F.max("w").alias("w")).select("id", "w", F.lit(True).alias("is_query"), every(n_rows).alias("rb"), block(n_asks).alias("qb"))
     tiles = queries.unionByName(cands).groupBy("rb", "qb").applyInArrow(_tile(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return tiles.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -237,8 +237,34 @@ def test_mixing_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix(empty).count() == 0
     one = spark.createDataFrame([(None, None, None, None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long, __source int")
-    got = mixing.mix(one.drop("__source")).first()
-    assert got.mix_probability == 1 and got.mix_kept and got.mix_topic == "prose"
+    got = mixing.mix(one.withColumns({c: F.lit(c) for c in ("_source", "source_cell", "lang_cell", "topic", "p", "tokens")})).first()
+    assert got.mix_probability == 1 and got.mix_kept and got.mix_topic == mixing.NONE
+    assert got["__source"] == 3 and got.source_cell == "source_cell" and got.p == "p"
+
+
+def test_topics_are_clusters_of_words(spark):
+    rng = random.Random(6)
+    kinds = [[f"{c}{k}" for k in range(40)] for c in "xyz"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(60))) for i in range(90)] + [(90, None), (91, " "), (92, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", mixing.topic_of("text", mixing.topic_model(df, topics=3)).alias("t")).collect()}
+    assert [got[k] for k in (90, 91, 92)] == [mixing.NONE] * 3
+    names = [{got[i] for i in range(k, 90, 3)} for k in range(3)]
+    assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3
+
+
+def test_packed_pieces_carry_their_ids(spark):
+    ids = {1: list(range(100, 110)), 2: [7], 3: list(range(5))}
+    df = spark.createDataFrame([(k, len(v), np.array(v, "<u4").tobytes()) for k, v in ids.items()], "doc_id long, n long, ids binary").withColumn("text", F.lit("x"))
+    packed = packing.pack(df, max_len=4, buckets=2, budget=8, tokens=F.col("n"))
+    out = packing.emit(packed, df, pad_id=9).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.doc_id, -r.length)):
+        x = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(x) == r.bucket and x[r.length :] == [9] * (r.bucket - r.length)
+        got[r.doc_id] += x[: r.length]
+    assert {k: sorted(v) for k, v in got.items()} == ids
+    assert {(r.bucket, r.batch, r.slot) for r in out} == {(r.bucket, r.batch, r.slot) for r in packed.collect()}
 
 
 # --- packing ------------------------------------------------------------------------------------

@@ -7,7 +7,8 @@ import pytest
 
 from .test_models import plain_mix
 from .test_near_dup import brute
-from quill.llm import mixing
+from quill.llm import mixing, token_output
+from quill.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,12 +50,20 @@ def test_near(steps):
     assert {r.doc_id for r in steps["near_dedup"]} == {i for i, (_, _, kept) in want.items() if kept}
 
 
+def n_ids(texts):
+    from tokenizers import Tokenizer
+
+    got = Tokenizer.from_file(tokenizer()).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [len(e.ids) + 1 for e in got]
+
+
 def test_mix(spark, steps):
-    df = mixing.mix(spark.createDataFrame(steps["near_dedup"])).collect()
+    docs = spark.createDataFrame(steps["near_dedup"])
+    df = mixing.mix(docs, tokens=token_output.n_ids("text", tokenizer())).collect()
     cells = {}
-    for r in df:
+    for r, n in zip(df, n_ids(r.text for r in df), strict=True):
         key = (r.source, r.lang, r.mix_topic)
-        cells[key] = cells.get(key, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) + 1
+        cells[key] = cells.get(key, 0) + n
     want = plain_mix(cells, {}, 0.25)
     for r in df:
         assert r.mix_probability == pytest.approx(want[(r.source, r.lang, r.mix_topic)], rel=1e-4)
@@ -62,7 +71,8 @@ def test_mix(spark, steps):
 
 
 def test_pack(steps):
-    want = {(r.doc_id, k) for r in steps["mixing"] for k in range(-(-(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) + 1) // 2048))}
+    kept = steps["mixing"]
+    want = {(r.doc_id, k) for r, n in zip(kept, n_ids(r.text for r in kept), strict=True) for k in range(-(-n // 2048))}
     assert {(r.doc_id, r.piece) for r in steps["packing"]} == want and len(steps["packing"]) == len(want)
 
 

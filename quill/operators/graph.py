@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """Reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where it is unset and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quill-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="quill-"))
     return df.checkpoint()
 
 

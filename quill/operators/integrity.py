@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,22 +23,38 @@ def compare(before: DataFrame, after: DataFrame, keys: list[str], fields: list[s
     return a.join(b, keys, "full_outer").select(*keys, problem.alias("problem")).filter("problem is not null")
 
 
+STRIP, MOST_STRIPS = 1024, 64
+
+
+def _strips(lo: str, hi: str) -> Column:
+    """The strips of lines that a range touches; a wide range has none and is met by its path alone."""
+    first, last = F.floor(F.col(lo) / STRIP), F.floor(F.col(hi) / STRIP)
+    return F.when(last - first < MOST_STRIPS, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def overlaps(ranges: DataFrame) -> DataFrame:
     """(path, a, b): pairs of ranges (path, ord, lo, hi) of one path that share a line; a null range is the whole file.
 
-    Only a range and those that begin before it ends meet: an equi-join by path with range conditions.
+    Ranges meet in strips of lines, each pair in the strip where the later one begins; ranges over many strips meet the others of their path.
     """
-    whole = ranges.select("path", "ord", F.coalesce("lo", F.lit(1)).alias("lo"), F.coalesce("hi", F.lit(2147483647)).alias("hi"))
-    a, b = whole.alias("a"), whole.alias("b")
-    meet = (F.col("a.path") == F.col("b.path")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")) & (F.col("a.ord") < F.col("b.ord"))
-    return a.join(b, meet).select(F.col("a.path").alias("path"), F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    whole = ranges.select("path", "ord", F.coalesce("lo", F.lit(1)).alias("lo"), F.coalesce("hi", F.lit(2147483647)).alias("hi")).filter("lo <= hi")
+    dealt = whole.withColumn("strip", F.explode_outer(_strips("lo", "hi")))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    both = (F.col("a.path") == F.col("b.path")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
+    pair = [F.col("a.path").alias("path"), F.col("a.ord").alias("a"), F.col("b.ord").alias("b")]
+    begins = F.floor(F.greatest("a.lo", "b.lo") / STRIP)
+    narrow = a.join(b, both & (F.col("a.strip") == F.col("b.strip")) & (F.col("a.ord") < F.col("b.ord"))).filter(F.col("a.strip") == begins).select(*pair)
+    wide = a.filter("strip is null").alias("a").join(whole.alias("b"), both & (F.col("a.ord") != F.col("b.ord"))).select(*pair)
+    return narrow.unionByName(wide.select("path", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def outside(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Points (path, line) that no interval (path, lo, hi) of their path holds."""
-    p, i = points.alias("p"), intervals.alias("i")
+    """Points (path, line) that no interval (path, lo, hi) of their path holds; intervals are sought by strips of lines, wide ones by their path."""
+    dealt = intervals.withColumn("strip", F.explode_outer(_strips("lo", "hi"))).alias("i")
+    p = points.alias("p")
     inside = (F.col("p.path") == F.col("i.path")) & F.col("p.line").between(F.col("i.lo"), F.col("i.hi"))
-    return p.join(i, inside, "left_anti")
+    left = p.join(dealt.filter("strip is not null").alias("i"), inside & (F.floor(F.col("p.line") / STRIP) == F.col("i.strip")), "left_anti")
+    return left.alias("p").join(dealt.filter("strip is null").alias("i"), inside, "left_anti")
 
 
 def merge_intervals(spans: DataFrame, key: str) -> DataFrame:

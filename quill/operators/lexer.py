@@ -7,18 +7,18 @@ its own tokenizer. Constructs that a description cannot decide mark the scan unc
 
 from __future__ import annotations
 
-import bisect
 import io
 import re
 import tokenize
 from dataclasses import dataclass, field
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.languages import directive_kind, language_of
+from ..functions.languages import directives, language_of
 
 _BACKSLASH = r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'"
 _DOUBLE = r'"(?:\\.|[^"\\\n])*"'
@@ -188,68 +188,56 @@ def comment_units(text: str, path: str, fine: bool = False, extra: tuple[str, ..
     too. Directives split a run; a run with a licence marker, and everything before the first code of a file whose header has one, is left
     out, as are a first line's ``#!`` and Python's encoding line.
     """
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     found = sorted(scan(text, path, fine).comments)
-    lines = text.split("\n")
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
-    place = lambda o: (bisect.bisect_right(starts, o), o - starts[bisect.bisect_right(starts, o) - 1])
-    code, at = len(text), 0
-    for a, b, _, _ in [*found, (len(text), len(text), "", "")]:
-        if gap := re.search(r"\S", text[at:a]):
-            code = at + gap.start()
-            break
-        at = b
-    header = any(a < code and directive_kind(inner, extra) == "license" for a, _, inner, kind in found if kind == "comment")
-    units: list[dict] = []
-    run: list[tuple[dict, str | None]] = []
-
-    def close() -> None:
-        if not any(flag == "license" for _, flag in run):
-            open_: dict | None = None
-            for u, flag in run:
-                if flag:
-                    open_ = None
-                elif open_ is None:
-                    open_ = dict(u)
-                    units.append(open_)
-                else:
-                    open_.update(el=u["el"], ec=u["ec"])
-        run.clear()
-
-    for a, b, inner, kind in found:
-        b = a + len(text[a:b].rstrip("\r\n"))
-        (sl, sc), (el, ec) = place(a), place(b)
-        left, right = lines[sl - 1][:sc].strip(), lines[el - 1][ec:].strip()
-        unit = {"sl": sl, "sc": sc, "el": el, "ec": ec, "whole": not left and not right, "kind": kind}
-        special = (a == 0 and text.startswith("#!")) or (language_of(path) == "python" and sl <= 2 and re.match(r"[ \t\f]*#.*?coding[:=]", lines[sl - 1]))
-        if (left and right) or special:
-            continue
-        flag = directive_kind(inner, extra)
-        if kind == "docstring":
-            close()
-            if flag != "license":
-                units.append(unit)
-            continue
-        if flag is None and header and b <= code:
-            flag = "license"
-        if left or right:
-            close()
-            if fine and not flag:
-                units.append(unit)
-            continue
-        if run and sl != run[-1][0]["el"] + 1:
-            close()
-        run.append((unit, flag))
-    close()
-    for u in units:
-        body = lines[u["sl"] - 1 : u["el"]]
-        body[-1] = body[-1][: u["ec"]]
-        u["text"] = "\n".join([body[0][u["sc"] :], *body[1:]])
+    if not found:
+        return []
+    kind = np.array([k for *_, k in found], object)
+    a, b = (np.array([c[k] for c in found]) for k in (0, 1))
+    code = _first_code(text, a, b)
+    b = np.array([i + len(text[i:j].rstrip("\r\n")) for i, j in zip(a, b, strict=True)])
+    begins = np.array([0, *(m.end() for m in re.finditer("\n", text))])
+    sl, el = np.searchsorted(begins, a, "right"), np.searchsorted(begins, b, "right")
+    stop = np.append(begins[1:] - 1, len(text))[el - 1]
+    written = lambda x, y: np.array([not text[i:j].isspace() and i < j for i, j in zip(x, y, strict=True)])
+    before, behind = written(begins[sl - 1], a), written(b, stop)
+    flag = np.array(directives((c[2] for c in found), extra), object)
+    if ((kind == "comment") & (flag == "license") & (a < code)).any():
+        flag[(kind != "docstring") & (flag == "") & (b <= code)] = "license"
+    told = (a == 0) & text.startswith("#!")
+    if language_of(path) == "python":
+        told |= np.array([n <= 2 and re.match(r"[ \t\f]*#.*?coding[:=]", text[begins[n - 1] :]) is not None for n in sl])
+    stay = ~(before & behind) & ~told
+    kind, a, b, sl, el, flag, whole = (x[stay] for x in (kind, a, b, sl, el, flag, ~(before | behind)))
+    if not len(a):
+        return []
+
+    # gaps and islands: a run is whole lines in a row, an island of it what stands between directives
+    alone = (kind != "docstring") & whole
+    follows = np.zeros(len(a), bool)
+    follows[1:] = alone[1:] & alone[:-1] & (sl[1:] == el[:-1] + 1)
+    run = np.cumsum(~follows) - 1
+    licensed = (np.bincount(run, flag == "license") > 0)[run]
+    wanted = np.where(kind == "docstring", flag != "license", (flag == "") & ~licensed & (alone | fine))
+    island = np.cumsum(flag != "")
+    at = np.flatnonzero(wanted)
+    head = np.append(True, (run[at[1:]] != run[at[:-1]]) | (island[at[1:]] != island[at[:-1]])) if len(at) else np.zeros(0, bool)
+    first, last = at[head], at[np.append(head[1:], True)] if len(at) else at
+    units = [
+        {"sl": int(sl[i]), "sc": int(a[i] - begins[sl[i] - 1]), "el": int(el[j]), "ec": int(b[j] - begins[el[j] - 1]), "whole": bool(whole[i]), "kind": kind[i], "text": text[a[i] : b[j]]}
+        for i, j in zip(first, last, strict=True)
+    ]
     return sorted(units, key=lambda u: (u["sl"], u["sc"]))
 
 
+def _first_code(text: str, a: np.ndarray, b: np.ndarray) -> int:
+    """Where the first character stands that is neither white space nor in a comment."""
+    bare = np.array(list(text))
+    for i, j in zip(a, b, strict=True):
+        bare[i:j] = " "
+    return next((m.start() for m in re.finditer(r"\S", "".join(bare))), len(text))
+
+
 def units_of(text: Column | str, path: Column | str, fine: bool = False, extra: tuple[str, ...] = ()) -> Column:
     """Column form of :func:`comment_units`; null text has none."""
 

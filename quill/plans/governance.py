@@ -70,7 +70,13 @@ SITEMAPS = values(
 )
 
 
-@query("sitemap_pages", "SELECT url, depth FROM (VALUES ('https://h.com/1?a=1&b=2', 1), ('https://h.com/2', 1)) AS t(url, depth)")
+@query(
+    "sitemap_pages",
+    f"""WITH RECURSIVE i AS (SELECT url, body, regexp_extract(url, '://([^/]+)', 1) AS host FROM ({SITEMAPS})),
+l AS (SELECT url, host, body LIKE '<sitemapindex%' AS is_index, replace(trim(regexp_extract(x, '<loc>(.*)</loc>', 1)), '&amp;', '&') AS loc FROM (SELECT url, host, body, unnest(regexp_extract_all(body, '<loc>[^<]*</loc>')) AS x FROM i)),
+r AS (SELECT 'https://h.com/sitemap.xml' AS url, 0 AS depth UNION ALL SELECT l.loc, r.depth + 1 FROM r JOIN l ON l.url = r.url WHERE l.is_index AND regexp_extract(l.loc, '://([^/]+)', 1) = l.host AND r.depth < 3)
+SELECT l.loc AS url, r.depth FROM r JOIN l ON l.url = r.url WHERE NOT l.is_index""",
+)
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that sitemaps list, through an index; other hosts' indexes aren't followed."""
     return archive.sitemap_urls(spark.sql(SITEMAPS), ["https://h.com/sitemap.xml"])
@@ -110,7 +116,11 @@ def verified_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIFF = values("sha, sign, content", "('a', '-', 'x = 1')", "('a', '+', 'x  =  1')", "('a', '+', '')", "('b', '-', 'y')", "('c', '+', ' ')")
 
 
-@query("mechanical_commits", r"SELECT sha, mechanical FROM (VALUES ('a', true), ('b', false), ('c', true)) AS t(sha, mechanical)")
+@query(
+    "mechanical_commits",
+    f"""SELECT sha, coalesce(string_agg(c, '' ORDER BY c) FILTER (WHERE sign = '-'), '') = coalesce(string_agg(c, '' ORDER BY c) FILTER (WHERE sign = '+'), '') AS mechanical
+FROM (SELECT sha, sign, regexp_replace(content, '\\s', '', 'g') AS c FROM ({DIFF})) GROUP BY sha""",
+)
 def mechanical_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits that change white space alone."""
     return gates.mechanical_only(spark.sql(DIFF))
@@ -144,7 +154,11 @@ def spelling_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 SKILLS = values("name, description", "('good-name', 'does it')", "('Bad Name', '<b>')", "('x', NULL)")
 
 
-@query("package_problems", "SELECT name, problem FROM (VALUES ('Bad Name', 'name has other characters or is too long'), ('Bad Name', 'description holds markup'), ('x', 'no description')) AS t(name, problem)")
+@query(
+    "package_problems",
+    f"""SELECT name, unnest(list_filter([CASE WHEN NOT regexp_matches(name, '^[a-z0-9-]{{1,64}}$') THEN 'name has other characters or is too long' END,
+  CASE WHEN coalesce(trim(description), '') = '' THEN 'no description' END, CASE WHEN regexp_matches(description, '[<>]') THEN 'description holds markup' END], lambda x: x IS NOT NULL)) AS problem FROM ({SKILLS})""",
+)
 def package_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.build_problems(spark.sql(SKILLS))
 
@@ -161,7 +175,12 @@ def style_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCES = values("path", "('a/b.py')", "('Dockerfile.dev')", "('Makefile')", "('x.TSX')", "('conf.ini')", "('noext')", "('data.json')", "('.gitignore')", "('lib/x.hs')")
 
 
-@query("file_languages", "SELECT path, lang FROM (VALUES ('a/b.py', 'python'), ('Dockerfile.dev', 'hashline'), ('Makefile', 'hash'), ('x.TSX', 'jsx'), ('conf.ini', 'ini'), ('noext', NULL), ('data.json', 'none'), ('.gitignore', 'hashline'), ('lib/x.hs', 'haskell')) AS t(path, lang)")
+@query(
+    "file_languages",
+    f"""SELECT path, CASE WHEN name IN ('makefile', 'rakefile', 'gemfile') THEN 'hash' WHEN name IN ('.gitignore', '.env') OR starts_with(name, 'dockerfile') THEN 'hashline'
+  ELSE CASE regexp_extract(name, '.(\\.[^.]*)$', 1) WHEN '.py' THEN 'python' WHEN '.tsx' THEN 'jsx' WHEN '.ini' THEN 'ini' WHEN '.json' THEN 'none' WHEN '.hs' THEN 'haskell' END END AS lang
+FROM (SELECT path, lower(regexp_extract(path, '[^/]*$')) AS name FROM ({SOURCES}))""",
+)
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SOURCES).select("path", languages.language(F.col("path")).alias("lang"))
 
@@ -169,7 +188,10 @@ def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 WALK = values("path", "('a/b.py')", "('node_modules/x.js')", "('a/.git/config')", "('x.min.js')", "('yarn.lock')", "('src/out/z.txt')", "('app.map')", "('keep/me.txt')")
 
 
-@query("walked_files", "SELECT path FROM (VALUES ('a/b.py'), ('keep/me.txt')) AS t(path)")
+@query(
+    "walked_files",
+    f"""SELECT path FROM ({WALK}) WHERE NOT regexp_matches(path, '(^|/)(\\.[^/]*|node_modules|out)/') AND NOT regexp_matches(path, '\\.min\\.js$|\\.lock$|\\.map$')""",
+)
 def walked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a directory walk keeps."""
     return spark.sql(WALK).filter(~files.is_skipped(F.col("path")))
@@ -179,7 +201,12 @@ ENTRIES = values("ord, ident, line", "(1, 'a', 'A1')", "(2, 'b', 'B1')")
 CHANGES = values("seq, ident, line", "(1, 'b', 'B2')", "(2, 'c', 'C1')", "(3, 'b', 'B3')", "(4, 'd', 'D1')")
 
 
-@query("intake_upsert", "SELECT ord, ident, line FROM (VALUES (1, 'a', 'A1'), (2, 'b', 'B3'), (3, 'c', 'C1'), (4, 'd', 'D1')) AS t(ord, ident, line)")
+@query(
+    "intake_upsert",
+    f"""WITH c AS (SELECT ident, arg_max(line, seq) AS line, min(seq) AS seq FROM ({CHANGES}) GROUP BY ident)
+SELECT e.ord, e.ident, coalesce(c.line, e.line) AS line FROM ({ENTRIES}) e LEFT JOIN c ON c.ident = e.ident
+UNION ALL SELECT CAST((SELECT max(ord) FROM ({ENTRIES})) + row_number() OVER (ORDER BY c.seq) AS INTEGER), c.ident, c.line FROM c WHERE c.ident NOT IN (SELECT ident FROM ({ENTRIES}))""",
+)
 def intake_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intake with changed and new entries."""
     return records.upsert_intake(spark.sql(ENTRIES), spark.sql(CHANGES))
@@ -207,7 +234,11 @@ def embedded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCOPES = values("id, scope", "(1, 'a.py, docs/x.md:10-80')", "(2, '')", "(3, 'b.md:1-2,c')")
 
 
-@query("scope_entries", "SELECT id, path, lo, hi FROM (VALUES (1, 'a.py', NULL, NULL), (1, 'docs/x.md', 10, 80), (3, 'b.md', 1, 2), (3, 'c', NULL, NULL)) AS t(id, path, lo, hi)")
+@query(
+    "scope_entries",
+    f"""SELECT id, regexp_replace(e, ':[0-9]+-[0-9]+$', '') AS path, TRY_CAST(regexp_extract(e, ':([0-9]+)-[0-9]+$', 1) AS INTEGER) AS lo, TRY_CAST(regexp_extract(e, '-([0-9]+)$', 1) AS INTEGER) AS hi
+FROM (SELECT id, trim(unnest(string_split(scope, ','))) AS e FROM ({SCOPES})) WHERE e <> ''""",
+)
 def scope_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCOPES).select("id", F.explode(records.scope_entries(F.col("scope"))).alias("e")).select("id", "e.path", "e.lo", "e.hi")
 
@@ -216,7 +247,12 @@ FOUND = values("doc, ord, title", "(1, 1, '1. Intro')", "(1, 2, '2. Close')", "(
 WANTED = values("pos, title", "(1, 'Intro')", "(2, 'Use')", "(3, 'Close')")
 
 
-@query("chapter_problems", "SELECT doc, problem FROM (VALUES (1, 'Use is out of order'), (2, 'Use is missing'), (2, 'Close is missing')) AS t(doc, problem)")
+@query(
+    "chapter_problems",
+    f"""WITH f AS (SELECT f.doc, f.ord, w.pos, w.title FROM ({FOUND}) f JOIN ({WANTED}) w ON lower(w.title) = lower(regexp_replace(f.title, '^[0-9.]+\\s+', '')))
+SELECT doc, title || ' is out of order' AS problem FROM f a WHERE EXISTS (SELECT 1 FROM f b WHERE b.doc = a.doc AND b.ord < a.ord AND b.pos > a.pos)
+UNION ALL SELECT d.doc, w.title || ' is missing' FROM (SELECT DISTINCT doc FROM ({FOUND})) d, ({WANTED}) w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc = d.doc AND f.title = w.title)""",
+)
 def chapter_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters missing from, or out of, a type's order."""
     return quality.chapter_problems(spark.sql(FOUND), spark.sql(WANTED))
@@ -225,12 +261,22 @@ def chapter_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 CARD = values("doc, ord, line", "(1, 1, '## S01 · Start')", "(1, 2, '**Goal:** begin')", "(1, 3, 'and go on')", "(1, 4, '**Who:** Anna')", "(1, 5, '## Other')", "(1, 6, '**Goal:** no')", "(1, 7, '## To be confirmed')", "(1, 8, '- why?')", "(1, 9, '# End')", "(1, 10, 'x')")
 
 
-@query("card_fields", "SELECT doc, card, ord, field, value FROM (VALUES (1, 'S01', 2, 'Goal', 'begin' || chr(10) || 'and go on'), (1, 'S01', 4, 'Who', 'Anna')) AS t(doc, card, ord, field, value)")
+@query(
+    "card_fields",
+    f"""WITH h AS (SELECT *, regexp_extract(line, '^#+ ([A-Z]+[0-9]+)', 1) AS c, line LIKE '#%' AS head, regexp_extract(line, '^\\*\\*([^*]+):\\*\\*', 1) AS f FROM ({CARD})),
+s AS (SELECT *, max(CASE WHEN head THEN ord END) OVER (PARTITION BY doc ORDER BY ord) AS under, max(CASE WHEN f <> '' THEN ord END) OVER (PARTITION BY doc ORDER BY ord) AS at FROM h)
+SELECT s.doc, any_value(h.c) AS card, CAST(min(s.ord) AS INTEGER) AS ord, max(s.f) AS field, string_agg(trim(regexp_replace(s.line, '^\\*\\*[^*]+:\\*\\*', '')), chr(10) ORDER BY s.ord) AS value
+FROM s JOIN h ON h.doc = s.doc AND h.ord = s.under WHERE NOT s.head AND s.at > s.under AND h.c <> '' GROUP BY s.doc, s.under, s.at""",
+)
 def card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.card_fields(spark.sql(CARD), "doc")
 
 
-@query("open_questions", "SELECT 1 AS doc, 8 AS ord, '- why?' AS line")
+@query(
+    "open_questions",
+    f"""WITH h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,2}} ') THEN ord END AS head FROM ({CARD})), s AS (SELECT *, max(head) OVER (PARTITION BY doc ORDER BY ord) AS under FROM h)
+SELECT s.doc, s.ord, s.line FROM s JOIN h ON h.doc = s.doc AND h.ord = s.under WHERE s.head IS NULL AND lower(h.line) = '## to be confirmed'""",
+)
 def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under a heading of open questions."""
     return quality.to_be_confirmed(spark.sql(CARD), "doc")
@@ -239,7 +285,11 @@ def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PORTABLE = values("name", "('a:b?.md')", "('CON.txt')", "('ok.md')", "('dots...')", "('/')")
 
 
-@query("portable_names", "SELECT name, safe FROM (VALUES ('a:b?.md', 'a_b_.md'), ('CON.txt', '_CON.txt'), ('ok.md', 'ok.md'), ('dots...', 'dots'), ('/', '_')) AS t(name, safe)")
+@query(
+    "portable_names",
+    f"""SELECT name, CASE WHEN base = '' THEN '_' WHEN regexp_matches(upper(base), '^(CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])(\\.|$)') THEN '_' || base ELSE base END AS safe
+FROM (SELECT name, rtrim(regexp_replace(name, '[<>:"/|?*\\\\]', '_', 'g'), '. ') AS base FROM ({PORTABLE}))""",
+)
 def portable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PORTABLE).select("name", archive.portable_name(F.col("name")).alias("safe"))
 

@@ -209,7 +209,10 @@ def test_mixing_against_brute_force(spark, weights, least, most_cells):
     d = docs(spark).withColumn("lang", F.when(F.col("doc_id") % 17 == 0, None).otherwise(F.col("lang"))).withColumn("mix_kept", F.lit("old"))
     if most_cells == 3:
         d = d.filter("doc_id < 300").withColumn("source", F.substring("source", 1, 4))
-    out = mixing.mix(d, weights, least, most_cells=most_cells).collect()
+        # few cells, as each round of the form in DataFrames is a job
+        out = mixing.mix(d, weights, least, most_cells=most_cells, topic=F.when(F.length("text") > 1000, "long").otherwise("short")).collect()
+    else:
+        out = mixing.mix(d, weights, least, most_cells=most_cells).collect()
     cells = Counter()
     for r in out:
         words = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1

@@ -96,6 +96,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), parts AS (
+  SELECT r, i, substring(bytes, CAST(2 * i + 1 AS BIGINT), 1598) AS part
+  FROM (SELECT r, bytes, unnest(range(0, CAST(length(bytes) // 2 - 399 AS BIGINT), 400)) AS i FROM d WHERE length(bytes) >= 800)
+), h AS (
+  SELECT r, i + j AS i, md5_number(substring(part, CAST(2 * j + 1 AS BIGINT), 800)) AS string
+  FROM (SELECT r, i, part, unnest(range(CAST(length(part) // 2 - 399 AS BIGINT))) AS j FROM parts)
+), again AS (
+  SELECT r, i FROM h WHERE string IN (SELECT string FROM h GROUP BY string HAVING count(*) > 1)
+), marked AS (
+  SELECT r, i, CAST(coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true) AS INTEGER) AS opens FROM again
+), numbered AS (
+  SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY r, run
+), ends AS (
+  SELECT r, a, b, true AS is_run FROM runs UNION ALL SELECT r, length(bytes) // 2, length(bytes) // 2, false FROM d
+), pieces AS (
+  SELECT r, a, b, is_run, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b, is_run DESC), 0) AS z FROM ends
+), kept AS (
+  SELECT d.r, d.doc_id, length(d.bytes) // 2 AS n_bytes, sum(b - a) AS n_removed, count(*) FILTER (is_run) AS n_spans,
+         coalesce(string_agg(substring(d.bytes, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a, b, is_run DESC), '') AS bytes
+  FROM pieces JOIN d USING (r) GROUP BY d.r, d.doc_id, length(d.bytes)
+), chars AS (
+  SELECT *, regexp_extract_all(regexp_replace(bytes, '(..)', '\\1 ', 'g'),
+    '[0-7]. |(?:C[2-9A-F]|D.) [89AB]. |(?:E0 [AB]|ED [89]|E[1-9A-CEF] [89AB]). (?:[89AB]. )?|(?:F0 [9AB]|F4 8|F[1-3] [89AB]). (?:[89AB]. ){0,2}|.. ') AS c
+  FROM kept
+)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(bytes)) AS kept_sha256,
+       CAST(n_bytes - n_removed AS BIGINT) AS n_kept,
+       decode(unhex(replace(array_to_string(list_transform(c, lambda x: CASE
+         WHEN length(x) = 3 AND x < '8' OR length(x) = 6 AND x < 'E' OR length(x) = 9 AND x < 'F' OR length(x) = 12 THEN x ELSE 'EF BF BD ' END), ''), ' ', ''))) AS text
+FROM chars""",
     "op3_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
@@ -136,4 +171,28 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op10_minhash_near_dedup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), t AS (
+  SELECT doc_id, len(words) AS many, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), g AS (
+  SELECT doc_id, many, i, concat_ws(' ', word, lead(word) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p) AS shingle FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), u AS (
+  SELECT DISTINCT doc_id, shingle FROM g WHERE i <= greatest(many - 3, 1)
+), e AS (
+  SELECT doc_id, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM u
+), holders AS (
+  SELECT docs, count(*) AS times FROM (SELECT list(struct_pack(id := doc_id, n := n) ORDER BY doc_id) AS docs FROM e GROUP BY shingle HAVING count(*) > 1) GROUP BY docs
+), pairs AS (
+  SELECT a, unnest(docs) AS b, times FROM (SELECT docs, unnest(docs) AS a, times FROM holders)
+), l AS (
+  SELECT a.id AS a, b.id AS b FROM pairs WHERE a.id <> b.id GROUP BY a, b HAVING 100 * sum(times) >= 80 * (a.n + b.n - sum(times))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM w UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.other
+), c AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c ON c.node = w.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) z ON z.doc_id = w.doc_id""",
 }

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, near_dup, packing, quality, token_output, vector_topk
-from .common import shared_path, table
+from . import chat_format, exact_dedup, fill_middle, hilbert, language_id, mixing, near_dup, packing, quality, token_output, vector_codes, vector_topk
+from .common import shared_path, table, written
 from .suffix_dedup import remove_repeats
 
 
@@ -32,11 +32,15 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_ids(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_numbers() -> Column:
+    """floor(256 x) of each component of the embedding; null where it is null or holds a null or non-finite component."""
     x = F.col("embedding")
     usable = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    weights = F.when(usable, F.transform(x, lambda v: F.floor(v.cast("double") * 256)))
-    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), weights, F.col("vec_id") % 50 == 0, k=5)
+    return F.when(usable, F.transform(x, lambda v: F.floor(v.cast("double") * 256)))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), whole_numbers(), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +86,28 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"), whole_numbers(), ["vec_id", "label"], parts=16, entries=64, rounds=2)
+    out = vector_codes.with_total(written(codes.rows, "codes"), "label", "error", "label_error")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"))
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_bytes": F.col("n_bytes")}
+    out = hilbert.shard(written(docs, "metadata"), dims, shards=40, bits=5, ties=[F.col("text_crc32"), F.col("doc_id")])
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", (F.col("n_bytes") + 16).alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none, "curve")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    sha = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    cuts = (F.col("fim_prefix").alias("prefix_chars"), F.col("fim_middle").alias("middle_chars"))
+    return out.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), *cuts, sha("fim_text").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_output": op2_token_output,
@@ -93,8 +119,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hilbert_shards": op12_hilbert_shards,
+    "op13_fill_middle": op13_fill_middle,
 }
 
+
+def _lookup(numbers: list[int]) -> str:
+    return f"[{', '.join(map(str, numbers))}]"
+
+
+def _curve_sql(dims: list[str], bits: int) -> str:
+    """The place on the Hilbert curve of the cell with these coordinates."""
+    digits, after, _ = hilbert.states(len(dims))
+    size = 1 << len(dims)
+    corner = " + ".join(f"((({d} >> b) & 1) << {k})" for k, d in enumerate(dims))
+    levels = f"list_transform(range({bits - 1}, -1, -1), lambda b: CAST({corner} AS BIGINT))"
+    at = f"(a % 256) * {size} + c + 1"  # the state stands in the last eight bits
+    step = f"((a // 256) * {size} + {_lookup(digits)}[{at}]) * 256 + {_lookup(after)}[{at}]"
+    return f"list_reduce(list_prepend(CAST(0 AS BIGINT), {levels}), lambda a, c: {step}) // 256"
+
 SQL: dict[str, str] = {
     "op1_suffix_array_dedup": """
 WITH d AS (
@@ -195,4 +239,79 @@ WITH RECURSIVE w AS (
 )
 SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w JOIN c ON c.node = w.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id) z ON z.doc_id = w.doc_id""",
+    "op11_vector_codes": """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, part, w[part * (len(w) // 16) + 1:(part + 1) * (len(w) // 16)] AS x FROM (SELECT r, w, unnest(range(16)) AS part FROM v)
+), books0 AS MATERIALIZED (
+  SELECT p.part, f.entry, p.x FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, w) - 1 AS entry FROM v QUALIFY entry < 64) f USING (r)
+), nearest0 AS MATERIALIZED (
+  SELECT r, part, best % 64 AS entry, best // 64 AS far FROM (
+    SELECT p.r, p.part, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + b.entry) AS best
+    FROM p JOIN books0 b USING (part) GROUP BY p.r, p.part)
+), books1 AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM books0 b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS x
+    FROM (SELECT part, entry, i, sum(v) AS s, count(*) AS c FROM (SELECT p.part, n.entry, unnest(p.x) AS v, unnest(range(len(p.x))) AS i FROM p JOIN nearest0 n USING (r, part)) GROUP BY part, entry, i)
+    GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry
+), nearest1 AS MATERIALIZED (
+  SELECT r, part, best % 64 AS entry, best // 64 AS far FROM (
+    SELECT p.r, p.part, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + b.entry) AS best
+    FROM p JOIN books1 b USING (part) GROUP BY p.r, p.part)
+), books2 AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM books1 b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS x
+    FROM (SELECT part, entry, i, sum(v) AS s, count(*) AS c FROM (SELECT p.part, n.entry, unnest(p.x) AS v, unnest(range(len(p.x))) AS i FROM p JOIN nearest1 n USING (r, part)) GROUP BY part, entry, i)
+    GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry
+), nearest2 AS MATERIALIZED (
+  SELECT r, part, best % 64 AS entry, best // 64 AS far FROM (
+    SELECT p.r, p.part, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + b.entry) AS best
+    FROM p JOIN books2 b USING (part) GROUP BY p.r, p.part)
+), d AS (
+  SELECT sha256(coalesce(string_agg(n, ',' ORDER BY part, entry, i), '')) AS codebooks_sha256
+  FROM (SELECT part, entry, CAST(CAST(unnest(x) AS BIGINT) AS VARCHAR) AS n, unnest(range(len(x))) AS i FROM books2)
+), e AS (
+  SELECT r, string_agg(lower(printf('%02x', CAST(entry AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM nearest2 GROUP BY r
+)
+SELECT v.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, d.codebooks_sha256 FROM v JOIN e USING (r) CROSS JOIN d""",
+    "op12_hilbert_shards": f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+), c AS MATERIALIZED (
+  SELECT d.r, d.doc_id, d.lang, d.source, length(d.bytes) // 2 AS n_bytes,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(d.bytes, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda x, y: xor(x >> 8, t.crc[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d CROSS JOIN t
+), n AS (
+  SELECT *, count(*) OVER () AS many, ((rank() OVER (ORDER BY source NULLS FIRST) - 1) * 32) // count(*) OVER () AS bin1,
+    ((rank() OVER (ORDER BY lang NULLS FIRST) - 1) * 32) // count(*) OVER () AS bin2, ((rank() OVER (ORDER BY n_bytes NULLS FIRST) - 1) * 32) // count(*) OVER () AS bin3
+  FROM c
+), h AS (
+  SELECT *, {_curve_sql(["bin1", "bin2", "bin3"], 5)} AS curve FROM n
+), g AS (
+  SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST, n_bytes, source NULLS FIRST, lang NULLS FIRST) - 1 AS g FROM h
+)
+SELECT doc_id, CAST(n_bytes + 16 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(g * 40 // many AS INTEGER) AS shard,
+       CAST(g - (g * 40 // many * many + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(curve AS BIGINT) AS curve
+FROM g""",
+    "op13_fill_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+         CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), o AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o""",
 }

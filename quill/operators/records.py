@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import units
+from ..staging import numbered
+from . import cuts, units
 
 #: Fields of a record and the forms of intake lines.
 SCRIPT_FIELDS = ("file", "lines", "span", "fingerprint", "preview", "in_tbc", "facts")
@@ -226,19 +227,12 @@ def apply_edits(files: DataFrame, plan: DataFrame) -> DataFrame:
 def pack_files(sizes: DataFrame, group: str, unit_cap: int, line_cap: int) -> DataFrame:
     """(group, path, part): files in path order dealt into parts under caps on units and lines; a file over a cap is a part of its own.
 
-    A greedy pass within each group.
+    Paths must be unique in a group, which may be of any size; files without a group are left out.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, n, m, out = 0, 0, 0, []
-        for r in pdf.sort_values("path").itertuples():
-            if out and (n + r.units > unit_cap or m + r.lines > line_cap):
-                part, n, m = part + 1, 0, 0
-            n, m = n + r.units, m + r.lines
-            out.append((getattr(r, group), r.path, part))
-        return pd.DataFrame(out, columns=[group, "path", "part"])
-
-    return sizes.select(group, "path", "units", "lines").groupBy(group).applyInPandas(one, f"{group} {dict(sizes.dtypes)[group]}, path string, part int")
+    rows = numbered(sizes.select(group, "path", "units", "lines").filter(F.col(group).isNotNull()), [F.col(group), F.col("path")], "files")
+    first = rows.groupBy(group).agg(F.min("place").alias("first"))
+    dense = rows.join(first, group).withColumn("place", F.col("place") - F.col("first")).drop("first")
+    return cuts.greedy_parts(dense, group, "place", {"units": unit_cap, "lines": line_cap}).select(group, "path", "part")
 
 
 def balance(sizes: pd.DataFrame, shards: int) -> pd.DataFrame:
@@ -299,22 +293,11 @@ def identity_problems(record: DataFrame, fresh: DataFrame) -> DataFrame:
 def cut_ranges(sizes: DataFrame, unit_cap: int, line_cap: int) -> DataFrame:
     """(path, lo, hi): a file's units (path, sl, el, removed) cut from the bottom into ranges under caps on units and removed lines.
 
-    A greedy pass over each file.
+    Units have different first lines; :func:`quill.operators.cuts.cut_files` does the same where pairs of units must stay together.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        n = m = 0
-        for r in pdf.sort_values("sl", ascending=False).itertuples():
-            if out and n < unit_cap and m + r.removed <= line_cap:
-                out[-1][1] = r.sl
-                n, m = n + 1, m + r.removed
-            else:
-                out.append([r.path, r.sl, r.el])
-                n, m = 1, r.removed
-        return pd.DataFrame(out, columns=["path", "lo", "hi"])
-
-    return sizes.groupBy("path").applyInPandas(one, "path string, lo int, hi int")
+    rows = cuts.places(sizes.select("path", "sl", "el", "removed", (-F.col("sl")).alias("up"), F.lit(1).alias("one")), "path", "up")
+    parts = cuts.greedy_parts(rows, "path", "place", {"one": unit_cap, "removed": line_cap})
+    return parts.groupBy("path", "part").agg(F.min("sl").alias("lo"), F.max("el").alias("hi")).select("path", "lo", "hi")
 
 
 def set_verified(text: Column, sha: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Fuzzy matching of heard phrases against known terms: blocking in DataFrames, verification in Arrow batches."""
+"""Fuzzy matching of heard phrases against known terms: blocking, rules and choice in DataFrames; only the likeness of two strings is counted in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .choice import best_first
 
 MIN_RATIO, WORD_RATIO, HUMP_RATIO, WHOLE_RATIO, MOST_CANDIDATES, MOST_POSTINGS, MOST_WORDS = 0.75, 0.92, 0.5, 0.85, 60, 4000, 5
 #: Rows of a block of terms and of keys, and rows that are counted in one go.
@@ -116,131 +117,102 @@ def candidates(terms: DataFrame, term_id: str, keys: DataFrame, key_id: str, wit
     return out.filter("shared >= need")
 
 
-def _norm(s: str) -> str:
-    return re.sub("[^0-9a-zà-ÿ]", "", s.lower())
+def likeness(pairs: Column) -> Column:
+    """Of an array of pairs of strings, the share of letters in matching blocks (Ratcliff and Obershelp) of each; a pair that stands often is counted once a batch."""
 
+    def run(col: pd.Series) -> pd.Series:
+        asked = {(p["a"], p["b"]) for row in col for p in row}
+        found = {p: SequenceMatcher(None, *p).ratio() for p in asked}
+        return col.map(lambda row: [found[p["a"], p["b"]] for p in row])
 
-def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    return F.pandas_udf(run, "array<double>")(pairs)
 
 
-def _skeleton(n: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub("[aeiouàèéìòùh]", "", n.translate(str.maketrans(*tx.PHONETIC))))
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
-def similarity_of(a: str, b: str) -> float:
-    """Spelling similarity, or its mean with the likeness of sound where that is more and both sounds have three letters."""
-    plain, x, y = _ratio(a, b), _skeleton(a), _skeleton(b)
-    return max(plain, (plain + _ratio(x, y)) / 2) if min(len(x), len(y)) >= 3 else plain
+def judged(df: DataFrame, heard: str, term: str, ratio: str = "ratio") -> DataFrame:
+    """``df`` with the ratio at which a phrase heard may stand for a term, null where it may not.
 
-
-def humps_align(heard: str, term: str) -> bool:
-    """Whether each word heard resembles the part of a CamelCase term in its place; other counts need a close whole spelling."""
-    said = [n for n in map(_norm, heard.split()) if n]
-    parts = [_norm(p) for p in re.findall("[A-Z][a-z0-9]*|[a-z0-9]+", term)]
-    if len(said) == len(parts):
-        return all(_ratio(x, y) >= HUMP_RATIO for x, y in zip(said, parts, strict=True))
-    return _ratio(_norm(heard), _norm(term)) >= WHOLE_RATIO
-
-
-def verdict(heard: str, term: str) -> float | None:
-    """The ratio at which a phrase heard may stand for a term, or None."""
-    n, k = _norm(term), _norm(heard)
-    camel = re.fullmatch(CAMEL, term) is not None
-    if k == n:
-        return None if heard == term else 1.0
-    if not 0.6 * len(n) <= len(k) <= 1.5 * len(n) or n in k:
-        return None
-    if camel and " " not in heard and heard.islower():
-        r = _ratio(n, k)
-        return r if r >= WORD_RATIO else None
-    if camel and not humps_align(heard, term):
-        return None
-    r = similarity_of(n, k)
-    return r if r >= MIN_RATIO else None
-
-
-def similarity(a: Column | str, b: Column | str) -> Column:
-    """Column form of :func:`similarity_of` on normal forms."""
-
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity_of(p or "", q or "") for p, q in zip(x, y, strict=True)])
-
-    return F.pandas_udf(run, "double")(a, b)
+    The same letters in another form are 1. Else the phrase must be 0.6 to 1.5 times as long and not hold the term; likeness is that of the spelling or, where both sounds have three letters
+    and it is more, its mean with that of the sounds. One lower-case word heard for a CamelCase term needs 0.92 in spelling alone; several words must each resemble the part
+    of the term in their place by half, or, if there are more or fewer of them, the whole spelling by 0.85. Ratios under 0.75 are null.
+    """
+    a, b = tx.letters_norm(F.col(term)), tx.letters_norm(F.col(heard))
+    camel = F.col(term).rlike(f"^(?:{CAMEL})$")
+    lone = ~F.col(heard).contains(" ") & F.col(heard).rlike(r"\p{Ll}") & ~F.col(heard).rlike(r"\p{Lu}")
+    said = F.filter(F.transform(F.split(F.col(heard), " "), tx.letters_norm), lambda w: w != "")
+    humps = F.transform(F.regexp_extract_all(F.col(term), F.lit("[A-Z][a-z0-9]*|[a-z0-9]+"), F.lit(0)), tx.letters_norm)
+    in_step = F.size(said) == F.size(humps)
+    steps = F.when(camel & in_step, F.zip_with(said, humps, _pair)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    possible = F.length(b).between(F.length(a) * 0.6, F.length(a) * 1.5) & ~F.contains(b, a)
+    asked = F.when(possible, F.concat(F.array(_pair(a, b), _pair(tx.skeleton(a), tx.skeleton(b)), _pair(b, a)), steps)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    out = df.withColumn("__like", likeness(asked))
+    spelled, sounded = F.get("__like", F.lit(0)), F.get("__like", F.lit(1))
+    sounds = F.least(F.length(tx.skeleton(a)), F.length(tx.skeleton(b))) >= 3
+    alike = F.when(sounds, F.greatest(spelled, (spelled + sounded) / 2)).otherwise(spelled)
+    fits = F.when(in_step, F.forall(F.slice("__like", 4, F.greatest(F.size("__like") - 3, F.lit(0))), lambda x: x >= HUMP_RATIO)).otherwise(F.get("__like", F.lit(2)) >= WHOLE_RATIO)
+    near = F.when(camel & lone, F.when(spelled >= WORD_RATIO, spelled)).when(~camel | fits, F.when(alike >= MIN_RATIO, alike))
+    same = F.when(F.col(heard) != F.col(term), F.lit(1.0))
+    return out.withColumn(ratio, F.when(a == b, same).when(possible, near)).drop("__like")
 
 
 def suggest(transcript: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
     """(doc, heard, term, ratio, count, first_pos): phrases of each transcript that seem to be mishearings of ``terms`` (term).
 
-    Windows of 1 to 5 words are blocked by trigrams, at most 60 for a term by shared grams as the operator has it, verified, and
-    then taken best first where they don't overlap, within each document.
+    Windows of 1 to 5 words are blocked by trigrams, at most 60 for a term by shared grams as the operator has it, and judged; of those
+    that overlap the best ratio (to two places), then the longest, stays in each transcript. Of terms with the same letters the smallest counts.
     """
     body = F.regexp_replace(F.col(text), r"(?m)^\s*\[[^\]]*\]\s*(?:[^:\n]{1,80}:\s*)?", "")
-    tokens = transcript.select(doc, F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]+"), 0).alias("tokens"))
+    tokens = transcript.select(doc, F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("tokens"))
     spots = windows(tokens, "tokens").groupBy(doc, "words").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     keys = spots.select(doc, "words", F.struct(doc, "words").alias("k"), tx.letters_norm(F.col("words")).alias("n")).filter(F.length("n") >= 4)
-    canon = terms.select("term", tx.letters_norm(F.col("term")).alias("n")).filter(F.length("n") >= 5).dropDuplicates(["n"])
+    canon = terms.groupBy(tx.letters_norm(F.col("term")).alias("n")).agg(F.min("term").alias("term")).filter(F.length("n") >= 5)
     near = candidates(canon, "term", keys, "k", within=doc)
-    taken = canon.select("n").withColumn("__is_term", F.lit(True))
-    rank = F.row_number().over(_best("term", doc))
-    near = near.select("term", F.col(f"k.{doc}").alias(doc), F.col("k.words").alias("words"), "shared").withColumn("__r", rank).filter(F.col("__r") <= MOST_CANDIDATES)
-    near = near.withColumn("n", tx.letters_norm(F.col("words"))).join(taken, "n", "left")
-    own = tx.letters_norm(F.col("term")) == F.col("n")
-    near = near.filter(F.col("__is_term").isNull() | own).join(spots, [doc, "words"])
-
-    def judge(heard: pd.Series, term: pd.Series) -> pd.Series:
-        return pd.Series([verdict(h, t) for h, t in zip(heard, term, strict=True)], dtype="float64")
-
-    scored = near.withColumn("ratio", F.pandas_udf(judge, "double")("words", "term")).filter("ratio is not null and not isnan(ratio)")
-    schema = f"{doc} {dict(scored.dtypes)[doc]}, heard string, term string, ratio double, count int, first_pos int"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(score=pdf["ratio"].round(2), size=pdf["words"].str.len()).sort_values(["score", "size", "words", "term"], ascending=[False, False, True, True], kind="stable")
-        used: list[tuple[int, int]] = []
-        rows = []
-        for r in pdf.itertuples():
-            width, start = len(r.words.split()), int(r.places[0])
-            if any(start < e and s < start + width for s, e in used):
-                continue
-            used += [(int(p), int(p) + width) for p in r.places]
-            rows.append((getattr(r, doc), r.words, r.term, r.score, len(r.places), start))
-        return pd.DataFrame(rows, columns=[doc, "heard", "term", "ratio", "count", "first_pos"])
-
-    return scored.select(doc, "words", "term", "ratio", "places").groupBy(doc).applyInPandas(choose, schema)
-
+    best = F.row_number().over(Window.partitionBy("term", doc).orderBy(F.desc("shared"), "words"))
+    near = near.select("term", F.col(f"k.{doc}").alias(doc), F.col("k.words").alias("words"), "shared").withColumn("__r", best).filter(F.col("__r") <= MOST_CANDIDATES)
+    other = canon.select("n", F.col("term").alias("__other"))
+    near = near.withColumn("n", tx.letters_norm(F.col("words"))).join(other, "n", "left").filter("__other is null or __other = term")
+    scored = judged(near.join(spots, [doc, "words"]), "words", "term").filter("ratio is not null")
+    scored = scored.select(doc, F.col("words").alias("heard"), "term", F.round("ratio", 2).alias("ratio"), "places", F.size(F.split("words", " ")).alias("width"))
+    order = [-F.col("ratio"), -F.length("heard"), F.col("heard"), F.col("term")]
+    kept = best_first(scored, doc, order, "places", "width")
+    return kept.select(doc, "heard", "term", "ratio", F.size("places").alias("count"), F.element_at("places", 1).alias("first_pos"))
 
-def _best(term: str, doc: str):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(term, doc).orderBy(F.desc("shared"), "words")
+def _joined(phrase: Column) -> Column:
+    """A phrase in lower case with one space for each run of spaces and hyphens."""
+    return F.trim(F.regexp_replace(F.lower(phrase), r"(?U)[\s\-]+", " "))
 
 
 def apply_glossary(text: Column | str, pairs: list[tuple[str, str]]) -> Column:
     """Struct (text, counts): every rule applied in one pass, the longest phrase first at each place; a replacement is never read again.
 
     Phrases match without case, between word bounds, across spaces or hyphens. Of phrases equal without case the first counts;
-    rules that change nothing are left out. counts maps each phrase to its replacements. Null text stays null.
+    rules that change nothing are left out. counts maps each phrase to its replacements. Null text stays null. The text is split at
+    all phrases at once, and what stood there is looked up.
     """
-    rules: dict[str, tuple[str, str]] = {}
-    for heard, correct in sorted(pairs, key=lambda p: -len(p[0])):
-        key = heard.strip().lower()
-        if key and key != correct.strip().lower():
-            rules.setdefault(key, (heard, correct))
-    kept = list(rules.values())
-    phrase = lambda h: r"[\s\-]+".join(re.escape(w) for w in re.split(r"[\s\-]+", h.strip()) if w)
-    pattern = re.compile("|".join(rf"((?<!\w){phrase(h)}(?!\w))" for h, _ in kept), re.I) if kept else None
-
-    def run(col: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in col:
-            counts = {h: 0 for h, _ in kept}
-
-            def put(m: re.Match, counts: dict[str, int] = counts) -> str:
-                heard, correct = kept[m.lastindex - 1]
-                counts[heard] += 1
-                return correct
-
-            out.append({"text": pattern.sub(put, t) if pattern and t is not None else t, "counts": counts})
-        return pd.DataFrame(out, columns=["text", "counts"])
-
-    return F.pandas_udf(run, "struct<text:string,counts:map<string,int>>")(text)
+    col = F.col(text) if isinstance(text, str) else text
+    plain = lambda p: " ".join(re.split(r"[\s\-]+", p.strip())).lower().strip()
+    rules = {plain(heard): (heard, correct) for heard, correct in reversed(pairs) if heard.strip() and heard.strip().lower() != correct.strip().lower()}
+    empty = F.create_map().cast("map<string,int>")
+    if not rules:
+        return F.struct(col.alias("text"), empty.alias("counts"))
+    quoted = lambda p: r"[\s\-]+".join(re.sub(r"([^\w])", r"\\\1", w) for w in p.split(" "))
+    pattern = rf"(?iuU)(?<!\w)(?:{'|'.join(quoted(p) for p in sorted(rules, key=len, reverse=True))})(?!\w)"
+    found = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), _joined)
+    table = F.create_map(*(F.lit(x) for p, (_, correct) in rules.items() for x in (p, correct)))
+    put = F.concat(F.transform(found, lambda f: table[f]), F.array(F.lit("")))
+    changed = F.array_join(F.zip_with(F.split(col, pattern, -1), put, lambda between, new: F.concat(between, new)), "")
+    counts = F.create_map(*(x for p, (heard, _) in rules.items() for x in (F.lit(heard), F.size(F.array_remove(F.transform(found, _is(p)), 0)))))
+    return F.struct(changed.alias("text"), F.when(col.isNull(), F.map_from_arrays(F.array(*(F.lit(h) for h, _ in rules.values())), F.array(*(F.lit(0) for _ in rules)))).otherwise(counts).alias("counts"))
+
+
+def _is(phrase: str):
+    """A column function: 1 where a phrase found is this one, else 0."""
+
+    def run(found: Column) -> Column:
+        return (found == phrase).cast("int")
+
+    return run

@@ -14,6 +14,8 @@ from . import scans
 
 #: Places of a text that one row holds before it is taken apart.
 CHUNK = 4096
+#: Hashes of beginnings that are broadcast; a larger dictionary is joined by a shuffle of all places.
+MOST_BROADCAST = 1 << 21
 
 
 def words(text: Column) -> Column:
@@ -57,6 +59,9 @@ def longest_matches(docs: DataFrame, key: str, tokens: str, nodes: DataFrame) ->
     least, most = found
     known = lambda depth: F.when(F.col("n") >= depth, _beginning("ahead", depth)).otherwise(F.concat(F.lit(" "), "ahead"))  # noqa: E731  (no node begins with a space)
     spots = places(docs, key, tokens, most).filter(F.col("n") >= least)
+    begins = nodes.filter(F.col("depth") == least).select(F.xxhash64("node").alias("__h")).distinct()
+    if begins.count() <= MOST_BROADCAST:  # 16 MB of numbers: most places go before anything is shuffled
+        spots = spots.join(F.broadcast(begins), F.xxhash64(_beginning("ahead", least)) == F.col("__h"), "left_semi")
     at = spots.withColumn("node", _beginning("ahead", least)).join(nodes.drop("depth"), "node").withColumn("deep", F.lit(least))
     step = 1
     while step * 2 <= most - least:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cuts, phrases, states, units
+from ..operators import choice, cuts, fuzzy, phrases, states, units
 from ..registry import query
 from ..sources import table
 from ..staging import written
@@ -157,3 +157,30 @@ def packed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.length(text).cast("long").alias("n_chars"))
     docs = cuts.places(written(table(spark, sf_dir, "documents").select("source", "doc_id", *size), "sizes"), "source", "doc_id")
     return cuts.greedy_parts(docs, "source", "place", {"n_lines": 60, "n_chars": 20_000}).select("source", "doc_id", "part")
+
+
+@query(
+    "repeated_runs",
+    r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM conversations
+), w AS (
+  SELECT conv_id, turn, n, i, array_to_string(ws[i:i + n - 1], ' ') AS words FROM (SELECT conv_id, turn, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT *, unnest([2, 3, 4, 5]) AS n FROM t))
+), c AS MATERIALIZED (
+  SELECT conv_id, turn, words, n, list(i - 1 ORDER BY i) AS places, row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, n DESC, words) AS k
+  FROM w GROUP BY conv_id, turn, words, n HAVING count(*) > 1
+), g AS (
+  SELECT conv_id, turn, k, words, places, n, true AS taken, flatten(list_transform(places, lambda p: range(p, p + n))) AS used FROM c WHERE k = 1
+  UNION ALL
+  SELECT c.conv_id, c.turn, c.k, c.words, c.places, c.n, ok, CASE WHEN ok THEN list_concat(g.used, flatten(list_transform(c.places, lambda p: range(p, p + c.n)))) ELSE g.used END
+  FROM g JOIN c ON c.conv_id = g.conv_id AND c.turn = g.turn AND c.k = g.k + 1, LATERAL (SELECT NOT list_has_any(g.used, range(c.places[1], c.places[1] + c.n)) AS ok)
+)
+SELECT conv_id, turn, words, len(places) AS count, places[1] AS first_pos FROM g WHERE taken""",
+)
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two to five words that a turn says more than once, the most frequent first, then the longest, none where a better one stands."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", phrases.words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    spots = fuzzy.windows(said, "tokens").filter("k > 1").groupBy("conv_id", "turn", "words").agg(F.array_sort(F.collect_list("pos")).alias("places"), F.min("k").alias("width")).filter(F.size("places") > 1)
+    order = [-F.size("places"), -F.col("width"), F.col("words")]
+    kept = choice.best_first(spots.withColumn("said_in", F.struct("conv_id", "turn")), "said_in", order, "places", "width")
+    return kept.select("conv_id", "turn", "words", F.size("places").cast("long").alias("count"), F.element_at("places", 1).cast("long").alias("first_pos"))

@@ -1,13 +1,15 @@
 """Transcripts, glossaries, fuzzy terms, secrets, HTML, Markdown and record operators on small inputs."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quill.functions import text as tx
 from quill.functions import urls
-from quill.operators import fuzzy, html, lexer, markdown, quality, records, secrets, transcripts, units
+from quill.operators import choice, fuzzy, html, lexer, markdown, quality, records, secrets, transcripts, units
 
 VTT = "WEBVTT\n\n00:00:01.000 --> 00:00:04.000\n<v Anna Bianchi>Hello there</v>\n\n2\n00:00:05.000 --> 00:00:07.000\n<v Anna Bianchi>again</v>\n\n00:03:05.000 --> 00:03:07.000\nLuca: Fine"
 LINES = "Anna Bianchi   0:03\nHello\nworld\n\nLuca De Rossi   0:09\nFine\n"
@@ -83,6 +85,10 @@ def test_glossary(spark):
     r = df.select(fuzzy.apply_glossary("t", rules).alias("g")).collect()
     assert r[0].g.text == "the Server and ShipLabelApp, servers Host"
     assert r[0].g.counts == {"ship level app server": 1, "ship level app": 1, "Server": 1} and r[1].g.text is None
+    odd = spark.createDataFrame([("C++ and c++, x c++y; Été-fini. $1 (a|b) end",), ("",)], "t string")
+    g = odd.select(fuzzy.apply_glossary("t", [("c++", "Cpp"), ("été fini", "Summer"), ("$1", "\\one"), ("(a|b)", "$2")]).alias("g")).collect()
+    assert g[0].g.text == "Cpp and Cpp, x c++y; Summer. \\one $2 end" and g[1].g.text == ""
+    assert odd.select(fuzzy.apply_glossary("t", []).alias("g")).collect()[0].g.counts == {}
 
 
 def test_suggest(spark):
@@ -90,7 +96,68 @@ def test_suggest(spark):
     terms = spark.createDataFrame([("ShipLabelApp",), ("Service Layer",), ("Nothing",)], "term string")
     got = {(r.heard, r.term) for r in fuzzy.suggest(t, "id", "text", terms).collect()}
     assert got == {("ship level app", "ShipLabelApp"), ("servis leier", "Service Layer")}
-    assert fuzzy.verdict("documento", "DocumentDto") is None and fuzzy.verdict("gam view pkl2", "GAM_VIEW_PKL2") == 1.0
+    pairs = [("documento", "DocumentDto", None), ("gam view pkl2", "GAM_VIEW_PKL2", 1.0), ("Service Layer", "Service Layer", None), ("the service layer", "Service Layer", None)]
+    got = fuzzy.judged(spark.createDataFrame(pairs, "h string, t string, want double"), "h", "t").collect()
+    assert [r.ratio for r in got] == [r.want for r in got]
+
+
+def plain_ratio(heard, term):
+    """The rules of judged() for one pair, by plain Python."""
+    from difflib import SequenceMatcher
+
+    like = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    norm = lambda s: re.sub("[^0-9a-zà-ÿ]", "", s.lower())
+    sound = lambda s: re.sub(r"(.)\1+", r"\1", re.sub("[aeiouàèéìòùh]", "", s.translate(str.maketrans("pvfcqgtzxwy", "bbbkkkdssui"))))
+    t, h = norm(term), norm(heard)
+    if t == h:
+        return None if heard == term else 1.0
+    if t in h or len(h) < 0.6 * len(t) or len(h) > 1.5 * len(t):
+        return None
+    if re.fullmatch(fuzzy.CAMEL, term):
+        if " " not in heard and heard.islower():
+            return like(t, h) if like(t, h) >= 0.92 else None
+        words, humps = [norm(w) for w in heard.split()], [norm(p) for p in re.findall("[A-Z][a-z0-9]*|[a-z0-9]+", term)]
+        ok = min(like(x, y) for x, y in zip(words, humps, strict=True)) >= 0.5 if len(words) == len(humps) else like(h, t) >= 0.85
+        if not ok:
+            return None
+    both = (like(t, h) + like(sound(t), sound(h))) / 2 if min(len(sound(t)), len(sound(h))) >= 3 else 0
+    best = max(like(t, h), both)
+    return best if best >= 0.75 else None
+
+
+def test_judged_on_many_pairs(spark):
+    rng = random.Random(3)
+    parts = ["ship", "label", "app", "service", "layer", "document", "dto", "vista", "picco"]
+    blur = lambda w: "".join(rng.choice("aeiobdgt") if rng.random() < 0.15 else c for c in w)
+    pairs = []
+    for _ in range(400):
+        ws = rng.sample(parts, rng.randint(1, 3))
+        term = "".join(w.title() for w in ws) if rng.random() < 0.6 else " ".join(ws)
+        heard = (" " if rng.random() < 0.7 else "").join(map(blur, ws + rng.sample(parts, rng.random() < 0.2)))
+        pairs.append((heard, term, plain_ratio(heard, term)))
+    got = fuzzy.judged(spark.createDataFrame(pairs, "h string, t string, want double"), "h", "t").collect()
+    assert [r.ratio for r in got] == [r.want for r in got]
+    assert 50 < sum(r.want is not None for r in got) < 350
+
+
+def test_best_first_is_the_greedy_choice(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(4):
+        for i in range(120 if k else 0):
+            places = sorted(rng.sample(range(150), rng.randint(1, 3)))
+            rows.append((k, i, rng.randint(0, 5), places, rng.randint(1, 5)))
+    want = []
+    for k in range(4):
+        used = set()
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1])):
+            if not used & set(range(r[3][0], r[3][0] + r[4])):
+                want.append(r[:2])
+                used |= {p + d for p in r[3] for d in range(r[4])}
+    df = spark.createDataFrame(rows, "k int, i int, score int, places array<int>, width int")
+    got = choice.best_first(df, "k", [-F.col("score"), F.col("i")], "places", "width")
+    assert got.columns == df.columns and sorted((r.k, r.i) for r in got.collect()) == sorted(want)
+    assert choice.best_first(df.filter("false"), "k", [F.col("i")], "places", "width").collect() == []
 
 
 def test_trigram_candidates_count_frequent_grams(spark):

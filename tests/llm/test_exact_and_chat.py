@@ -18,7 +18,7 @@ def plain(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("capacity", "hashed"), [(1_000_000, None), (1, None), (3, lambda x: F.shiftleft(F.length(x).cast("long"), 60))])
+@pytest.mark.parametrize(("capacity", "hashed"), [(1 << 20, None), (1, None), (30, lambda x: F.shiftleft(F.length(x).cast("long"), 60))])
 def test_exact_dedup(spark, capacity, hashed):
     """Also where the directory is deep, and where the keys of different texts collide and are chained."""
     rng = random.Random(1)
@@ -46,25 +46,40 @@ def test_exact_dedup_edges(spark):
 
 def test_directory_splits_overfull_buckets(spark):
     rng = random.Random(4)
-    keys = {rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)} | set(range(20)) | {-1, -(1 << 63)}
-    df = spark.createDataFrame([(k,) for k in keys], "key long")
-    for capacity in (1000, 25, 4):
-        buckets = ed.build_directory(df, capacity)
-        ends = [(p << (64 - d), (p + 1) << (64 - d)) for p, d in buckets]
-        assert ends[0][0] == 0 and ends[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
-        sizes = [sum(lo <= k % (1 << 64) < hi for k in keys) for lo, hi in ends]
-        assert sum(sizes) == len(keys)
-        # the keys 0 to 19 share their leading bits: theirs is the one bucket that may stay overfull
-        assert max(n for n, (lo, _) in zip(sizes, ends, strict=True) if lo) <= capacity if capacity < 1000 else sizes == [322]
-        if capacity == 1000:
-            assert buckets == [(0, 0)]
+    keys = {k: rng.randint(1, 20) for k in {rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(400)} | set(range(20)) | {-1, -(1 << 63)}}
+    df = spark.createDataFrame(list(keys.items()), "key long, n_bytes long")
+    for capacity in (1 << 20, 300, 60):
+        table, top = ed.build_directory(df, capacity)
+        cells = sorted(table.collect())
+        buckets = {r.bucket: (r.depth, r.n_bytes) for r in cells}
+        assert top == max(d for d, _ in buckets.values()) and len({r.cell for r in cells}) == len(cells)
+        within = lambda k, b: (k % (1 << 64)) >> (64 - buckets[b][0]) == b >> (top - buckets[b][0]) if buckets[b][0] else True
+        for b, (depth, size) in buckets.items():
+            held = sum(n for k, n in keys.items() if within(k, b))
+            assert held == size
+            parent = sum(n for k, n in keys.items() if depth and (k % (1 << 64)) >> (65 - depth) == b >> (top - depth + 1))
+            assert depth == 0 or parent > capacity  # split for a reason
+            assert size <= capacity or b == 0  # the keys 0 to 19 share their leading bits: theirs alone may stay overfull
+        assert sum(n for _, n in buckets.values()) == sum(keys.values())
+        assert (len(buckets) == 1) == (capacity == 1 << 20)
+
+
+def test_splits_and_doublings_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    norm = ed.normalised(F.col("text"))
+    index = ed.build_index(docs.select("doc_id", norm.alias("norm"), F.xxhash64(norm).alias("key")), 1 << 16)
+    depths = {r.bucket: r.depth for r in index.directory.collect()}
+    assert index.depth >= 5 and len(depths) > 20 and len(set(depths.values())) > 1  # doubled at least five times, and some buckets stand in two cells or more
+    assert {r.bucket for r in index.entries.select("bucket").distinct().collect()} == set(depths)
+    assert index.entries.agg(F.sum("group_size")).first()[0] == docs.count()
 
 
 def test_keys_with_several_texts_are_chained(spark):
     rows = spark.createDataFrame([(1, 77, "aa"), (2, 77, "bb"), (3, 77, "aa"), (4, 5, "c")], "doc_id long, key long, norm string")
-    index = ed.build_index(rows, 1)[2]
-    assert sorted((r.key, r.chain, r.keep_id, r.group_size) for r in index.collect()) == [(5, 1, 4, 1), (77, 2, 1, 2), (77, 2, 2, 1)]
-    assert sorted(r.place for r in index.filter("key = 77").collect()) == [1, 2]
+    for many in (1, 400):  # also where few of many rows bear a key
+        index = ed.build_index(rows.unionByName(spark.range(many * 3).selectExpr("id + 10 doc_id", "id * 7919 + 1000 key", "cast(id as string) norm")), 1).entries.filter("key < 100")
+        assert sorted((r.key, r.chain, r.keep_id, r.group_size) for r in index.collect()) == [(5, 1, 4, 1), (77, 2, 1, 2), (77, 2, 2, 1)]
+        assert sorted(r.place for r in index.filter("key = 77").collect()) == [1, 2]
 
 
 NASTY = ["", "plain", "</s>", "<s>", "[INST]", "[/INST]x", cf.ESC, "<" + cf.ESC, "<" + cf.ESC + "s>", cf.ESC * 3 + "<s>" + cf.ESC, "<s", "</s", "[/INST", "a</s>[INST] ok [/INST]", "<<s>>[[INST]]", "é😀\n\n", "x" * 50_000, "</</s>s>"]

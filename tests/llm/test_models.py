@@ -243,6 +243,10 @@ def test_mixing_edges(spark):
     got = mixing.mix(one.withColumns({c: F.lit(c) for c in ("_source", "source_cell", "lang_cell", "topic", "p", "tokens")})).first()
     assert got.mix_probability == 1 and got.mix_kept and got.mix_topic == mixing.NONE
     assert got["__source"] == 3 and got.source_cell == "source_cell" and got.p == "p"
+    clash = one.withColumns({"mix_ratio": F.lit(0.5), "MIX_topic": F.lit("old"), "a.b": F.lit("dot"), "own0": F.lit("mine")})
+    out = mixing.mix(clash)
+    assert out.columns == [*(c for c in clash.columns if c != "MIX_topic"), "mix_topic", "mix_tokens", "mix_probability", "mix_kept"]
+    assert (out.first().mix_ratio, out.first()["a.b"], out.first().own0, out.first().mix_topic) == (0.5, "dot", "mine", mixing.NONE)
 
 
 def test_topics_are_clusters_of_words(spark):

@@ -230,14 +230,12 @@ def ngram_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS n FROM documents),
 bg AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(n) + 2), lambda i: ('  ' || n || ' ')[i:i + 2]))) AS g FROM b),
 dg AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(n) + 2), lambda i: ('  ' || n || ' ')[i:i + 2]))) AS g FROM d),
-stop AS (SELECT g FROM dg GROUP BY g HAVING count(*) > 4000),
-k AS (SELECT * FROM bg WHERE g NOT IN (SELECT g FROM stop)), need AS (SELECT item_id, greatest(2, CAST(floor(count(*) * 0.3) AS BIGINT)) AS need FROM k GROUP BY item_id),
-c AS (SELECT item_id, doc_id, count(*) AS shared FROM k JOIN dg USING (g) GROUP BY ALL)
+need AS (SELECT item_id, greatest(2, CAST(floor(count(*) * 0.3) AS BIGINT)) AS need FROM bg GROUP BY item_id),
+c AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY ALL)
 SELECT item_id, doc_id, shared, need FROM c JOIN need USING (item_id) WHERE shared >= need""",
 )
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share enough trigrams with a benchmark passage. A document is one key, so every gram counts, however many documents hold it;
-    the SQL, which leaves out grams of over 4000 documents, gives other rows where there are such grams."""
+    """Documents that share enough trigrams with a benchmark passage. A document is one key, so every gram counts, however many documents hold it."""
     start = lambda c: tx.norm(F.col(c))
     terms = table(spark, sf_dir, "benchmark").select("item_id", start("text").alias("n"))
     keys = table(spark, sf_dir, "documents").select("doc_id", start("text").alias("n"))

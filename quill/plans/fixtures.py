@@ -1,4 +1,4 @@
-"""Queries over small inline tables: rules whose inputs the data folder doesn't hold. The same VALUES stand in both engines."""
+"""Rules about records, scopes, versions and headings over rows derived from the data folder's tables; what still stands on VALUES has no input there. The same SQL gives the rows in both engines."""
 
 from __future__ import annotations
 
@@ -9,30 +9,32 @@ from ..functions import files, text, times, urls
 from ..operators import integrity, markdown, quality, records, robots, sampling, units
 from ..registry import query
 from ..streaming import events as stream
+from .documents import LINES_SQL
+from .given import given
 
 
 def values(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
 
 
-SCOPE = values("path, ord, lo, hi", "('a.md', 1, 1, 20)", "('a.md', 2, 15, 30)", "('a.md', 3, 31, 40)", "('b.md', 4, NULL, NULL)", "('b.md', 5, 7, 9)", "('c.md', 6, 1, 5)")
+SCOPE = "SELECT source AS path, doc_id AS ord, doc_id * 10 AS lo, doc_id * 10 + n_chars % 400 AS hi FROM @documents"
 
 
 @query("interval_overlaps", f"WITH s AS (SELECT path, ord, coalesce(lo, 1) AS lo, coalesce(hi, 2147483647) AS hi FROM ({SCOPE})) SELECT a.path, a.ord AS a, b.ord AS b FROM s a JOIN s b ON a.path = b.path AND a.lo <= b.hi AND b.lo <= a.hi AND a.ord < b.ord")
 def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.overlaps(spark.sql(SCOPE))
+    return integrity.overlaps(given(spark, sf_dir, SCOPE))
 
 
-REMOVED = values("path, line", "('a.md', 3)", "('a.md', 25)", "('a.md', 50)", "('b.md', 8)", "('d.md', 1)")
+REMOVED = "SELECT source AS path, doc_id * 10 + 395 AS line FROM @documents"
 
 
 @query("unauthorized_removals", f"SELECT r.path, r.line FROM ({REMOVED}) r WHERE NOT EXISTS (SELECT 1 FROM ({SCOPE}) s WHERE s.path = r.path AND r.line BETWEEN s.lo AND s.hi)")
 def unauthorized_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removed lines that no authorized range of their file holds."""
-    return integrity.outside(spark.sql(REMOVED), spark.sql(SCOPE))
+    return integrity.outside(given(spark, sf_dir, REMOVED), given(spark, sf_dir, SCOPE))
 
 
-SPANS = values('doc, "start", "end", kind'.replace('"', ""), "(1, 0, 5, 'a')", "(1, 4, 9, 'b')", "(1, 9, 12, 'c')", "(1, 20, 25, 'd')", "(1, 21, 22, 'e')", "(2, 3, 4, 'f')").replace("doc, start, end, kind", "doc, s, e, kind")
+SPANS = "SELECT user_id AS doc, event_id AS s, event_id + CAST(floor(value * 4) AS BIGINT) AS e, event_type AS kind FROM @events"
 
 
 @query(
@@ -43,20 +45,20 @@ SELECT doc, min(s) AS first, max(e) AS last, arg_min(kind, s) AS kind FROM i GRO
 )
 def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that overlap as one; touching spans stay apart."""
-    spans = spark.sql(SPANS).withColumnsRenamed({"s": "start", "e": "end"})
+    spans = given(spark, sf_dir, SPANS).withColumnsRenamed({"s": "start", "e": "end"})
     return integrity.merge_intervals(spans, "doc").withColumnsRenamed({"start": "first", "end": "last"})
 
 
-IDS = values("prefix, num", "('A', 1)", "('A', 2)", "('A', 5)", "('Q', 3)", "('Q', 4)", "('S', 10)", "('S', 13)")
+IDS = "SELECT concat('L', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING)) AS prefix, CAST(doc_id AS INT) AS num FROM @labels"
 
 
 @query("id_gaps", f"WITH i AS ({IDS}), r AS (SELECT prefix, unnest(range(min(num), max(num) + 1)) AS missing FROM i GROUP BY prefix) SELECT prefix, CAST(missing AS INT) AS missing FROM r WHERE (prefix, missing) NOT IN (SELECT prefix, num FROM i)")
 def id_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.sequence_gaps(spark.sql(IDS), "prefix", "num")
+    return integrity.sequence_gaps(given(spark, sf_dir, IDS), "prefix", "num")
 
 
-OLD = values("id, file, fp, disposition", "(1, 'a', 'x', 'still true')", "(2, 'a', 'y', 'obsolete')", "(3, 'a', 'y', 'condense')", "(4, 'a', 'z', 'obsolete')", "(5, 'a', 'z', 'obsolete')", "(6, 'b', 'x', 'retained')")
-NEW = values("id, file, fp", "(11, 'a', 'x')", "(12, 'a', 'y')", "(13, 'a', 'y')", "(14, 'a', 'y')", "(15, 'a', 'z')", "(16, 'a', 'z')", "(17, 'a', 'z')", "(18, 'c', 'x')")
+OLD = "SELECT d.doc_id AS id, d.lang AS file, substr(md5(d.text), 1, 8) AS fp, CASE l.quality WHEN 1 THEN 'still true' ELSE 'obsolete' END AS disposition FROM @documents d JOIN @labels l ON l.doc_id = d.doc_id"
+NEW = "SELECT doc_id AS id, lang AS file, substr(md5(text), 1, 8) AS fp FROM @documents"
 
 
 @query(
@@ -68,19 +70,21 @@ FROM rn JOIN a USING (file, fp) LEFT JOIN b USING (file, fp) LEFT JOIN ro USING
 )
 def carried_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements carried to a new enumeration where bodies kept their number or all agree."""
-    return integrity.carry(spark.sql(OLD), spark.sql(NEW), ["file", "fp"], ["disposition"])
+    return integrity.carry(given(spark, sf_dir, OLD), given(spark, sf_dir, NEW), ["file", "fp"], ["disposition"])
 
 
-PACE = values("host, floor, delay, requests, secs", "('a', 1.0, 4.0, NULL, NULL)", "('b', 1.0, NULL, 1, 5)", "('c', 1.0, 4.0, 1, 9)", "('d', 1.0, 9.0, 10, 1)", "('e', 1.0, 9999.0, NULL, NULL)", "('f', 60.0, 9999.0, NULL, NULL)", "('g', 2.5, NULL, 0, 7)")
+PACE = "SELECT CAST(event_id AS STRING) AS host, (event_id % 7) / 2.0 AS floor, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS delay, event_id % 4 AS requests, event_id % 11 AS secs FROM @events"
 
 
 @query("robots_effective_pace", f"SELECT host, greatest(CAST(floor AS DOUBLE), least(greatest(coalesce(CAST(delay AS DOUBLE), 0), CASE WHEN requests > 0 THEN CAST(secs AS DOUBLE) / requests ELSE 0 END), 30)) AS pace FROM ({PACE})")
 def robots_effective_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
-    return spark.sql(PACE).select("host", times.effective_delay(d("floor"), d("delay"), F.col("requests"), d("secs")).alias("pace"))
+    return given(spark, sf_dir, PACE).select("host", times.effective_delay(d("floor"), d("delay"), F.col("requests"), d("secs")).alias("pace"))
 
 
-CLOCKS = values("v", "('0:03')", "('1:02:03.9')", "('00:59,500')", "('100:00:01')", "('75')", "('-3')", "('3.5s')", "('PT1M2.5S')", "('pt2h')", "('')", "('noon')", "('90061')")
+CLOCKS = """SELECT CASE event_id % 7 WHEN 0 THEN CAST(event_id * 37 AS STRING) WHEN 1 THEN concat(CAST(event_id % 24 AS STRING), ':', lpad(CAST(event_id % 60 AS STRING), 2, '0'))
+  WHEN 2 THEN concat(CAST(event_id % 100 AS STRING), ':', lpad(CAST(event_id % 60 AS STRING), 2, '0'), ':', lpad(CAST(user_id % 60 AS STRING), 2, '0'), '.9') WHEN 3 THEN concat(CAST(event_id % 500 AS STRING), '.5s')
+  WHEN 4 THEN concat('PT', CAST(event_id % 30 AS STRING), 'H', CAST(user_id % 90 AS STRING), 'M') WHEN 5 THEN concat('-', CAST(user_id AS STRING)) ELSE event_type END AS v FROM @events"""
 
 
 @query(
@@ -95,23 +99,21 @@ SELECT v, CASE WHEN n IS NOT NULL THEN CASE WHEN n < 36000 THEN '0' ELSE '' END
   ELSE '' END AS clock FROM s""",
 )
 def session_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CLOCKS).select("v", times.time_value(F.col("v")).alias("clock"))
+    return given(spark, sf_dir, CLOCKS).select("v", times.time_value(F.col("v")).alias("clock"))
 
 
-RETRY = values("v", "('120')", "('0')", "('-5')", "('17')", "('soon')", "('Thu, 01 Jan 2026 00:00:30 GMT')", "('Thu, 01 Jan 2026 01:00:00 GMT')")
+RETRY = "SELECT CASE WHEN event_id % 5 = 0 THEN event_type ELSE CAST(event_id % 150 - 10 AS STRING) END AS v FROM @events"
 
 
 @query("retry_waits", f"SELECT v, CASE WHEN TRY_CAST(v AS BIGINT) IS NOT NULL THEN CAST(greatest(1, least(CAST(v AS BIGINT), 60)) AS INT) WHEN v LIKE '%00:00:30%' THEN 30 WHEN v LIKE '%01:00:00%' THEN 60 ELSE 5 END AS wait FROM ({RETRY})")
 def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RETRY).select("v", times.retry_after(F.col("v"), F.lit("2026-01-01 00:00:00").cast("timestamp")).alias("wait"))
+    return given(spark, sf_dir, RETRY).select("v", times.retry_after(F.col("v"), F.lit("2026-01-01 00:00:00").cast("timestamp")).alias("wait"))
 
 
-PLAN = values(
-    "id, pass_kind, disposition, edit, in_tbc, tbc",
-    "(1, 'comment', 'Still true', NULL, NULL, NULL)", "(2, 'comment', 'obsolete', NULL, NULL, NULL)", "(3, 'comment', 'OBSOLETE', 'x', NULL, NULL)", "(4, 'comment', 'regenerable → delete', NULL, NULL, NULL)",
-    "(5, 'comment', 'regenerable → delete', 'keep', NULL, NULL)", "(6, 'document', 'not verifiable', NULL, NULL, 'ask')", "(7, 'document', 'not verifiable', NULL, 'yes', 'ask')", "(8, 'document', 'condense', 'short', NULL, NULL)",
-    "(9, 'severance', 'severed', '', NULL, NULL)", "(10, 'severance', 'retained', NULL, NULL, NULL)", "(11, 'document', 'duplicate → delete', NULL, NULL, NULL)", "(12, 'comment', NULL, NULL, NULL, NULL)",
-)
+PLAN = """SELECT doc_id AS id, CASE WHEN n_chars % 13 IN (6, 7) THEN 'severance' WHEN doc_id % 5 < 2 THEN 'document' ELSE 'comment' END AS pass_kind,
+  CASE n_chars % 13 WHEN 0 THEN 'Still true' WHEN 1 THEN 'obsolete' WHEN 2 THEN 'OBSOLETE' WHEN 3 THEN 'regenerable → delete' WHEN 4 THEN 'not verifiable' WHEN 5 THEN 'condense' WHEN 6 THEN 'severed' WHEN 7 THEN 'retained'
+    WHEN 8 THEN 'duplicate → delete' WHEN 9 THEN 'ruled → apply' WHEN 10 THEN 'historical decision → ADR' WHEN 11 THEN 'stale fragment → strip' END AS disposition,
+  CASE WHEN doc_id % 3 = 0 THEN lang END AS edit, CASE WHEN doc_id % 7 = 0 THEN 'yes' END AS in_tbc, CASE WHEN doc_id % 4 < 3 THEN source END AS tbc FROM @documents"""
 
 
 @query(
@@ -123,12 +125,12 @@ PLAN = values(
   WHEN lower(disposition) IN ('obsolete', 'ruled → apply', 'condense', 'stale fragment → strip') THEN 'replace' END AS op FROM ({PLAN})""",
 )
 def planned_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PLAN).select("id", units.plan_op(F.col("pass_kind"), F.col("disposition"), F.col("edit"), F.col("in_tbc"), F.col("tbc")).alias("op"))
+    return given(spark, sf_dir, PLAN).select("id", units.plan_op(F.col("pass_kind"), F.col("disposition"), F.col("edit"), F.col("in_tbc"), F.col("tbc")).alias("op"))
 
 
 @query("disposition_counts", f"SELECT lower(disposition) AS disposition, count(*) AS n FROM ({PLAN}) WHERE disposition IS NOT NULL GROUP BY 1")
 def disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.disposition_counts(spark.sql(PLAN))
+    return records.disposition_counts(given(spark, sf_dir, PLAN))
 
 
 @query(
@@ -139,14 +141,21 @@ UNION ALL SELECT 'judgements', count(*), 5 FROM u WHERE lower(disposition) IN ('
 )
 def bound_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caps that a record exceeds, with what was measured."""
-    return records.bound_problems(spark.sql(PLAN).withColumn("removed", 15 * F.col("id")), removed_cap=200, judgement_cap=5)
+    return records.bound_problems(given(spark, sf_dir, PLAN).withColumn("removed", 15 * F.col("id")), removed_cap=200, judgement_cap=5)
 
 
-MD = values(
-    "doc, ord, line",
-    "(1, 1, '# Guide')", "(1, 2, 'intro')", "(1, 3, '## Setup')", "(1, 4, '')", "(1, 5, '## Use')", "(1, 6, 'text S01')", "(1, 7, '::: note')", "(1, 8, 'inside')", "(1, 9, ':::')", "(1, 10, ':::')",
-    "(1, 11, '### S01 · Start')", "(1, 12, '### S03 · Stop')", "(1, 13, 'see S02')", "(1, 14, '![Fig](x.png)')", "(1, 15, 'Table: one')", "(1, 16, '![Two](y.png)')", "(2, 1, '::: tip')", "(2, 2, '# Only')",
-)
+#: Lines of documents as Markdown: what a line becomes follows from its length.
+MARKS = """CASE length(line) % 11 WHEN 0 THEN concat('## ', trim(substr(line, 1, 12))) WHEN 1 THEN '::: note' WHEN 2 THEN ':::' WHEN 3 THEN concat('### S', lpad(CAST(length(line) % 40 AS STRING), 2, '0'), ' · Part')
+  WHEN 4 THEN concat('see S', lpad(CAST(length(line) % 40 AS STRING), 2, '0')) WHEN 5 THEN '' WHEN 6 THEN '![Fig](x.png)' WHEN 7 THEN 'Table: one' WHEN 8 THEN '# Head' ELSE line END"""
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of MD."""
+    rows = given(spark, sf_dir, "SELECT doc_id AS doc, text FROM @documents").select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.select("doc", (F.col("at") + 1).cast("long").alias("ord"), F.expr(MARKS).alias("line"))
+
+
+MD = f"SELECT doc_id AS doc, ord, {MARKS} AS line FROM ({LINES_SQL})"
 
 
 @query(
@@ -155,7 +164,7 @@ MD = values(
 )
 def current_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading that governs each line."""
-    return quality.with_heading(spark.sql(MD), "doc").select("doc", "ord", "heading")
+    return quality.with_heading(marked_lines(spark, sf_dir), "doc").select("doc", "ord", "heading")
 
 
 @query(
@@ -167,7 +176,7 @@ UNION ALL SELECT doc, 0, CAST(CAST(arg_max(raw - low, ord) AS BIGINT) AS VARCHAR
 )
 def container_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container marks that close nothing, and containers left open: running sums that restart at zero."""
-    return quality.container_problems(spark.sql(MD), "doc")
+    return quality.container_problems(marked_lines(spark, sf_dir), "doc")
 
 
 @query(
@@ -178,7 +187,7 @@ SELECT n.doc, n.ord, n.title FROM n WHERE nl <= lvl AND NOT EXISTS (SELECT 1 FRO
 )
 def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings followed by one of the same or a higher level with nothing between."""
-    return quality.empty_sections(spark.sql(MD), "doc")
+    return quality.empty_sections(marked_lines(spark, sf_dir), "doc")
 
 
 @query(
@@ -186,11 +195,12 @@ def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf"""WITH d AS (SELECT doc, ord, regexp_extract(line, '^#+ (S\d+)', 1) AS id FROM ({MD}) WHERE regexp_matches(line, '^#+ S\d+ ·')),
 r AS (SELECT doc, ord, unnest(regexp_extract_all(line, '\bS\d\d\b')) AS id FROM ({MD}) WHERE NOT regexp_matches(line, '^#+ S\d+ ·'))
 SELECT 'E' AS severity, doc, min(ord) AS ord, id || ' is cited but never defined' AS message FROM r WHERE (doc, id) NOT IN (SELECT doc, id FROM d) GROUP BY doc, id
-UNION ALL SELECT 'W', doc, min(ord), id || ' is defined but never cited' FROM d WHERE (doc, id) NOT IN (SELECT doc, id FROM r) GROUP BY doc, id""",
+UNION ALL SELECT 'W', doc, min(ord), id || ' is defined but never cited' FROM d WHERE (doc, id) NOT IN (SELECT doc, id FROM r) GROUP BY doc, id
+UNION ALL SELECT 'E', doc, max(ord), id || ' is defined more than once' FROM d GROUP BY doc, id HAVING count(*) > 1""",
 )
 def id_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids cited but not defined, and the other way round."""
-    return quality.id_problems(quality.scan_ids(spark.sql(MD), "doc", ["S"]), "doc").filter("message not like '%gap%'")
+    """Ids cited but not defined, the other way round, and defined twice."""
+    return quality.id_problems(quality.scan_ids(marked_lines(spark, sf_dir), "doc", ["S"]), "doc").filter("message not like '%gap%'")
 
 
 @query(
@@ -199,7 +209,7 @@ def id_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def caption_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and captioned tables numbered in document order."""
-    return quality.caption_numbers(spark.sql(MD), "doc")
+    return quality.caption_numbers(marked_lines(spark, sf_dir), "doc")
 
 
 ROBOTS_TXT = "SELECT 'h.com' AS host, concat('User-agent: Bot/2.1', chr(10), 'User-agent: other', chr(10), 'Disallow: /private # no', chr(10), 'Allow: /', chr(10), 'Crawl-delay: 4', chr(10), 'User-agent: *', chr(10), 'Disallow:', chr(10), 'Request-rate: 1/9') AS text"
@@ -212,11 +222,12 @@ ROBOTS_TXT = "SELECT 'h.com' AS host, concat('User-agent: Bot/2.1', chr(10), 'Us
 )
 def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A robots file as rows: groups, agents and rules."""
-    return robots.parse_rules(spark.sql(ROBOTS_TXT)).select("host", F.col("grp").cast("int").alias("grp"), "agent", "kind", "pattern", "allow")
+    return robots.parse_rules(given(spark, sf_dir, ROBOTS_TXT)).select("host", F.col("grp").cast("int").alias("grp"), "agent", "kind", "pattern", "allow")
 
 
-WANTED = values("q, id, fingerprint, ref", "(1, 'i2', NULL, NULL)", "(2, NULL, 'f1', 'r9')", "(3, NULL, NULL, 'r1')", "(4, NULL, 'f9', 'r3')", "(5, NULL, 'f9', 'r9')")
-ENTRIES = values("ord, id, fingerprint, ref, applied", "(1, 'i1', 'f1', 'r1', true)", "(2, 'i2', 'f2', 'r2', true)", "(3, 'i3', 'f1', 'r1', false)", "(4, 'i4', NULL, 'r3', false)", "(5, 'i5', NULL, 'r1', false)")
+WANTED = """SELECT d.doc_id AS q, CASE WHEN l.toxic = 1 THEN concat('i', CAST(d.doc_id AS STRING)) END AS id, CASE WHEN l.quality = 1 THEN substr(md5(d.text), 1, 8) END AS fingerprint, concat(d.source, '-', CAST(d.n_chars AS STRING)) AS ref
+  FROM @documents d JOIN @labels l ON l.doc_id = d.doc_id"""
+ENTRIES = """SELECT doc_id AS ord, concat('i', CAST(doc_id AS STRING)) AS id, CASE WHEN doc_id % 4 > 0 THEN substr(md5(text), 1, 8) END AS fingerprint, concat(source, '-', CAST(n_chars AS STRING)) AS ref, doc_id % 2 = 0 AS applied FROM @documents"""
 
 
 @query(
@@ -226,17 +237,17 @@ SELECT w.q, (SELECT m.ord FROM m WHERE m.q = w.q ORDER BY applied, ord LIMIT 1)
 )
 def answered_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intake entry that answers each question: by id, else fingerprint, else reference; live before closed."""
-    return integrity.first_match(spark.sql(WANTED), spark.sql(ENTRIES), "q")
+    return integrity.first_match(given(spark, sf_dir, WANTED), given(spark, sf_dir, ENTRIES), "q")
 
 
-TARGETS = values("path", "('a.md')", "('b.md')", "('c.md')")
-DECLARED = values("path", "('b.md')", "('c.md')", "('d.md')")
+TARGETS = "SELECT CAST(doc_id AS STRING) AS path FROM @documents"
+DECLARED = "SELECT CAST(doc_id AS STRING) AS path FROM @labels"
 
 
 @query("scope_differences", f"SELECT path, 'undeclared' AS problem FROM (({TARGETS}) EXCEPT ({DECLARED})) UNION ALL SELECT path, 'not a target' FROM (({DECLARED}) EXCEPT ({TARGETS}))")
 def scope_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set differences both ways between declared and target scope."""
-    a, b = spark.sql(TARGETS), spark.sql(DECLARED)
+    a, b = given(spark, sf_dir, TARGETS), given(spark, sf_dir, DECLARED)
     return a.exceptAll(b).distinct().withColumn("problem", F.lit("undeclared")).unionByName(b.exceptAll(a).distinct().withColumn("problem", F.lit("not a target")))
 
 
@@ -247,38 +258,38 @@ IT = values("key, v", "('toc', 'Indice')", "('figure', 'Figura')", "('extra', 'A
 @query("pack_fallback", f"SELECT coalesce(e.key, i.key) AS key, coalesce(i.v, e.v) AS v, i.key IS NULL AS missing FROM ({EN}) e FULL JOIN ({IT}) i ON e.key = i.key")
 def pack_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A language pack completed from English, and the keys it lacks."""
-    e, i = spark.sql(EN).withColumnRenamed("v", "en"), spark.sql(IT).withColumnsRenamed({"v": "own"}).withColumn("has", F.lit(True))
+    e, i = given(spark, sf_dir, EN).withColumnRenamed("v", "en"), given(spark, sf_dir, IT).withColumnsRenamed({"v": "own"}).withColumn("has", F.lit(True))
     return e.join(i, "key", "full_outer").select("key", F.coalesce("own", "en").alias("v"), F.col("has").isNull().alias("missing"))
 
 
-VERSIONS = values("doc, old, new", "(1, '1.9', '1.10')", "(2, '2', '2.0')", "(3, '1.2.3', '1.2')", "(4, '0.9', '1')")
+VERSIONS = "SELECT doc_id AS doc, concat(CAST(doc_id % 3 AS STRING), '.', CAST(n_chars % 12 AS STRING)) AS old, concat(CAST(n_chars % 3 AS STRING), '.', CAST(doc_id % 11 AS STRING), CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END) AS new FROM @documents"
 
 
 @query("version_order", f"SELECT doc, list_transform(string_split(new, '.'), lambda x: CAST(x AS INT)) > list_transform(string_split(old, '.'), lambda x: CAST(x AS INT)) AS rises FROM ({VERSIONS})")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a version rises, compared number by number."""
     num = lambda c: F.transform(F.split(c, r"\."), lambda x: x.cast("int"))
-    return spark.sql(VERSIONS).select("doc", (num("new") > num("old")).alias("rises"))
+    return given(spark, sf_dir, VERSIONS).select("doc", (num("new") > num("old")).alias("rises"))
 
 
-OLD_IDS = values("id, title", "('S01', 'start')", "('S02', 'stop')", "('S03', 'pause')")
-NEW_IDS = values("id, title", "('S01', 'start')", "('S05', 'stop')", "('S06', 'new')")
+OLD_IDS = "SELECT concat('S', CAST(doc_id AS STRING)) AS id, CAST(doc_id AS STRING) AS title FROM @documents"
+NEW_IDS = "SELECT DISTINCT concat(CASE quality WHEN 1 THEN 'S' ELSE 'T' END, CAST(doc_id AS STRING)) AS id, CAST(doc_id AS STRING) AS title FROM @labels"
 
 
 @query("revision_problems", f"SELECT o.id, CASE WHEN n.id IS NOT NULL THEN 'renumbered to ' || n.id ELSE 'gone' END AS problem FROM ({OLD_IDS}) o LEFT JOIN ({NEW_IDS}) n ON n.title = o.title AND n.id <> o.id WHERE o.id NOT IN (SELECT id FROM ({NEW_IDS}))")
 def revision_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the previous version that are gone, or that their title now has another id."""
-    return quality.revision_problems(spark.sql(OLD_IDS), spark.sql(NEW_IDS))
+    return quality.revision_problems(given(spark, sf_dir, OLD_IDS), given(spark, sf_dir, NEW_IDS))
 
 
 @query("id_parity", f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only here' ELSE 'only there' END AS problem FROM ({OLD_IDS}) a FULL JOIN ({NEW_IDS}) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL")
 def id_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric difference of the ids of two language versions."""
-    return quality.parity_problems(spark.sql(OLD_IDS), spark.sql(NEW_IDS))
+    return quality.parity_problems(given(spark, sf_dir, OLD_IDS), given(spark, sf_dir, NEW_IDS))
 
 
-NAMED = values("ref, section, title", "(1, '2.1', 'user guide')", "(1, '2.1', 'admin guide')", "(2, '2.1', 'user guide')", "(3, '9.9', 'user guide')", "(4, '1', 'other book')")
-SECTIONS = values("title, number", "('user guide', '2.1')", "('user guide', '3')", "('admin guide', '9')")
+NAMED = "SELECT doc_id AS ref, CAST(n_chars % 5 AS STRING) AS section, CASE WHEN doc_id % 3 > 0 THEN concat('doc ', lang) ELSE source END AS title FROM @documents"
+SECTIONS = "SELECT DISTINCT concat('doc ', lang) AS title, CAST(doc_id % 4 AS STRING) AS number FROM @documents"
 
 
 @query(
@@ -288,10 +299,11 @@ SELECT ref, section, title FROM n WHERE NOT EXISTS (SELECT 1 FROM ({SECTIONS}) s
 )
 def set_reference_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that name exactly one other document, and a section it lacks."""
-    return quality.set_reference_problems(spark.sql(NAMED), spark.sql(SECTIONS))
+    return quality.set_reference_problems(given(spark, sf_dir, NAMED), given(spark, sf_dir, SECTIONS))
 
 
-PAIRS = values("file, id, disposition, of_id", "('a', 1, 'still true', NULL)", "('a', 2, 'duplicate → delete', 1)", "('a', 3, 'duplicate → delete', 2)", "('a', 4, 'duplicate → delete', 4)", "('a', 5, 'duplicate → delete', 9)", "('b', 1, 'duplicate → delete', 2)")
+PAIRS = """SELECT d.source AS file, d.doc_id AS id, CASE WHEN g.least_id < d.doc_id THEN 'duplicate → delete' ELSE 'still true' END AS disposition, CASE WHEN g.n > 1 THEN g.least_id END AS of_id
+  FROM @documents d JOIN (SELECT md5(text) AS h, min(doc_id) AS least_id, count(*) AS n FROM @documents GROUP BY md5(text)) g ON g.h = md5(d.text)"""
 
 
 @query(
@@ -301,27 +313,27 @@ FROM p a LEFT JOIN p b ON a.file = b.file AND a.of_id = b.id WHERE a.of_id IS NO
 )
 def pair_reference_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units that refer to themselves, to none, or to one that is removed."""
-    return records.pair_problems(spark.sql(PAIRS))
+    return records.pair_problems(given(spark, sf_dir, PAIRS))
 
 
-SNAP_A = values("path, sha", "('a', '1')", "('b', '2')", "('c', NULL)")
-SNAP_B = values("path, sha", "('a', '1')", "('b', '3')", "('d', '4')", "('c', NULL)")
+SNAP_A = "SELECT doc_id AS path, md5(text) AS sha FROM @documents"
+SNAP_B = "SELECT doc_id AS path, md5(replace(text, '!!', '')) AS sha FROM @documents"
 
 
 @query("snapshot_changes", f"SELECT coalesce(a.path, b.path) AS path FROM ({SNAP_A}) a FULL JOIN ({SNAP_B}) b ON a.path = b.path WHERE a.sha IS DISTINCT FROM b.sha")
 def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths whose content differs between two snapshots."""
-    a, b = spark.sql(SNAP_A).withColumnRenamed("sha", "x"), spark.sql(SNAP_B).withColumnRenamed("sha", "y")
+    a, b = given(spark, sf_dir, SNAP_A).withColumnRenamed("sha", "x"), given(spark, sf_dir, SNAP_B).withColumnRenamed("sha", "y")
     return a.join(b, "path", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).select("path")
 
 
-TERM_SOURCES = values("ord, term", "(1, 'Orbit')", "(2, 'orbit')", "(3, 'Ship')", "(4, 'SHIP')", "(5, 'label')")
+TERM_SOURCES = "SELECT doc_id AS ord, split_part(text, ' ', 1) AS term FROM @documents"
 
 
 @query("term_union", f"SELECT arg_min(term, ord) AS term, min(ord) AS first FROM ({TERM_SOURCES}) GROUP BY lower(term)")
 def term_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms distinct without case: the first spelling stays."""
-    return spark.sql(TERM_SOURCES).groupBy(F.lower("term").alias("k")).agg(F.min_by("term", "ord").alias("term"), F.min("ord").alias("first")).drop("k")
+    return given(spark, sf_dir, TERM_SOURCES).groupBy(F.lower("term").alias("k")).agg(F.min_by("term", "ord").alias("term"), F.min("ord").alias("first")).drop("k")
 
 
 ADRS = values("name", "('0001-first.md')", "('0007-seventh.md')", "('readme.md')")
@@ -335,15 +347,15 @@ SELECT id, lpad(CAST(top + k AS VARCHAR), 4, '0') || '-' || trim(regexp_replace(
 )
 def adr_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of new decision records: the next numbers and a slug."""
-    return records.adr_names(spark.sql(ADRS), spark.sql(NEW_ADRS))
+    return records.adr_names(given(spark, sf_dir, ADRS), given(spark, sf_dir, NEW_ADRS))
 
 
-LISTING = values("ord, url", *(f"({k}, '/p{k}')" for k in range(1, 9)))
+LISTING = "SELECT page_id AS ord, url FROM @pages"
 
 
 @query("capped_listing", f"SELECT pos, url AS text FROM (SELECT CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS pos, url FROM ({LISTING})) WHERE pos <= 5 UNION ALL SELECT 6, (count(*) - 5) || ' more not listed' FROM ({LISTING}) HAVING count(*) > 5")
 def capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.capped_listing(spark.sql(LISTING), ["ord"], "url", 5)
+    return sampling.capped_listing(given(spark, sf_dir, LISTING), ["ord"], "url", 5)
 
 
 PATHS = values("path", "('docs/a.md')", "('src/x.py')", "('meeting-transcript.txt')", "('call.vtt')", "('x/Dockerfile')", "('a.tar.gz')", "('mail.eml')", "('src/page.html')", "('site/page.html')", "('pic.PNG')", "('book.docx')", "('trascrizione.docx')", "('noext')", "('data.json')", "('transcript.json')")
@@ -355,7 +367,7 @@ PATHS = values("path", "('docs/a.md')", "('src/x.py')", "('meeting-transcript.tx
 ('pic.PNG', 'image'), ('book.docx', 'document'), ('trascrizione.docx', 'transcript'), ('noext', 'other'), ('data.json', 'config'), ('transcript.json', 'transcript')) AS t(path, kind)""",
 )
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PATHS).select("path", files.classify(F.col("path")).alias("kind"))
+    return given(spark, sf_dir, PATHS).select("path", files.classify(F.col("path")).alias("kind"))
 
 
 HOSTS = values("host", "('127.0.0.1')", "('10.1.2.3')", "('172.20.0.1')", "('172.32.0.1')", "('100.100.100.200')", "('8.8.8.8')", "('169.254.169.254')", "('example.com')", "('224.0.0.1')")
@@ -363,7 +375,7 @@ HOSTS = values("host", "('127.0.0.1')", "('10.1.2.3')", "('172.20.0.1')", "('172
 
 @query("internal_hosts", "SELECT host, internal FROM (VALUES ('127.0.0.1', true), ('10.1.2.3', true), ('172.20.0.1', true), ('172.32.0.1', false), ('100.100.100.200', true), ('8.8.8.8', false), ('169.254.169.254', true), ('example.com', false), ('224.0.0.1', true)) AS t(host, internal)")
 def internal_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HOSTS).select("host", urls.is_internal_ipv4(F.col("host")).alias("internal"))
+    return given(spark, sf_dir, HOSTS).select("host", urls.is_internal_ipv4(F.col("host")).alias("internal"))
 
 
 PEOPLE = values("s", "('Anna Bianchi')", "('Luca De Rossi')", "('Vincent van Gogh')", "('il backup')", "('Speaker 1')", "('A')", "('Il backup termina')", "('')", "('One Two Three Four Five Six')")
@@ -371,7 +383,7 @@ PEOPLE = values("s", "('Anna Bianchi')", "('Luca De Rossi')", "('Vincent van Gog
 
 @query("person_names", "SELECT s, ok FROM (VALUES ('Anna Bianchi', true), ('Luca De Rossi', true), ('Vincent van Gogh', true), ('il backup', false), ('Speaker 1', true), ('A', true), ('Il backup termina', false), ('', false), ('One Two Three Four Five Six', false)) AS t(s, ok)")
 def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PEOPLE).select("s", text.is_name(F.col("s")).alias("ok"))
+    return given(spark, sf_dir, PEOPLE).select("s", text.is_name(F.col("s")).alias("ok"))
 
 
 INTAKE = values(
@@ -388,7 +400,7 @@ INTAKE = values(
 )
 def intake_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intake state machine replayed over a log."""
-    return stream.intake_states(spark.sql(INTAKE).withColumn("ord", F.col("ord").cast("long")))
+    return stream.intake_states(given(spark, sf_dir, INTAKE).withColumn("ord", F.col("ord").cast("long")))
 
 
 TRANSLATED = values("id, src, dst, term, translated", "(1, 'Turn 2 times, 10 s', 'Girare 2 volte, 10 s', 'valve', 'valvola')", "(2, 'Use 3 bolts', 'Usare 4 bulloni', 'bolt', 'bullone')", "(3, 'Open valve', 'Aprire saracinesca', 'valve', 'saracinesca')")
@@ -401,7 +413,7 @@ UNION ALL SELECT term || ' has ' || count(DISTINCT translated) || ' translations
 )
 def translation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers lost in translation, and terms translated in more than one way."""
-    return quality.translation_problems(spark.sql(TRANSLATED))
+    return quality.translation_problems(given(spark, sf_dir, TRANSLATED))
 
 
 USE_CASES = values("code, priority, sentences, items, depends", "('ORD-001', 'High', 4, 7, NULL)", "('ORD-002', 'Medium', 5, 4, 'ORD-001')", "('ORD-004', 'Low', 1, 2, 'ORD-009')", "('PAY-001', 'High', 3, 3, 'ORD-002')")
@@ -417,7 +429,7 @@ UNION ALL SELECT u.code, 'size outside its band' FROM u JOIN b USING (priority)
 )
 def use_case_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbering gaps, dependencies that don't resolve, and sizes outside the band of a priority."""
-    return quality.use_case_problems(spark.sql(USE_CASES))
+    return quality.use_case_problems(given(spark, sf_dir, USE_CASES))
 
 
 SEVERITY = values("id, src, dst", "(1, 'DANGER', 'WARNING')", "(2, 'WARNING', 'WARNING')", "(3, 'CAUTION', 'DANGER')", "(4, 'NOTICE', 'CAUTION')", "(5, 'CAUTION', 'NOTICE')")
@@ -426,7 +438,7 @@ SEVERITY = values("id, src, dst", "(1, 'DANGER', 'WARNING')", "(2, 'WARNING', 'W
 @query("weakened_signals", f"WITH l AS (SELECT * FROM (VALUES ('NOTICE', 1), ('CAUTION', 2), ('WARNING', 3), ('DANGER', 4)) AS t(w, n)) SELECT s.id FROM ({SEVERITY}) s JOIN l a ON a.w = s.src JOIN l b ON b.w = s.dst WHERE b.n < a.n")
 def weakened_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal words whose translation says less."""
-    return quality.weakened_signals(spark.sql(SEVERITY))
+    return quality.weakened_signals(given(spark, sf_dir, SEVERITY))
 
 
 BLOCKS = values("pos, kind, lvl, body", "(1, 'heading', 1, 'Intro')", "(2, 'paragraph', 0, 'a|b')", "(3, 'heading', 6, 'Deep')", "(4, 'code', 0, 'x ``` y')", "(5, 'callout', 0, 'mind')", "(6, 'image', 0, 'Alt')")
@@ -439,7 +451,7 @@ BLOCKS = values("pos, kind, lvl, body", "(1, 'heading', 1, 'Intro')", "(2, 'para
 def rendered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content blocks as Markdown."""
     none = lambda kind: F.lit(None).cast(kind)
-    b = spark.sql(BLOCKS)
+    b = given(spark, sf_dir, BLOCKS)
     block = F.struct(F.col("kind").alias("type"), F.col("lvl").alias("level"), F.when(F.col("kind") != "image", F.col("body")).alias("text"), F.lit("").alias("language"), F.lit(False).alias("ordered"), F.lit(0).alias("start"), none("array<string>").alias("items"), none("array<array<string>>").alias("data"), F.lit("x.png").alias("src"), F.col("body").alias("alt"))
     return b.select("pos", markdown.render_block(block).alias("markdown"))
 
@@ -454,7 +466,7 @@ SELECT l.doc, l.page, l.line FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.do
 )
 def page_furniture_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page text without running heads (on six pages in ten, of three at least) and page numbers."""
-    return records.drop_page_furniture(spark.sql(PDF_LINES))
+    return records.drop_page_furniture(given(spark, sf_dir, PDF_LINES))
 
 
 GREEDY = values("doc, ord, hits", "(1, 1, array(1, 4))", "(1, 2, array(1, 3))", "(1, 3, array(2))", "(1, 4, array(9))").replace("array", "ARRAY")
@@ -463,4 +475,4 @@ GREEDY = values("doc, ord, hits", "(1, 1, array(1, 4))", "(1, 2, array(1, 3))",
 @query("heading_pages", "SELECT doc, ord, page FROM (VALUES (1, 1, 1), (1, 2, 1), (1, 3, 2), (1, 4, 9)) AS t(doc, ord, page)")
 def heading_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of each heading: the first hit not before the previous heading's page."""
-    return records.greedy_pages(spark.sql(GREEDY))
+    return records.greedy_pages(given(spark, sf_dir, GREEDY))

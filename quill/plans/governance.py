@@ -1,4 +1,4 @@
-"""Queries over inline tables: identifiers, archives, gates and records. The same VALUES stand in both engines."""
+"""Identifiers, archives, gates and records over rows derived from the data folder's tables; what still stands on VALUES has no input there. The same SQL gives the rows in both engines."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions import files, languages, times
 from ..operators import archive, gates, identifiers, quality, records
 from ..registry import query
 from .fixtures import values
+from .given import given
 
 NOTES = values("id, body", "(1, 'call `Repo.save()` then parse_all and getName')", "(2, 'see Order.items.total (x) or plain words')", "(3, 'nothing here')", "(4, 'getName again, getName twice')")
 
@@ -16,7 +17,7 @@ NOTES = values("id, body", "(1, 'call `Repo.save()` then parse_all and getName')
 @query("code_identifiers", "SELECT id, name FROM (VALUES (1, 'save'), (1, 'parse_all'), (1, 'getName'), (2, 'total'), (4, 'getName')) AS t(id, name)")
 def code_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code-shaped names in texts, each once."""
-    return identifiers.code_identifiers(spark.sql(NOTES), "id", "body").select("id", "name")
+    return identifiers.code_identifiers(given(spark, sf_dir, NOTES), "id", "body").select("id", "name")
 
 
 TOKENS = values('path, "offset", name'.replace('"offset"', "pos"), "('a.py', 0, 'save')", "('a.py', 40, 'getName')", "('b.py', 5, 'total')")
@@ -26,8 +27,8 @@ COMMENTS = values("path, lo, hi", "('a.py', 30, 60)")
 @query("absent_identifiers", f"SELECT id, name FROM (VALUES (1, 'save'), (1, 'parse_all'), (1, 'getName'), (2, 'total'), (4, 'getName')) AS t(id, name) WHERE name NOT IN (SELECT name FROM ({TOKENS}) k WHERE NOT EXISTS (SELECT 1 FROM ({COMMENTS}) c WHERE c.path = k.path AND k.pos >= c.lo AND k.pos < c.hi))")
 def absent_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that texts mention and no code outside comments has."""
-    found = identifiers.code_identifiers(spark.sql(NOTES), "id", "body")
-    return identifiers.absent_identifiers(found, "id", spark.sql(TOKENS).withColumnRenamed("pos", "offset"), spark.sql(COMMENTS)).select("id", "name")
+    found = identifiers.code_identifiers(given(spark, sf_dir, NOTES), "id", "body")
+    return identifiers.absent_identifiers(found, "id", given(spark, sf_dir, TOKENS).withColumnRenamed("pos", "offset"), given(spark, sf_dir, COMMENTS)).select("id", "name")
 
 
 CHAT = values("id, body", "(1, '[10:00] Anna: OrbitERP – Orbit Data API (prod)')", "(2, 'Luca: just words here')", "(3, 'the \"pick list\" view, GAM_VIEW')")
@@ -36,10 +37,10 @@ CHAT = values("id, body", "(1, '[10:00] Anna: OrbitERP – Orbit Data API (prod)
 @query("chat_terms", "SELECT id, term FROM (VALUES (1, 'OrbitERP'), (1, 'Orbit Data API'), (3, 'GAM_VIEW'), (3, 'pick list')) AS t(id, term)")
 def chat_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in chat lines."""
-    return identifiers.chat_terms(spark.sql(CHAT), "id", "body").select("id", "term")
+    return identifiers.chat_terms(given(spark, sf_dir, CHAT), "id", "body").select("id", "term")
 
 
-CONTENTS = values("site, pos, title, depth", "('s', 1, 'Start', 0)", "('s', 2, 'Setup', 1)", "('s', 3, 'Setup', 6)", "('s', 4, 'A & B!', 1)")
+CONTENTS = """SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, page_id AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(page_id % 7 AS INT) AS depth FROM @pages"""
 
 
 @query(
@@ -49,16 +50,16 @@ SELECT site, pos, repeat('  ', least(depth, 4)) || '- [' || title || '](#' || a
 )
 def contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of an archive, with unique anchors."""
-    return archive.toc(spark.sql(CONTENTS), "depth")
+    return archive.toc(given(spark, sf_dir, CONTENTS), "depth")
 
 
-FILE_REFS = values("pos, k, url, type, name", "(1, 0, '/a.pdf', 'PDF', 'a.pdf')", "(1, 1, '/b.zip', 'ZIP', 'b.zip')", "(2, 0, '/a.pdf', 'PDF', 'other.pdf')")
+FILE_REFS = """SELECT page_id AS pos, 0 AS k, regexp_extract(html, 'href="([^"]*)"', 1) AS url, regexp_extract(url, '^([a-z]+):', 1) AS type, url AS name FROM @pages"""
 
 
 @query("attachments_once", f"SELECT url, arg_min(type, pos * 1000 + k) AS type, arg_min(name, pos * 1000 + k) AS name FROM ({FILE_REFS}) GROUP BY url")
 def attachments_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments by URL, the first reference's name."""
-    refs = spark.sql(FILE_REFS).groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "url", "type", "name"))), lambda r: F.struct(r["url"].alias("url"), r["type"].alias("type"), r["name"].alias("name"))).alias("r"))
+    refs = given(spark, sf_dir, FILE_REFS).groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "url", "type", "name"))), lambda r: F.struct(r["url"].alias("url"), r["type"].alias("type"), r["name"].alias("name"))).alias("r"))
     return archive.attachments(refs.select("pos", F.struct(F.col("r").alias("binary_references")).alias("page")))
 
 
@@ -79,7 +80,7 @@ SELECT l.loc AS url, r.depth FROM r JOIN l ON l.url = r.url WHERE NOT l.is_index
 )
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that sitemaps list, through an index; other hosts' indexes aren't followed."""
-    return archive.sitemap_urls(spark.sql(SITEMAPS), ["https://h.com/sitemap.xml"])
+    return archive.sitemap_urls(given(spark, sf_dir, SITEMAPS), ["https://h.com/sitemap.xml"])
 
 
 CONFIGS = values("id, raw, tracked", "(1, '{\"REMOVED_LINE_CAP\": 500}', true)", "(2, '{\"REMOVED_LINE_CAP\": 500, \"SPOT_CHECK_RATE\": 0.1}', false)", "(3, '{\"REMOVED_LINE_CAP\": 50, \"SPOT_CHECK_RATE\": 0.9}', false)", "(4, '{}', true)")
@@ -92,25 +93,25 @@ SELECT id, CASE WHEN cap IS NULL THEN 200 WHEN tracked THEN cap ELSE least(cap,
 )
 def bounded_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caps from a configuration; an untracked one may only tighten them."""
-    c = spark.sql(CONFIGS).select("id", gates.config(F.col("raw"), F.col("tracked")).alias("c"))
+    c = given(spark, sf_dir, CONFIGS).select("id", gates.config(F.col("raw"), F.col("tracked")).alias("c"))
     return c.select("id", F.col("c.REMOVED_LINE_CAP").alias("cap"), F.col("c.SPOT_CHECK_RATE").alias("rate"))
 
 
-CHECKS = values("run, ord, name, outcome", "('a', 1, 'scope', 'ok')", "('a', 2, 'bound', 'fail')", "('a', 3, 'tree', 'fail')", "('b', 1, 'scope', 'advisory')", "('b', 2, 'bound', 'ok')", "('c', 1, 'scope', 'ok')")
+CHECKS = "SELECT user_id AS run, event_id AS ord, event_type AS name, CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'advisory' ELSE 'ok' END AS outcome FROM @events"
 
 
 @query("gate_verdicts", f"SELECT run, CASE max(CASE outcome WHEN 'fail' THEN 2 WHEN 'advisory' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'advisory' ELSE 'ok' END AS verdict, coalesce(list(name ORDER BY ord) FILTER (WHERE outcome = 'fail'), []) AS failed FROM ({CHECKS}) GROUP BY run")
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.verdict(spark.sql(CHECKS))
+    return gates.verdict(given(spark, sf_dir, CHECKS))
 
 
-HISTORY = values("branch, ord, ok", "('m', 1, true)", "('m', 2, true)", "('m', 3, false)", "('m', 4, true)", "('x', 1, false)")
+HISTORY = "SELECT user_id AS branch, event_id AS ord, event_type <> 'error' AS ok FROM @events"
 
 
 @query("verified_prefix", f"SELECT branch, ord, ok FROM ({HISTORY}) h WHERE NOT EXISTS (SELECT 1 FROM ({HISTORY}) b WHERE b.branch = h.branch AND b.ord <= h.ord AND NOT b.ok)")
 def verified_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits before the first that isn't verified."""
-    return gates.verified_prefix(spark.sql(HISTORY))
+    return gates.verified_prefix(given(spark, sf_dir, HISTORY))
 
 
 DIFF = values("sha, sign, content", "('a', '-', 'x = 1')", "('a', '+', 'x  =  1')", "('a', '+', '')", "('b', '-', 'y')", "('c', '+', ' ')")
@@ -123,35 +124,35 @@ FROM (SELECT sha, sign, regexp_replace(content, '\\s', '', 'g') AS c FROM ({DIFF
 )
 def mechanical_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits that change white space alone."""
-    return gates.mechanical_only(spark.sql(DIFF))
+    return gates.mechanical_only(given(spark, sf_dir, DIFF))
 
 
-STALE = values("id, observed, committed", "(1, '2026-01-01', '2026-01-08')", "(2, '2026-01-01', '2026-01-09')", "(3, 'soon', '2026-01-09')")
+STALE = "SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN event_type ELSE CAST(CAST(ts AS DATE) AS STRING) END AS observed, CAST(CAST(ts AS DATE) + CAST(event_id % 20 AS INT) AS STRING) AS committed FROM @events"
 
 
 @query("stale_observations", f"SELECT id, coalesce(date_diff('day', TRY_CAST(observed AS DATE), TRY_CAST(committed AS DATE)) > 7, true) AS stale FROM ({STALE})")
 def stale_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(STALE).select("id", gates.stale(F.col("observed"), F.col("committed")).alias("stale"))
+    return given(spark, sf_dir, STALE).select("id", gates.stale(F.col("observed"), F.col("committed")).alias("stale"))
 
 
-RULES = values("file, distance, rule", "('a', 3, 'block')", "('a', 1, NULL)", "('a', 2, 'fine')", "('b', 9, 'comment')")
+RULES = "SELECT user_id AS file, event_id AS distance, CASE WHEN event_type <> 'click' THEN event_type END AS rule FROM @events"
 
 
 @query("nearest_rules", f"SELECT file, arg_min(rule, distance) AS rule FROM ({RULES}) WHERE rule IS NOT NULL GROUP BY file")
 def nearest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.nearest_rule(spark.sql(RULES))
+    return gates.nearest_rule(given(spark, sf_dir, RULES))
 
 
-ASKED = values("path", "('Docs/A.md')", "('src/x.py')", "('none.txt')")
-TRACKED = values("path", "('docs/a.md')", "('src/x.py')")
+ASKED = "SELECT concat(source, '/', CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, '/', CAST(doc_id AS STRING)) AS path FROM @documents"
+TRACKED = "SELECT concat(d.source, '/', d.lang, '/', CAST(d.doc_id AS STRING)) AS path FROM @documents d JOIN @labels l ON l.doc_id = d.doc_id"
 
 
 @query("spelling_problems", f"SELECT a.path, CASE WHEN t.path IS NULL THEN 'not tracked' ELSE 'spelled ' || t.path END AS problem FROM ({ASKED}) a LEFT JOIN ({TRACKED}) t ON lower(t.path) = lower(a.path) WHERE t.path IS DISTINCT FROM a.path")
 def spelling_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.spelling_problems(spark.sql(ASKED), spark.sql(TRACKED))
+    return gates.spelling_problems(given(spark, sf_dir, ASKED), given(spark, sf_dir, TRACKED))
 
 
-SKILLS = values("name, description", "('good-name', 'does it')", "('Bad Name', '<b>')", "('x', NULL)")
+SKILLS = "SELECT lower(split_part(text, ' ', 1)) AS name, substr(text, 1, 40) AS description FROM @documents"
 
 
 @query(
@@ -160,19 +161,19 @@ SKILLS = values("name, description", "('good-name', 'does it')", "('Bad Name', '
   CASE WHEN coalesce(trim(description), '') = '' THEN 'no description' END, CASE WHEN regexp_matches(description, '[<>]') THEN 'description holds markup' END], lambda x: x IS NOT NULL)) AS problem FROM ({SKILLS})""",
 )
 def package_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.build_problems(spark.sql(SKILLS))
+    return gates.build_problems(given(spark, sf_dir, SKILLS))
 
 
-STYLES = values("id, doc, profile, fallback", "(1, '#00ff00', '112233', 'FFFFFF')", "(2, ' ', '#abcdef', 'FFFFFF')", "(3, NULL, NULL, 'FFFFFF')", "(4, 'red', NULL, 'FFFFFF')")
+STYLES = """SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN concat('#', substr(md5(text), 1, 6)) WHEN 1 THEN ' ' END AS doc, CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 5 > 0 THEN substr(md5(source), 1, 6) END AS profile, 'FFFFFF' AS fallback FROM @documents"""
 
 
 @query("style_settings", f"SELECT id, CASE WHEN regexp_matches(trim(v), '^#?[0-9A-Fa-f]{{6}}$') THEN upper(ltrim(trim(v), '#')) END AS color FROM (SELECT id, coalesce(nullif(trim(doc), ''), nullif(trim(profile), ''), fallback) AS v FROM ({STYLES}))")
 def style_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings by precedence, validated as colours."""
-    return spark.sql(STYLES).select("id", gates.valid_color(gates.style(F.col("doc"), F.col("profile"), F.col("fallback"))).alias("color"))
+    return given(spark, sf_dir, STYLES).select("id", gates.valid_color(gates.style(F.col("doc"), F.col("profile"), F.col("fallback"))).alias("color"))
 
 
-SOURCES = values("path", "('a/b.py')", "('Dockerfile.dev')", "('Makefile')", "('x.TSX')", "('conf.ini')", "('noext')", "('data.json')", "('.gitignore')", "('lib/x.hs')")
+SOURCES = """SELECT concat('p', CAST(doc_id AS STRING), '/', CASE doc_id % 9 WHEN 0 THEN 'b.py' WHEN 1 THEN 'Dockerfile.dev' WHEN 2 THEN 'Makefile' WHEN 3 THEN 'x.TSX' WHEN 4 THEN 'conf.ini' WHEN 5 THEN 'noext' WHEN 6 THEN 'data.json' WHEN 7 THEN '.gitignore' ELSE 'x.hs' END) AS path FROM @documents"""
 
 
 @query(
@@ -182,10 +183,10 @@ SOURCES = values("path", "('a/b.py')", "('Dockerfile.dev')", "('Makefile')", "('
 FROM (SELECT path, lower(regexp_extract(path, '[^/]*$')) AS name FROM ({SOURCES}))""",
 )
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SOURCES).select("path", languages.language(F.col("path")).alias("lang"))
+    return given(spark, sf_dir, SOURCES).select("path", languages.language(F.col("path")).alias("lang"))
 
 
-WALK = values("path", "('a/b.py')", "('node_modules/x.js')", "('a/.git/config')", "('x.min.js')", "('yarn.lock')", "('src/out/z.txt')", "('app.map')", "('keep/me.txt')")
+WALK = """SELECT concat('p', CAST(doc_id AS STRING), '/', CASE doc_id % 8 WHEN 0 THEN 'b.py' WHEN 1 THEN 'node_modules/x.js' WHEN 2 THEN '.git/config' WHEN 3 THEN 'x.min.js' WHEN 4 THEN 'yarn.lock' WHEN 5 THEN 'out/z.txt' WHEN 6 THEN 'app.map' ELSE 'me.txt' END) AS path FROM @documents"""
 
 
 @query(
@@ -194,7 +195,7 @@ WALK = values("path", "('a/b.py')", "('node_modules/x.js')", "('a/.git/config')"
 )
 def walked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a directory walk keeps."""
-    return spark.sql(WALK).filter(~files.is_skipped(F.col("path")))
+    return given(spark, sf_dir, WALK).filter(~files.is_skipped(F.col("path")))
 
 
 ENTRIES = values("ord, ident, line", "(1, 'a', 'A1')", "(2, 'b', 'B1')")
@@ -209,29 +210,29 @@ UNION ALL SELECT CAST((SELECT max(ord) FROM ({ENTRIES})) + row_number() OVER (OR
 )
 def intake_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intake with changed and new entries."""
-    return records.upsert_intake(spark.sql(ENTRIES), spark.sql(CHANGES))
+    return records.upsert_intake(given(spark, sf_dir, ENTRIES), given(spark, sf_dir, CHANGES))
 
 
-INTAKE_LINES = values("id, line", "(1, '- 2026-01-02 `r1` — the body [kind=suspected-defect state=open]')", "(2, 'prose')", "(3, '- 2026-01-03 `r2` — plain')")
+INTAKE_LINES = """SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN lang ELSE concat('- 2026-01-0', CAST(doc_id % 9 + 1 AS STRING), ' `r', CAST(doc_id AS STRING), '` — ', replace(split_part(text, ' ', 1), chr(10), ' '), CASE WHEN doc_id % 2 = 0 THEN ' [kind=suspected-defect state=open]' ELSE '' END) END AS line FROM @documents"""
 
 
 @query("intake_entries", r"SELECT id, regexp_extract(line, '^- (\S+) `([^`]+)` — (.*?)( \[([a-z]+=[^\]]*)\])?$', 1) AS date, regexp_extract(line, '`([^`]+)`', 1) AS ref, regexp_extract(line, '— (.*?)( \[|$)', 1) AS body FROM (" + INTAKE_LINES + ") WHERE line LIKE '- %'")
 def intake_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.sql(INTAKE_LINES).select("id", records.intake_fields(F.col("line")).alias("e")).filter("e is not null")
+    e = given(spark, sf_dir, INTAKE_LINES).select("id", records.intake_fields(F.col("line")).alias("e")).filter("e is not null")
     return e.select("id", "e.date", "e.ref", "e.body")
 
 
-MESSAGES = "SELECT 1 AS id, concat('consolidation: x', chr(10), chr(10), '--- consolidation-record v3 ---', chr(10), 'unit_id: u', chr(10), '--- end consolidation-record ---') AS message UNION ALL SELECT 2, 'fix: y'"
+MESSAGES = """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN concat('consolidation: ', source, chr(10), chr(10), '--- consolidation-record v3 ---', chr(10), 'unit_id: ', CAST(doc_id AS STRING), chr(10), '--- end consolidation-record ---') ELSE concat('fix: ', source) END AS message FROM @documents"""
 
 
 @query("embedded_records", f"SELECT id, CASE WHEN message LIKE '%--- end%' THEN regexp_extract(message, '(?s)v3 ---\\n(.*?)--- end', 1) END AS record, starts_with(message, 'consolidation:') AS runner FROM ({MESSAGES})")
 def embedded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records inside commit messages, and whether a runner wrote the message."""
     m = F.col("message")
-    return spark.sql(MESSAGES).select("id", records.record_text(m).alias("record"), gates.is_runner_message(m).alias("runner"))
+    return given(spark, sf_dir, MESSAGES).select("id", records.record_text(m).alias("record"), gates.is_runner_message(m).alias("runner"))
 
 
-SCOPES = values("id, scope", "(1, 'a.py, docs/x.md:10-80')", "(2, '')", "(3, 'b.md:1-2,c')")
+SCOPES = """SELECT doc_id AS id, CASE WHEN doc_id % 10 = 9 THEN '' ELSE concat(source, '.py, docs/', lang, '.md:', CAST(doc_id + 1 AS STRING), '-', CAST(doc_id + 80 AS STRING)) END AS scope FROM @documents"""
 
 
 @query(
@@ -240,7 +241,7 @@ SCOPES = values("id, scope", "(1, 'a.py, docs/x.md:10-80')", "(2, '')", "(3, 'b.
 FROM (SELECT id, trim(unnest(string_split(scope, ','))) AS e FROM ({SCOPES})) WHERE e <> ''""",
 )
 def scope_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SCOPES).select("id", F.explode(records.scope_entries(F.col("scope"))).alias("e")).select("id", "e.path", "e.lo", "e.hi")
+    return given(spark, sf_dir, SCOPES).select("id", F.explode(records.scope_entries(F.col("scope"))).alias("e")).select("id", "e.path", "e.lo", "e.hi")
 
 
 FOUND = values("doc, ord, title", "(1, 1, '1. Intro')", "(1, 2, '2. Close')", "(1, 3, '3. Use')", "(2, 1, 'Intro')")
@@ -255,7 +256,7 @@ UNION ALL SELECT d.doc, w.title || ' is missing' FROM (SELECT DISTINCT doc FROM
 )
 def chapter_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters missing from, or out of, a type's order."""
-    return quality.chapter_problems(spark.sql(FOUND), spark.sql(WANTED))
+    return quality.chapter_problems(given(spark, sf_dir, FOUND), given(spark, sf_dir, WANTED))
 
 
 CARD = values("doc, ord, line", "(1, 1, '## S01 · Start')", "(1, 2, '**Goal:** begin')", "(1, 3, 'and go on')", "(1, 4, '**Who:** Anna')", "(1, 5, '## Other')", "(1, 6, '**Goal:** no')", "(1, 7, '## To be confirmed')", "(1, 8, '- why?')", "(1, 9, '# End')", "(1, 10, 'x')")
@@ -269,7 +270,7 @@ SELECT s.doc, any_value(h.c) AS card, CAST(min(s.ord) AS INTEGER) AS ord, max(s.
 FROM s JOIN h ON h.doc = s.doc AND h.ord = s.under WHERE NOT s.head AND s.at > s.under AND h.c <> '' GROUP BY s.doc, s.under, s.at""",
 )
 def card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.card_fields(spark.sql(CARD), "doc")
+    return quality.card_fields(given(spark, sf_dir, CARD), "doc")
 
 
 @query(
@@ -279,10 +280,10 @@ SELECT s.doc, s.ord, s.line FROM s JOIN h ON h.doc = s.doc AND h.ord = s.under W
 )
 def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under a heading of open questions."""
-    return quality.to_be_confirmed(spark.sql(CARD), "doc")
+    return quality.to_be_confirmed(given(spark, sf_dir, CARD), "doc")
 
 
-PORTABLE = values("name", "('a:b?.md')", "('CON.txt')", "('ok.md')", "('dots...')", "('/')")
+PORTABLE = "SELECT DISTINCT concat(replace(split_part(text, ' ', 1), chr(10), ' '), ':', lang, CASE WHEN doc_id % 2 = 0 THEN '?.md' ELSE '...' END) AS name FROM @documents"
 
 
 @query(
@@ -291,12 +292,12 @@ PORTABLE = values("name", "('a:b?.md')", "('CON.txt')", "('ok.md')", "('dots...'
 FROM (SELECT name, rtrim(regexp_replace(name, '[<>:"/|?*\\\\]', '_', 'g'), '. ') AS base FROM ({PORTABLE}))""",
 )
 def portable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PORTABLE).select("name", archive.portable_name(F.col("name")).alias("safe"))
+    return given(spark, sf_dir, PORTABLE).select("name", archive.portable_name(F.col("name")).alias("safe"))
 
 
-SECONDS = values("s", "(0.0)", "(59.9)", "(3600.0)", "(-5.0)", "(360000.4)")
+SECONDS = "SELECT CAST(value * 97 - 300 AS DOUBLE) AS s FROM @events"
 
 
 @query("clock_strings", f"SELECT CAST(s AS DOUBLE) AS s, CASE WHEN n < 36000 THEN '0' ELSE '' END || n // 3600 || ':' || lpad(CAST(n // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT s, CAST(greatest(0, trunc(CAST(s AS DOUBLE))) AS BIGINT) AS n FROM ({SECONDS}))")
 def clock_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SECONDS).select(F.col("s").cast("double").alias("s"), times.seconds_to_clock(F.col("s").cast("double")).alias("clock"))
+    return given(spark, sf_dir, SECONDS).select(F.col("s").cast("double").alias("s"), times.seconds_to_clock(F.col("s").cast("double")).alias("clock"))

@@ -93,21 +93,50 @@ def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.filter(same).groupBy("page_id").agg(F.count_distinct(F.substring_index("target", "#", 1)).alias("n_links"))
 
 
-#: A small site with cycles, two links between the same pages and an unreachable part.
-EDGES = """SELECT * FROM (VALUES ('/', '/docs/'), ('/', '/blog/'), ('/docs/', '/docs/a/'), ('/docs/', '/docs/b/'), ('/docs/a/', '/docs/b/'),
-  ('/docs/b/', '/'), ('/docs/b/', '/docs/c/'), ('/docs/c/', '/docs/c/'), ('/docs/c/', '/docs/d/'), ('/blog/', '/docs/d/'), ('/old/', '/old/x/'), ('/docs/', '/docs/a/')) AS t(src, dst)"""
+#: Pages and the links they share as one graph: a page leads to its links in their order, a link to the pages that carry it, in the order of their ids.
+EDGES = """SELECT 'p' || page_id AS src, unnest(range(len(hs))) AS ord, 'l' || unnest(hs) AS dst FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages)
+  UNION ALL SELECT DISTINCT 'l' || unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), page_id, 'p' || page_id FROM pages"""
+
+
+def shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of EDGES."""
+    links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    page, link = F.concat(F.lit("p"), F.col("page_id").cast("string")), F.concat(F.lit("l"), F.col("href"))
+    out = links.select(page.alias("src"), F.col("pos").cast("long").alias("ord"), link.alias("dst"))
+    return out.unionByName(links.select(link.alias("src"), F.col("page_id").alias("ord"), page.alias("dst")).distinct())
 
 
 @query(
     "link_frontier_depth",
     f"""
-WITH RECURSIVE e AS ({EDGES}), r AS (
-  SELECT '/' AS key, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.key WHERE r.depth < 8
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({EDGES})), r AS (
+  SELECT 'p0' AS key, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.key WHERE r.depth < 7
 ) SELECT key, min(depth) AS depth FROM r GROUP BY key""",
 )
 def link_frontier_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages reached from the root and their depth, over the fixture graph."""
-    return graph.reachable(spark.sql("SELECT '/' AS key"), spark.sql(EDGES))
+    """Pages and links reached from page 0 in seven steps over shared links, and their depth."""
+    return graph.reachable(spark.range(1).select(F.lit("p0").alias("key")), shared_links(spark, sf_dir), 7)
+
+
+@query(
+    "visit_order",
+    f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, min(ord) AS ord FROM ({EDGES}) GROUP BY src, dst), r AS (
+  SELECT 0 AS depth, list(k ORDER BY page_id) AS front, list(k) AS seen FROM (SELECT 'p' || page_id AS k, page_id FROM pages WHERE page_id < 3)
+  UNION ALL
+  SELECT r.depth + 1, n.front, list_concat(r.seen, n.front) FROM r, LATERAL (
+    SELECT list(dst ORDER BY spot, dst) AS front FROM (
+      SELECT e.dst, min(f.i * 1000000000000 + e.ord) AS spot FROM (SELECT unnest(r.front) AS src, generate_subscripts(r.front, 1) AS i) f JOIN e ON e.src = f.src WHERE NOT list_contains(r.seen, e.dst) GROUP BY e.dst)) n
+  WHERE r.depth < 6 AND len(n.front) > 0
+), o AS (
+  SELECT depth, i, k AS key, row_number() OVER (ORDER BY depth, i) - 1 AS place FROM (SELECT depth, unnest(front) AS k, generate_subscripts(front, 1) AS i FROM r)
+)
+SELECT key, depth, place FROM o WHERE place < 400""",
+)
+def visit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 400 visits of a queue that starts with the first three pages and follows shared links, six deep at most."""
+    seeds = table(spark, sf_dir, "pages").filter("page_id < 3").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), F.col("page_id").alias("ord"))
+    return graph.visit_order(seeds, shared_links(spark, sf_dir), max_pages=400, max_depth=6)
 
 
 @query(

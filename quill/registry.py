@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = re.sub(r"@(\w+)", r"\1", sql)  # @name is a table of the data folder, see plans.given
         return f
 
     return add

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quill.operators import cuts, phrases, scans, states
+from quill.operators import cuts, graph, phrases, scans, states
 from quill.staging import numbered, written
 
 
@@ -216,3 +216,28 @@ def test_cut_files(spark):
 
 def test_written_needs_a_shared_folder_on_a_cluster(spark):
     assert written(spark.range(3), "x").count() == 3
+
+
+@pytest.mark.parametrize(("max_pages", "max_depth"), [(None, None), (40, None), (None, 3), (25, 2), (0, None)])
+def test_visit_order_is_that_of_a_queue(spark, max_pages, max_depth):
+    rng = random.Random(3)
+    links = [(f"n{rng.randrange(120)}", k, f"n{rng.randrange(150)}") for k in range(260)] + [(None, 1, "n1"), ("n1", 2, None)]
+    seeds = ["n5", "n77", "n5", None, "n9"]
+    of = {}
+    for src, k, dst in links:
+        if src and dst:
+            of.setdefault(src, []).append((k, dst))
+    queue, seen, visits = [], set(), []
+    for s in seeds:
+        if s and s not in seen:
+            seen.add(s)
+            queue.append((s, 0))
+    while queue and (max_pages is None or len(visits) < max_pages):
+        page, depth = queue.pop(0)
+        visits.append((page, depth))
+        for _, dst in sorted(of.get(page, [])):
+            if dst not in seen and (max_depth is None or depth < max_depth):
+                seen.add(dst)
+                queue.append((dst, depth + 1))
+    got = graph.visit_order(spark.createDataFrame([(s, k) for k, s in enumerate(seeds)], "key string, ord int"), spark.createDataFrame(links, "src string, ord int, dst string"), max_pages, max_depth)
+    assert [(r.key, r.depth, r.place) for r in sorted(got.collect(), key=lambda r: r.place)] == [(p, d, k) for k, (p, d) in enumerate(visits)]

@@ -145,7 +145,7 @@ def bound_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of documents as Markdown: what a line becomes follows from its length.
-MARKS = """CASE length(line) % 11 WHEN 0 THEN concat('## ', trim(substr(line, 1, 12))) WHEN 1 THEN '::: note' WHEN 2 THEN ':::' WHEN 3 THEN concat('### S', lpad(CAST(length(line) % 40 AS STRING), 2, '0'), ' · Part')
+MARKS = """CASE length(line) % 11 WHEN 0 THEN concat('## ', trim(replace(substr(line, 1, 12), '#', ''))) WHEN 1 THEN '::: note' WHEN 2 THEN ':::' WHEN 3 THEN concat('### S', lpad(CAST(length(line) % 40 AS STRING), 2, '0'), ' · Part')
   WHEN 4 THEN concat('see S', lpad(CAST(length(line) % 40 AS STRING), 2, '0')) WHEN 5 THEN '' WHEN 6 THEN '![Fig](x.png)' WHEN 7 THEN 'Table: one' WHEN 8 THEN '# Head' ELSE line END"""
 
 

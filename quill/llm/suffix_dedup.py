@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, pieces, written
+from .common import doc_key, join_hot, pieces, written
 from .textnp import column_bytes, mix, powers, prefix_hash, row_chunks, trim
 
 GRAM = 24
@@ -298,12 +298,12 @@ def _slices(length: int):
     return run
 
 
-_HITS = "key long, same binary, hits array<struct<a:int,b:int>>"
+_HITS = "key long, same binary, times long, hits array<struct<a:int,b:int>>"
 
 
 def _hit_table(t: pa.Table, hits: list) -> pa.Table:
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.table({"key": t["key"], "same": t["same"], "hits": pa.array(hits, kind)})
+    return pa.table({"key": t["key"], "same": t["same"], "times": t["times"], "hits": pa.array(hits, kind)})
 
 
 def _settle(length: int):
@@ -380,13 +380,13 @@ def _cut(length: int):
 
 
 def repeated_starts(docs: DataFrame, length: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(runs, hits): every run of starts, and for each class of runs the intervals of starts that are repeated."""
+    """(runs, hits): every run of starts, and once for each class of runs with repeats how many runs it has (times) and the intervals of starts that are repeated."""
     spark = docs.sparkSession
     runs = written(docs.select(*doc_key(), "text").mapInArrow(_run_rows(length), "key long, same binary, did long, dth long, lo int, hi int, inner boolean"), "runs")
     classes = runs.groupBy("key", "same").agg(F.count("*").alias("times"), F.min(F.struct("did", "dth", "lo", "hi")).alias("rep"), F.max("inner").alias("inner"))
     keys = classes.groupBy("key").agg(F.count("*").alias("texts"), F.sum("times").alias("all"), F.sum(F.col("rep.hi") - F.col("rep.lo") + length + 8).alias("bytes"), F.max("inner").alias("twice")).filter("all > 1 or twice")
     classes = written(classes.drop("inner").join(keys, "key").drop("all"), "classes")
-    whole = classes.filter("texts = 1 and not twice").select("key", "same", F.array(F.struct(F.lit(0).alias("a"), (F.col("rep.hi") - F.col("rep.lo")).alias("b"))).alias("hits"))
+    whole = classes.filter("texts = 1 and not twice").select("key", "same", "times", F.array(F.struct(F.lit(0).alias("a"), (F.col("rep.hi") - F.col("rep.lo")).alias("b"))).alias("hits"))
     several = classes.filter("texts > 1 or twice")
     total = several.agg(F.sum(F.col("rep.hi") - F.col("rep.lo") + length + 8)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes * 1.3))
@@ -407,8 +407,8 @@ def repeated_starts(docs: DataFrame, length: int, shard_bytes: int) -> tuple[Dat
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = big.select("*", other.alias("other")).filter("part <> other").select("*", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
     merged = pairs.groupBy("shard", "one", "two").applyInArrow(_merge(length), _HITS)
-    hits = whole.unionByName(settled).unionByName(merged)
-    return runs, hits.filter(F.size("hits") > 0)
+    found = settled.unionByName(merged).groupBy("key", "same", "times").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    return runs, written(whole.unionByName(found).filter(F.size("hits") > 0), "hits")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 3 << 20) -> DataFrame:
@@ -426,7 +426,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 3 << 2
         raise ValueError(f"length must be {2 * GRAM} or more")
     docs = docs.select("doc_id", "text")
     runs, hits = repeated_starts(docs, length, shard_bytes)
-    spans = runs.join(hits, ["key", "same"]).select("did", "dth", F.explode("hits").alias("h"), "lo").select("did", "dth", F.struct((F.col("lo") + F.col("h.a")).alias("a"), (F.col("lo") + F.col("h.b")).alias("b")).alias("h"))
+    spans = join_hot(runs, hits, ["key", "same"], "times", runs.count(), "did").select("did", "dth", F.explode("hits").alias("h"), "lo").select("did", "dth", F.struct((F.col("lo") + F.col("h.a")).alias("a"), (F.col("lo") + F.col("h.b")).alias("b")).alias("h"))
     spans = spans.groupBy("did", "dth").agg(F.collect_list("h").alias("hits"))
     keyed = docs.select("doc_id", "text", *doc_key())
     return (

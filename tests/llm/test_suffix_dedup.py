@@ -99,3 +99,14 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, row), (None, row), (3, None), (4, "y"), (4, "y")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_removed) for r in remove_repeats(df).collect())
     assert got == [(-1, 660), (-1, 660), (3, 0), (4, 0), (4, 0)]
+
+
+def test_passage_in_a_third_of_all_documents(spark):
+    """The class of one passage holds more than a thousandth of all runs, so its join with the hits is dealt out by document."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    hot = " ".join(word() for _ in range(40))
+    texts = [(hot if i % 3 == 0 else "") + " ".join(word() for _ in range(30)) for i in range(240)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in remove_repeats(df, 64).collect()}
+    assert got == dict(enumerate(brute(texts, 64)))

@@ -1,3 +1,3 @@
 """Registered queries. Importing this package fills the registry."""
 
-from . import conversations, corpus, documents, events, fixtures, governance, pages, phrases, relational  # noqa: F401
+from . import chains, conversations, corpus, documents, events, fixtures, governance, pages, phrases, relational  # noqa: F401

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,18 +53,18 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
 def lookup(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """``rows`` with the other columns of ``entries``, which have each key once; null where the key is null or not among them.
 
-    Keys of more than a thousandth of the rows, fewer than a thousand by that, are looked up in a broadcast of their entries; rows with a null key aren't shuffled at all. Both inputs are read several
+    Keys of more than a thousandth of the rows, fewer than a thousand by that, pass the driver and are looked up in a broadcast of their entries; rows with a null key aren't shuffled at all. Both inputs are read several
     times and should be tables.
     """
     more = [c for c in entries.columns if c != key]
     kind = {f.name: f.dataType for f in entries.schema.fields}
     total = rows.count()
-    often = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * 1000 > total).select(key)
-    often = written(often, "often")
+    found = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * 1000 > total).select(key).collect()
     without = rows.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(kind[c]).alias(c) for c in more))
     rows, columns = rows.filter(F.col(key).isNotNull()), without.columns
-    if often.isEmpty():
+    if not found:
         return without.unionByName(rows.join(entries, key, "left").select(*columns))
+    often = rows.sparkSession.createDataFrame([tuple(r) for r in found], StructType([rows.schema[key]]))
     hot = rows.join(F.broadcast(often), key, "left_semi").join(F.broadcast(entries.join(F.broadcast(often), key, "left_semi")), key, "left")
     cold = rows.join(F.broadcast(often), key, "left_anti").join(entries, key, "left")
     return without.unionByName(hot.select(*columns)).unionByName(cold.select(*columns))

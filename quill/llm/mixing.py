@@ -6,7 +6,7 @@ tokens it has gives the probability by which each of its documents is sampled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ def n_tokens(text: Column) -> Column:
 # --- topics: clusters of documents by their words ---------------------------------------------
 
 DIMS_OF_WORDS = 512
+#: Parts of one in components of vectors, and vectors that are worked on in one go.
+SCALE, ROWS_AT_ONCE = 1 << 14, 2048
 
 
 def word_vectors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -43,11 +45,17 @@ def word_vectors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _whole(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """:func:`word_vectors` in whole numbers of ``1 / SCALE``: sums and products of these are exact, so no result depends on how rows are dealt out."""
+    return np.rint(word_vectors(data, offs) * SCALE).astype(np.int16)
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, data, offs in _parts(b["text"]):
-            rows = [x.tobytes() for x in word_vectors(data, offs)]
-            yield pa.RecordBatch.from_arrays([b["order"].slice(i, j - i), pa.array(rows, pa.binary())], ["order", "vector"])
+            x = _whole(data, offs)
+            some = np.flatnonzero(x.any(axis=1))
+            yield pa.RecordBatch.from_arrays([b["order"].slice(i, j - i).take(pa.array(some)), pa.array([x[k].tobytes() for k in some.tolist()], pa.binary())], ["order", "vector"])
         trim()
 
 
@@ -57,38 +65,78 @@ def _parts(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, centres) of spherical k-means over the rows less their mean. The first centre is the first row, each next the one farthest
-    from those before."""
-    mean = x.mean(axis=0) if len(x) else np.zeros(DIMS_OF_WORDS, np.float32)
-    x = _centred(x, mean)
-    centres = x[:1]
-    while 0 < len(centres) < min(k, len(x)):
-        centres = np.vstack([centres, x[[int((x @ centres.T).max(axis=1).argmin())]]])
-    for _ in range(rounds if len(x) else 0):
-        at = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
-        new = np.where(np.bincount(at, minlength=len(centres))[:, None] > 0, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9), centres)
-        if np.allclose(new, centres):
-            break
-        centres = new
-    return mean, centres
-
-
 def _centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Whole vectors less the mean, of length ``SCALE`` again, in whole numbers (as doubles)."""
     x = x - mean
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return np.rint(x * (SCALE / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1)))
+
+
+def _blocks(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(order, vectors) of a batch, some rows at a time."""
+    x = column_bytes(b["vector"])[0].view(np.int16).reshape(-1, DIMS_OF_WORDS)
+    order = b["order"].to_numpy(zero_copy_only=False)
+    for i in range(0, len(x), ROWS_AT_ONCE):
+        yield order[i : i + ROWS_AT_ONCE], x[i : i + ROWS_AT_ONCE]
+
+
+def _total(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray], slots: int) -> np.ndarray:
+    """The sum over all vectors of the ``slots`` whole numbers that ``of`` gives for some of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            for _, x in _blocks(b):
+                total += of(x).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "total"])
 
-def topic_model(docs: DataFrame, topics: int = 8, sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and centres fitted on the about ``sample`` documents with the least hashes of their texts; the vectors reach the driver, 2 kB each."""
-    rows = docs.select("text", F.xxhash64("text").alias("order")).filter("text is not null")
-    n = rows.count()
-    if n > sample:
-        rows = rows.filter(uniform(F.lit("topics"), F.col("text")) < sample / n)
-    got = rows.mapInArrow(_vectors, "order long, vector binary").toArrow().sort_by([("order", "ascending"), ("vector", "ascending")])
-    return cluster(np.frombuffer(b"".join(got["vector"].to_pylist()), np.float32).reshape(-1, DIMS_OF_WORDS), topics)
+    got = vectors.mapInArrow(run, "slot long, total long").groupBy("slot").agg(F.sum("total").alias("total")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[got["slot"].to_numpy()] = got["total"].to_numpy()
+    return out
+
+
+def _farthest(vectors: DataFrame, mean: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centred vector that is least like its nearest centre; of several the one with the least order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for order, x in _blocks(b):
+                near = (_centred(x, mean) @ centres.T).max(axis=1, initial=-np.inf)
+                k = int(np.lexsort((order, near))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(near[k : k + 1]), pa.array(order[k : k + 1]), pa.array([x[k].tobytes()], pa.binary())], ["near", "order", "vector"])
+
+    best = vectors.mapInArrow(run, "near double, order long, vector binary").agg(F.min(F.struct("near", "order", "vector")).alias("m")).first()["m"]
+    return _centred(np.frombuffer(best["vector"], np.int16)[None], mean)
+
+
+def topic_model(docs: DataFrame, topics: int = 8, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, centres) of spherical k-means over the vectors of all texts with words, less their mean.
+
+    The first centre is the text with the least hash, each next the one farthest from those before. Each round reads all vectors, 1 kB each and written
+    once, and adds them up by centre in the tasks: the driver gets one total for each component of each centre.
+    """
+    rows = docs.filter("text is not null").select("text", F.xxhash64("text").alias("order"))
+    vectors = written(rows.mapInArrow(_vectors, "order long, vector binary"), "vectors")
+    n, *sums = _total(vectors, lambda x: np.append(len(x), x.sum(axis=0, dtype=np.int64)), 1 + DIMS_OF_WORDS).tolist()
+    mean = np.rint(np.array(sums) / max(n, 1))
+    centres = np.zeros((0, DIMS_OF_WORDS))
+    while len(centres) < min(topics, n):
+        centres = np.vstack([centres, _farthest(vectors, mean, centres)])
+    for _ in range(rounds if n else 0):
+
+        def add(x: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+            x = _centred(x, mean)
+            own = (np.arange(len(centres))[:, None] == (x @ centres.T).argmax(axis=1)).astype(float)
+            return np.hstack([own.sum(axis=1, keepdims=True), own @ x]).ravel()
+
+        got = _total(vectors, add, len(centres) * (1 + DIMS_OF_WORDS)).reshape(len(centres), -1).astype(float)
+        new = np.rint(got[:, 1:] * (SCALE / np.maximum(np.linalg.norm(got[:, 1:], axis=1, keepdims=True), 1)))
+        new = np.where(got[:, :1] > 0, new, centres)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return mean, centres
 
 
 def topic_of(text: Column | str, model: tuple[np.ndarray, np.ndarray]) -> Column:
@@ -98,7 +146,7 @@ def topic_of(text: Column | str, model: tuple[np.ndarray, np.ndarray]) -> Column
     def run(col: pa.Array) -> pa.Array:
         out: list[str] = []
         for _, _, data, offs in _parts(col):
-            x = word_vectors(data, offs)
+            x = _whole(data, offs)
             near = (_centred(x, mean) @ centres.T).argmax(axis=1) if len(centres) else np.zeros(len(x), np.int64)
             out += [f"t{t}" if some else NONE for t, some in zip(near.tolist(), x.any(axis=1).tolist(), strict=True)]
         trim()

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,22 @@ def test_topics_are_clusters_of_words(spark):
     assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    rng = random.Random(8)
+    kinds = [[f"{c}{k}" for k in range(40)] for c in "xyz"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2 if i % 3000 else 2]) for _ in range(60))) for i in range(9000)]  # three texts of the third kind
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mean, centres = mixing.topic_model(df, topics=3)
+    data, offs = mixing.column_bytes(pa.array([t for _, t in rows]))
+    x = np.rint(mixing.word_vectors(data, offs) * 2**14).astype(float)
+    assert np.array_equal(mean, np.rint(x.mean(axis=0)))
+    dealt = mixing.topic_model(df.repartition(7, "text"), topics=3)
+    assert np.array_equal(dealt[0], mean) and np.array_equal(dealt[1], centres)
+    got = {r.doc_id: r.t for r in df.select("doc_id", mixing.topic_of("text", (mean, centres)).alias("t")).collect()}
+    names = [{got[i] for i in range(9000) if (i % 2 if i % 3000 else 2) == k} for k in range(3)]
+    assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3
+
+
 def test_packed_pieces_carry_their_ids(spark):
     ids = {1: list(range(100, 110)), 2: [7], 3: list(range(5))}
     df = spark.createDataFrame([(k, len(v), np.array(v, "<u4").tobytes()) for k, v in ids.items()], "doc_id long, n long, ids binary").withColumn("text", F.lit("x"))

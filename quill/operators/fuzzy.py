@@ -30,6 +30,22 @@ def windows(df: DataFrame, tokens: str, most: int = MOST_WORDS) -> DataFrame:
     return sizes.select(*others, "pos", "k", F.array_join(F.slice(F.col(tokens), F.col("pos") + 1, F.col("k")), " ").alias("words"))
 
 
+def repeated_windows(df: DataFrame, key: list[str], tokens: str, most: int = MOST_WORDS) -> DataFrame:
+    """(key, words, places, width): runs of 2 to ``most`` tokens that a key says more than once, with all their places (from 0) in order.
+
+    A run that stands twice begins with a pair that stands twice, so a key's pairs are sorted and only runs from places of repeated pairs become rows. A key's rows, each with
+    places of its own, are brought together once; runs are then counted where they are. A key must fit a task.
+    """
+    said = df.groupBy(*key).agg(F.collect_list(tokens).alias("said"))
+    pairs = F.flatten(F.transform("said", lambda t, r: F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda w, i: F.struct(F.concat(w, F.lit(" "), F.get(t, i + 1)).alias("pair"), r.alias("r"), i.alias("i")))))
+    pair = lambda i: F.get(F.col("pairs"), i)["pair"]  # noqa: E731  (null beyond the ends)
+    again = F.filter("pairs", lambda x, i: F.coalesce(x["pair"] == pair(i - 1), F.lit(False)) | F.coalesce(x["pair"] == pair(i + 1), F.lit(False)))
+    spots = said.withColumn("pairs", F.array_sort(pairs)).select(*key, "said", F.explode(again).alias("x"))
+    ahead = spots.select(*key, F.col("x.i").alias("pos"), F.slice(F.get("said", F.col("x.r")), F.col("x.i") + 1, most).alias("ahead"))
+    runs = ahead.select(*key, "pos", "ahead", F.explode(F.sequence(F.lit(2), F.size("ahead"))).alias("k")).select(*key, "pos", "k", F.array_join(F.slice("ahead", 1, F.col("k")), " ").alias("words"))
+    return runs.groupBy(*key, "words").agg(F.array_sort(F.collect_list("pos")).alias("places"), F.min("k").alias("width")).filter(F.size("places") > 1)
+
+
 def _gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(trigrams of all texts as numbers, the text of each), as :func:`quill.functions.text.trigrams` pads them; not yet distinct."""
     code = np.frombuffer("".join(f"  {t} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)

@@ -180,7 +180,7 @@ SELECT conv_id, turn, words, len(places) AS count, places[1] AS first_pos FROM g
 def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two to five words that a turn says more than once, the most frequent first, then the longest, none where a better one stands."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", phrases.words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    spots = fuzzy.windows(said, "tokens").filter("k > 1").groupBy("conv_id", "turn", "words").agg(F.array_sort(F.collect_list("pos")).alias("places"), F.min("k").alias("width")).filter(F.size("places") > 1)
+    spots = fuzzy.repeated_windows(said, ["conv_id", "turn"], "tokens")
     order = [-F.size("places"), -F.col("width"), F.col("words")]
     kept = choice.best_first(spots.withColumn("said_in", F.struct("conv_id", "turn")), "said_in", order, "places", "width")
     return kept.select("conv_id", "turn", "words", F.size("places").cast("long").alias("count"), F.element_at("places", 1).cast("long").alias("first_pos"))

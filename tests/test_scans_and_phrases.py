@@ -1,11 +1,12 @@
 """Scans in levels, dictionary phrases, states along texts and cuts under caps, against plain loops."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from quill.operators import cuts, graph, phrases, scans, states
+from quill.operators import cuts, fuzzy, graph, phrases, scans, states
 from quill.staging import numbered, written
 
 
@@ -241,3 +242,18 @@ def test_visit_order_is_that_of_a_queue(spark, max_pages, max_depth):
                 queue.append((dst, depth + 1))
     got = graph.visit_order(spark.createDataFrame([(s, k) for k, s in enumerate(seeds)], "key string, ord int"), spark.createDataFrame(links, "src string, ord int, dst string"), max_pages, max_depth)
     assert [(r.key, r.depth, r.place) for r in sorted(got.collect(), key=lambda r: r.place)] == [(p, d, k) for k, (p, d) in enumerate(visits)]
+
+
+def test_only_runs_behind_repeated_pairs_become_rows(spark):
+    rng = random.Random(12)
+    rows = [(k % 40 or None, k % 3, [rng.choice("abcdef") for _ in range(rng.randrange(0, 30))]) for k in range(300)]  # several rows and null keys to a turn
+    df = spark.createDataFrame([*rows, (1, 1, None)], "c long, t long, w array<string>").repartition(3)
+    found = fuzzy.repeated_windows(df, ["c", "t"], "w")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # turns are brought together, their runs aren't shuffled any more
+    want = defaultdict(list)
+    for c, t, w in rows:
+        for n in range(2, 6):
+            for i in range(len(w) - n + 1):
+                want[c, t, " ".join(w[i : i + n])].append(i)
+    assert {(r.c, r.t, r.words): (list(r.places), r.width) for r in found.collect()} == {k: (sorted(v), k[2].count(" ") + 1) for k, v in want.items() if len(v) > 1}

@@ -31,8 +31,10 @@ def n_tokens(text: Column) -> Column:
 # --- topics: clusters of documents by their words ---------------------------------------------
 
 DIMS_OF_WORDS = 512
-#: Parts of one in components of vectors, and vectors that are worked on in one go.
-SCALE, ROWS_AT_ONCE = 1 << 14, 2048
+#: Parts of one in components of vectors, and vectors that stand in one row of a table.
+SCALE, ROWS_AT_ONCE = 1 << 14, 256
+#: No centred vector is longer; a move of a centre, in parts of one, from which on vectors are settled; how many such moves they are settled for.
+LONGEST, NEAR, AHEAD = SCALE + DIMS_OF_WORDS, 0.02, 4
 
 
 def word_vectors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -50,13 +52,25 @@ def _whole(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.rint(word_vectors(data, offs) * SCALE).astype(np.int16)
 
 
+def _row(order: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(1, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([order.astype(np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.int16).tobytes()], pa.binary()), none, none], ["orders", "vectors", "slot", "total"])
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(orders, vectors) of texts with words, up to ``ROWS_AT_ONCE`` to a row: Spark handles a row of many vectors for the price of one. Then the task's sums, the number of vectors first."""
+    total = np.zeros(1 + DIMS_OF_WORDS, np.int64)
     for b in batches:
+        orders = b["order"].to_numpy(zero_copy_only=False)
         for i, j, data, offs in _parts(b["text"]):
             x = _whole(data, offs)
-            some = np.flatnonzero(x.any(axis=1))
-            yield pa.RecordBatch.from_arrays([b["order"].slice(i, j - i).take(pa.array(some)), pa.array([x[k].tobytes() for k in some.tolist()], pa.binary())], ["order", "vector"])
+            some = x.any(axis=1)
+            x, order = x[some], orders[i:j][some]
+            total += np.append(len(x), x.sum(axis=0, dtype=np.int64))
+            for k in range(0, len(x), ROWS_AT_ONCE):
+                yield _row(order[k : k + ROWS_AT_ONCE], x[k : k + ROWS_AT_ONCE])
         trim()
+    yield _sums(total)
 
 
 def _parts(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,73 +86,130 @@ def _centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def _blocks(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(order, vectors) of a batch, some rows at a time."""
-    x = column_bytes(b["vector"])[0].view(np.int16).reshape(-1, DIMS_OF_WORDS)
-    order = b["order"].to_numpy(zero_copy_only=False)
-    for i in range(0, len(x), ROWS_AT_ONCE):
-        yield order[i : i + ROWS_AT_ONCE], x[i : i + ROWS_AT_ONCE]
+    """(order, vectors as whole doubles) of each row."""
+    for order, x in zip(b["orders"], b["vectors"], strict=True):
+        yield np.frombuffer(order.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.int16).reshape(-1, DIMS_OF_WORDS).astype(float)
 
 
-def _total(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray], slots: int) -> np.ndarray:
-    """The sum over all vectors of the ``slots`` whole numbers that ``of`` gives for some of them."""
-
+def _centred_rows(mean: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
         for b in batches:
-            for _, x in _blocks(b):
-                total += of(x).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "total"])
+            for order, x in _blocks(b):
+                yield _row(order, _centred(x, mean)).select(["orders", "vectors"])
+
+    return run
+
+
+_KINDS = "orders binary, vectors binary, slot long, total long"
 
-    got = vectors.mapInArrow(run, "slot long, total long").groupBy("slot").agg(F.sum("total").alias("total")).toArrow()
+
+def _sums(total: np.ndarray) -> pa.RecordBatch:
+    """Rows (slot, total) of a task's sums, for a table that also holds vectors."""
+    at = np.flatnonzero(total)
+    none = pa.nulls(len(at), pa.binary())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(at), pa.array(total[at])], ["orders", "vectors", "slot", "total"])
+
+
+def _added(rows: DataFrame, slots: int) -> np.ndarray:
+    """The sums over all tasks of rows (slot, total)."""
+    got = rows.filter("slot is not null").groupBy("slot").agg(F.sum("total").alias("total")).toArrow()
     out = np.zeros(slots, np.int64)
     out[got["slot"].to_numpy()] = got["total"].to_numpy()
     return out
 
 
-def _farthest(vectors: DataFrame, mean: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The centred vector that is least like its nearest centre; of several the one with the least order."""
+def _by_centre(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each centre how many of the vectors are nearest to it, and their sum; ``near`` holds their products with the centres."""
+    own = (np.arange(near.shape[1])[:, None] == near.argmax(axis=1)).astype(float)
+    return np.hstack([own.sum(axis=1, keepdims=True), own @ x]).ravel().astype(np.int64)
+
+
+def _round(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """:func:`_by_centre` over all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres) * (1 + DIMS_OF_WORDS), np.int64)
+        for b in batches:
+            for _, x in _blocks(b):
+                total += _by_centre(x, x @ centres.T)
+        yield _sums(total).select(["slot", "total"])
+
+    return _added(vectors.mapInArrow(run, "slot long, total long"), len(centres) * (1 + DIMS_OF_WORDS))
+
+
+def _parted(vectors: DataFrame, centres: np.ndarray, margin: float) -> tuple[DataFrame, np.ndarray]:
+    """(vectors whose product with their nearest centre is at most ``margin`` above that with another, :func:`_by_centre` over all other vectors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres) * (1 + DIMS_OF_WORDS), np.int64)
         for b in batches:
             for order, x in _blocks(b):
-                near = (_centred(x, mean) @ centres.T).max(axis=1, initial=-np.inf)
+                near = x @ centres.T
+                two = np.partition(near, len(centres) - 2, axis=1)[:, -2:]
+                open_ = two[:, 1] - two[:, 0] <= margin
+                total += _by_centre(x[~open_], near[~open_])
+                if open_.any():
+                    yield _row(order[open_], x[open_])
+        yield _sums(total)
+
+    got = written(vectors.mapInArrow(run, _KINDS), "parted")
+    return got.filter("vectors is not null").select("orders", "vectors"), _added(got, len(centres) * (1 + DIMS_OF_WORDS))
+
+
+def _farthest(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The vector that is least like its nearest centre; of several the one with the least order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = None
+            for order, x in _blocks(b):
+                near = (x @ centres.T).max(axis=1, initial=-np.inf)
                 k = int(np.lexsort((order, near))[0])
-                yield pa.RecordBatch.from_arrays([pa.array(near[k : k + 1]), pa.array(order[k : k + 1]), pa.array([x[k].tobytes()], pa.binary())], ["near", "order", "vector"])
+                if best is None or (near[k], order[k]) < best[:2]:
+                    best = near[k], order[k], x[k].astype(np.int16).tobytes()
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(best, (pa.float64(), pa.int64(), pa.binary()), strict=True)], ["near", "order", "vector"])
 
     best = vectors.mapInArrow(run, "near double, order long, vector binary").agg(F.min(F.struct("near", "order", "vector")).alias("m")).first()["m"]
-    return _centred(np.frombuffer(best["vector"], np.int16)[None], mean)
+    return np.frombuffer(best["vector"], np.int16)[None].astype(float)
 
 
 def topic_model(docs: DataFrame, topics: int = 8, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(mean, centres) of spherical k-means over the vectors of all texts with words, less their mean.
 
-    The first centre is the text with the least hash, each next the one farthest from those before. Each round reads all vectors, 1 kB each and written
-    once, and adds them up by centre in the tasks: the driver gets one total for each component of each centre.
+    The first centre is the text with the least hash, each next the one farthest from those before. Rounds add up all vectors, 1 kB each and written
+    once with and once without the mean, by centre in the tasks: the driver gets one total for each component of each centre. Once centres move little,
+    vectors whose nearest centre leads by more than their moves can make up for stay added up, and rounds read the others alone, which changes no sum.
     """
     rows = docs.filter("text is not null").select("text", F.xxhash64("text").alias("order"))
-    vectors = written(rows.mapInArrow(_vectors, "order long, vector binary"), "vectors")
-    n, *sums = _total(vectors, lambda x: np.append(len(x), x.sum(axis=0, dtype=np.int64)), 1 + DIMS_OF_WORDS).tolist()
+    vectors = written(rows.mapInArrow(_vectors, _KINDS), "vectors")
+    n, *sums = _added(vectors, 1 + DIMS_OF_WORDS).tolist()
     mean = np.rint(np.array(sums) / max(n, 1))
+    vectors = written(vectors.filter("vectors is not null").select("orders", "vectors").mapInArrow(_centred_rows(mean), "orders binary, vectors binary"), "centred")
     centres = np.zeros((0, DIMS_OF_WORDS))
     while len(centres) < min(topics, n):
-        centres = np.vstack([centres, _farthest(vectors, mean, centres)])
+        centres = np.vstack([centres, _farthest(vectors, centres)])
+    moved, margin, open_, settled, base = np.inf, -1.0, vectors, 0, centres
     for _ in range(rounds if n else 0):
-
-        def add(x: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
-            x = _centred(x, mean)
-            own = (np.arange(len(centres))[:, None] == (x @ centres.T).argmax(axis=1)).astype(float)
-            return np.hstack([own.sum(axis=1, keepdims=True), own @ x]).ravel()
-
-        got = _total(vectors, add, len(centres) * (1 + DIMS_OF_WORDS)).reshape(len(centres), -1).astype(float)
+        if 2 * LONGEST * _move(centres, base) >= margin and len(centres) > 1:  # someone settled might have another nearest centre by now
+            margin, open_, settled, base = -1.0, vectors, 0, centres
+            if moved < NEAR * SCALE:
+                margin = 2 * LONGEST * AHEAD * moved
+                open_, settled = _parted(vectors, centres, margin)
+        got = (settled + _round(open_, centres)).reshape(len(centres), -1).astype(float)
         new = np.rint(got[:, 1:] * (SCALE / np.maximum(np.linalg.norm(got[:, 1:], axis=1, keepdims=True), 1)))
         new = np.where(got[:, :1] > 0, new, centres)
-        if np.array_equal(new, centres):
+        moved = _move(new, centres)
+        if not moved:
             break
         centres = new
     return mean, centres
 
 
+def _move(new: np.ndarray, old: np.ndarray) -> float:
+    return float(np.linalg.norm(new - old, axis=1).max(initial=0.0))
+
+
 def topic_of(text: Column | str, model: tuple[np.ndarray, np.ndarray]) -> Column:
     """The nearest centre of a text, as t0, t1, ..; ``NONE`` for a text without words or null."""
     mean, centres = model

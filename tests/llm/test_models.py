@@ -277,6 +277,31 @@ def test_topics_are_fitted_on_all_texts(spark):
     assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3
 
 
+def test_rounds_over_open_vectors_end_as_over_all(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(rng.choice(words[20 * (i % 5) : 20 * (i % 5) + 60]) for _ in range(40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    parted = mixing._parted
+
+    def seen(vectors, centres, margin):
+        open_, settled = parted(vectors, centres, margin)
+        sizes.append(sum(len(r.orders) // 8 for r in open_.collect()))
+        assert sizes[-1] + settled.reshape(len(centres), -1)[:, 0].sum() == 3000
+        return open_, settled
+
+    monkeypatch.setattr(mixing, "_parted", seen)
+    monkeypatch.setattr(mixing, "NEAR", 0.05)
+    monkeypatch.setattr(mixing, "AHEAD", 1.5)
+    got = mixing.topic_model(df, topics=4)
+    monkeypatch.setattr(mixing, "NEAR", 0.0)
+    n = len(sizes)
+    every = mixing.topic_model(df, topics=4)
+    assert n and len(sizes) == n and min(sizes) < 3000
+    assert np.array_equal(got[0], every[0]) and np.array_equal(got[1], every[1])
+
+
 def test_packed_pieces_carry_their_ids(spark):
     ids = {1: list(range(100, 110)), 2: [7], 3: list(range(5))}
     df = spark.createDataFrame([(k, len(v), np.array(v, "<u4").tobytes()) for k, v in ids.items()], "doc_id long, n long, ids binary").withColumn("text", F.lit("x"))

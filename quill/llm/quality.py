@@ -111,10 +111,10 @@ def kth_largest(values: DataFrame, column: str, k: int, digit: int = 14) -> int
     return prefix - (1 << 64) if prefix >= 1 << 63 else prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, spare: float = 1.03, sample: int = 20_000, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, spare: float = 1.03, sample: int | None = None, seed: int = 42) -> DataFrame:
     """doc_id, text_hash, log_weight, sample_key, kept for every document.
 
-    The target is the text of rows with quality 1 in ``labels`` (doc_id, quality), of about ``sample`` such rows taken by a hash of doc_id;
+    The target is the text of all rows with quality 1 in ``labels`` (doc_id, quality), or of about ``sample`` such rows taken by a hash of doc_id;
     raw text is that of all rows. The k largest keys stay, with all that tie the last of them; k is the share ``keep`` of all rows, and by
     default ``spare`` times the share of good ones among the labels, since near the border good ones fall behind by chance. The noise depends
     on doc_id alone. A text without words has log weight 0. Without labels of quality 1
@@ -124,9 +124,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, spar
     known = written(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
     n, good = known.agg(F.count("*"), F.count_if("good")).first()
     target = known.filter("good").select("doc_id")
-    if good > sample:
+    if sample is not None and good > sample:
         target = target.filter(uniform(F.lit("fit"), F.col("doc_id")) < sample / good)
-    ratio = fit(docs.select("doc_id", "text").join(F.broadcast(target), "doc_id"), docs)  # about ``sample`` ids
+    ratio = fit(docs.select("doc_id", "text").join(target.hint("merge"), "doc_id"), docs)  # good ids grow with the rows: they are never broadcast
     model = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     keys = written(rows.mapInArrow(_weigh(model, seed), "doc_id long, text_hash long, log_weight double, sample_key double, key_order long"), "quality-keys")

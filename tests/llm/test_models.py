@@ -174,6 +174,12 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "v", 401) is None
 
 
+def test_quality_models_count_all_good_texts(spark):
+    d = spark.range(0, 30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 1000).alias("text"))
+    labels = spark.range(0, 30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))  # more than the 20,000 that were sampled once
+    assert quality.resample(d, labels).agg(F.max(F.abs("log_weight"))).first()[0] == 0  # good text and all text are the same
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 

@@ -58,8 +58,8 @@ def _row(order: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(orders, vectors) of texts with words, up to ``ROWS_AT_ONCE`` to a row: Spark handles a row of many vectors for the price of one. Then the task's sums, the number of vectors first."""
-    total = np.zeros(1 + DIMS_OF_WORDS, np.int64)
+    """(orders, vectors) of texts with words, up to ``ROWS_AT_ONCE`` to a row: Spark handles a row of many vectors for the price of one. Then the vector of the task's least order, marked, and the task's sums, the number of vectors first."""
+    total, first = np.zeros(1 + DIMS_OF_WORDS, np.int64), None
     for b in batches:
         orders = b["order"].to_numpy(zero_copy_only=False)
         for i, j, data, offs in _parts(b["text"]):
@@ -68,9 +68,35 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, order = x[some], orders[i:j][some]
             total += np.append(len(x), x.sum(axis=0, dtype=np.int64))
             for k in range(0, len(x), ROWS_AT_ONCE):
-                yield _row(order[k : k + ROWS_AT_ONCE], x[k : k + ROWS_AT_ONCE])
+                yield _marked(_row(order[k : k + ROWS_AT_ONCE], x[k : k + ROWS_AT_ONCE]))
+            first = _lesser(first, np.zeros(len(x)), order, x)
         trim()
-    yield _sums(total)
+    yield _marked(_nothing(), first)
+    yield _marked(_sums(total))
+
+
+_MARK = "near double, order long, mark binary"
+
+
+def _lesser(best: tuple | None, near: np.ndarray, order: np.ndarray, x: np.ndarray) -> tuple | None:
+    """Of ``best`` and the vectors the one with the least (near, order): these and the vector."""
+    if not len(x):
+        return best
+    k = int(np.lexsort((order, near))[0])
+    return best if best is not None and best[:2] <= (near[k], order[k]) else (float(near[k]), int(order[k]), x[k].astype(np.int16).tobytes())
+
+
+def _marked(rows: pa.RecordBatch, best: tuple | None = None) -> pa.RecordBatch:
+    """The rows with what :func:`_lesser` gave, if there is anything, as columns."""
+    for name, kind, v in zip(("near", "order", "mark"), (pa.float64(), pa.int64(), pa.binary()), best or (None,) * 3, strict=True):
+        rows = rows.append_column(name, pa.array([v] * len(rows), kind))
+    return rows
+
+
+def _least(rows: DataFrame) -> np.ndarray:
+    """The least of the tasks' marked vectors."""
+    best = rows.filter("mark is not null").agg(F.min(F.struct("near", "order", "mark")).alias("m")).first()["m"]
+    return np.frombuffer(best["mark"], np.int16)[None].astype(float)
 
 
 def _parts(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,11 +117,17 @@ def _blocks(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.frombuffer(order.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.int16).reshape(-1, DIMS_OF_WORDS).astype(float)
 
 
-def _centred_rows(mean: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _centred_rows(mean: np.ndarray, centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(orders, vectors less the mean); then the task's vector that is least like its nearest centre, marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for b in batches:
             for order, x in _blocks(b):
-                yield _row(order, _centred(x, mean)).select(["orders", "vectors"])
+                x = _centred(x, mean)
+                yield _marked(_row(order, x).select(["orders", "vectors"]))
+                best = _lesser(best, (x @ centres.T).max(axis=1), order, x)
+        yield _marked(_nothing().select(["orders", "vectors"]), best)
 
     return run
 
@@ -103,6 +135,11 @@ def _centred_rows(mean: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
 _KINDS = "orders binary, vectors binary, slot long, total long"
 
 
+def _nothing() -> pa.RecordBatch:
+    """One row of nulls."""
+    return pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.binary(), pa.binary(), pa.int64(), pa.int64())], ["orders", "vectors", "slot", "total"])
+
+
 def _sums(total: np.ndarray) -> pa.RecordBatch:
     """Rows (slot, total) of a task's sums, for a table that also holds vectors."""
     at = np.flatnonzero(total)
@@ -160,37 +197,37 @@ def _farthest(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
     """The vector that is least like its nearest centre; of several the one with the least order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for b in batches:
-            best = None
             for order, x in _blocks(b):
-                near = (x @ centres.T).max(axis=1, initial=-np.inf)
-                k = int(np.lexsort((order, near))[0])
-                if best is None or (near[k], order[k]) < best[:2]:
-                    best = near[k], order[k], x[k].astype(np.int16).tobytes()
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(best, (pa.float64(), pa.int64(), pa.binary()), strict=True)], ["near", "order", "vector"])
+                best = _lesser(best, (x @ centres.T).max(axis=1), order, x)
+        yield _marked(_nothing(), best).select(["near", "order", "mark"])
 
-    best = vectors.mapInArrow(run, "near double, order long, vector binary").agg(F.min(F.struct("near", "order", "vector")).alias("m")).first()["m"]
-    return np.frombuffer(best["vector"], np.int16)[None].astype(float)
+    return _least(vectors.mapInArrow(run, _MARK))
 
 
 def topic_model(docs: DataFrame, topics: int = 8, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(mean, centres) of spherical k-means over the vectors of all texts with words, less their mean.
 
-    The first centre is the text with the least hash, each next the one farthest from those before. Rounds add up all vectors, 1 kB each and written
+    The first centre is the text with the least hash, each next the one farthest from those before; the steps that write the vectors find the first two. Rounds add up all vectors, 1 kB each and written
     once with and once without the mean, by centre in the tasks: the driver gets one total for each component of each centre. Once centres move little,
     vectors whose nearest centre leads by more than their moves can make up for stay added up, and rounds read the others alone, which changes no sum.
     """
     rows = docs.filter("text is not null").select("text", F.xxhash64("text").alias("order"))
-    vectors = written(rows.mapInArrow(_vectors, _KINDS), "vectors")
+    vectors = written(rows.mapInArrow(_vectors, f"{_KINDS}, {_MARK}"), "vectors")
     n, *sums = _added(vectors, 1 + DIMS_OF_WORDS).tolist()
     mean = np.rint(np.array(sums) / max(n, 1))
-    vectors = written(vectors.filter("vectors is not null").select("orders", "vectors").mapInArrow(_centred_rows(mean), "orders binary, vectors binary"), "centred")
-    centres = np.zeros((0, DIMS_OF_WORDS))
+    if not min(topics, n):
+        return mean, np.zeros((0, DIMS_OF_WORDS))
+    centres = _centred(_least(vectors), mean)
+    vectors = written(vectors.filter("vectors is not null").select("orders", "vectors").mapInArrow(_centred_rows(mean, centres), f"orders binary, vectors binary, {_MARK}"), "centred")
+    if min(topics, n) > 1:
+        centres = np.vstack([centres, _least(vectors)])
+    vectors = vectors.filter("vectors is not null").select("orders", "vectors")
     while len(centres) < min(topics, n):
         centres = np.vstack([centres, _farthest(vectors, centres)])
     moved, margin, open_, settled, base = np.inf, -1.0, vectors, 0, centres
-    for _ in range(rounds if n else 0):
+    for _ in range(rounds):
         if 2 * LONGEST * _move(centres, base) >= margin and len(centres) > 1:  # someone settled might have another nearest centre by now
             margin, open_, settled, base = -1.0, vectors, 0, centres
             if moved < NEAR * SCALE:

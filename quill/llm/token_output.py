@@ -19,6 +19,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress as taken
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -276,7 +278,8 @@ class Encoder:
     added token are encoded in one go, and so is everything where the tokenizer isn't of that kind.
     """
 
-    SLOT_BITS = 20
+    SLOT_BITS, COUNT_BITS = 20, 21
+    LONG_BYTES, LONG_KEPT = 256, 50_000  # of counted pieces beyond SHORT those up to so long are kept, and so many of them
 
     def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -292,6 +295,9 @@ class Encoder:
         if self.plain:
             (self.newline,) = self._raw(["\n"])[0].tolist()
         self._forget()
+        self.counted = np.zeros((1 << self.COUNT_BITS, 2), np.uint64)  # pieces whose ids were counted, and how many those are: at most one a byte
+        self.many = np.zeros(1 << self.COUNT_BITS, np.uint8)
+        self.long_many: dict[bytes, int] = {}
 
     def _forget(self) -> None:
         n = 1 << self.SLOT_BITS
@@ -339,6 +345,22 @@ class Encoder:
             ids.append(x)
         return plain + [k for k, _ in lines + odd], np.concatenate(ids), np.concatenate(lens)
 
+    def _lengths(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of ids of each piece, as :meth:`_encode_pieces` encodes it; no ids are gathered."""
+        out, rest = np.zeros(len(pieces), np.int64), [k for k, p in enumerate(pieces) if b"\n" in p]
+        lined = [k for k, p in enumerate(pieces) if b"\n" not in p] if rest else range(len(pieces))
+        joined = b"\n".join([pieces[k] for k in lined] if rest else pieces)
+        seen = _VISIBLE[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        cores = [t[1:] if t[:1] == " " else t for t in joined.decode().split("\n")]
+        plain = [c.isalpha() or (c.isdigit() and c.isascii()) for c in cores]
+        tokenize = self.tok.model.tokenize
+        out[list(taken(lined, plain))] = [len(tokenize(v)) for v in taken(seen, plain)]
+        rest += [k for k, p in zip(lined, plain, strict=False) if not p]  # no piece: one empty string
+        if rest:
+            order, _, lens = self._encode_pieces([pieces[k] for k in rest])
+            out[np.array(rest)[order]] = lens
+        return out
+
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of pieces that the table lacks, all different."""
         order, ids, lens = self._encode_pieces(pieces)
@@ -355,27 +377,38 @@ class Encoder:
         self.count = many
         return numbers
 
-    def _numbers(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of every piece in the table, each row's number of pieces)."""
-        if self.count > self.keep:
-            self._forget()
+    @staticmethod
+    def _keys(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the bytes, each piece's start, size, two words that hold it if it is short, and hash; each row's number of pieces)."""
         starts, many = _pieces(data, offs)
         size = np.diff(np.append(starts, len(data)))
         raw = data.tobytes() + bytes(16)
         at = np.ndarray(len(data) + 9, "<u8", raw, 0, (1,))  # the 8 bytes from each place on
         one = at[starts] & _MASK[np.minimum(size, 8)]
         two = at[starts + np.minimum(size, 8)] & _MASK[np.clip(size - 8, 0, 7)] | (size.astype(np.uint64) << np.uint64(56))
-        place = (mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> np.uint64(64 - self.SLOT_BITS)).astype(np.intp)
+        return raw, starts, size, one, two, mix(one * np.uint64(0x9E3779B97F4A7C15) + two), many
+
+    @staticmethod
+    def _heads(miss: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of missed pieces with equal ones side by side, the first of each, which of these each place equals)."""
+        miss = miss[np.lexsort((one[miss], two[miss]))]
+        new = np.append(True, (one[miss[1:]] != one[miss[:-1]]) | (two[miss[1:]] != two[miss[:-1]]))
+        return miss, miss[new], np.cumsum(new) - 1
+
+    def _numbers(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece in the table, each row's number of pieces)."""
+        if self.count > self.keep:
+            self._forget()
+        raw, starts, size, one, two, hashed, many = self._keys(data, offs)
+        place = (hashed >> np.uint64(64 - self.SLOT_BITS)).astype(np.intp)
         number = self.slot[place].astype(np.int64)
         short = size <= SHORT
         miss = np.flatnonzero(short & ((self.words[0, place] != one) | (self.words[1, place] != two)))
         cut = lambda k: [raw[x : x + n] for x, n in zip(starts[k].tolist(), size[k].tolist(), strict=True)]
         if len(miss):
-            miss = miss[np.lexsort((one[miss], two[miss]))]
-            new = np.append(True, (one[miss[1:]] != one[miss[:-1]]) | (two[miss[1:]] != two[miss[:-1]]))
-            head = miss[new]
+            miss, head, which = self._heads(miss, one, two)
             numbers = self._learn(cut(head))
-            number[miss] = numbers[np.cumsum(new) - 1]
+            number[miss] = numbers[which]
             self.words[:, place[head]], self.slot[place[head]] = (one[head], two[head]), numbers
         long = np.flatnonzero(~short)
         if len(long):
@@ -386,6 +419,33 @@ class Encoder:
             number[long] = [self.long[p] for p in found]
         return number, many
 
+    def _counts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of every piece, each row's number of pieces); what was counted stays in a table of its own, where a piece takes the place of another with its slot."""
+        raw, starts, size, one, two, hashed, many = self._keys(data, offs)
+        place = (hashed >> np.uint64(64 - self.COUNT_BITS)).astype(np.intp)
+        number = self.many[place].astype(np.int64)
+        short = size <= SHORT
+        known = self.counted[place]
+        miss = np.flatnonzero(short & ((known[:, 0] != one) | (known[:, 1] != two)))
+        cut = lambda k: [raw[x : x + n] for x, n in zip(starts[k].tolist(), size[k].tolist(), strict=True)]
+        if len(miss):
+            miss, head, which = self._heads(miss, one, two)
+            got = self._lengths(cut(head))
+            number[miss] = got[which]
+            _, alone = np.unique(place[head], return_index=True)  # of pieces with one slot the first is kept
+            head, got = head[alone], got[alone]
+            self.counted[place[head]], self.many[place[head]] = np.stack([one[head], two[head]], axis=1), got
+        long = np.flatnonzero(~short)
+        if len(long):
+            found = cut(long)
+            new = list(dict.fromkeys(p for p in found if p not in self.long_many))
+            got = dict(zip(new, self._lengths(new).tolist(), strict=True)) if new else {}
+            number[long] = [got[p] if p in got else self.long_many[p] for p in found]
+            if len(self.long_many) + len(got) > self.LONG_KEPT:
+                self.long_many.clear()
+            self.long_many.update((p, n) for p, n in islice(got.items(), self.LONG_KEPT) if len(p) <= self.LONG_BYTES)
+        return number, many
+
     def _odd(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Rows that are encoded in one go."""
         rows = [_odd_rows(data, offs)]
@@ -407,8 +467,8 @@ class Encoder:
             return np.ones(len(offs) - 1, np.int64)
         if not self.plain:
             return np.array([len(x) + 1 for x in self._whole(data, offs, np.arange(len(offs) - 1))], np.int64)
-        number, many = self._numbers(data, offs)
-        total = np.append(0, np.cumsum(self.begin[number + 1] - self.begin[number]))[np.append(0, np.cumsum(many))]
+        number, many = self._counts(data, offs)
+        total = np.append(0, np.cumsum(number))[np.append(0, np.cumsum(many))]
         lengths = np.diff(total) + 1
         odd = self._odd(data, offs)
         if len(odd):

@@ -283,6 +283,24 @@ def test_topics_are_fitted_on_all_texts(spark):
     assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3
 
 
+def test_first_two_centres_come_with_the_vectors(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(20 * (i % 7), 20 * (i % 7) + 50)]) for _ in range(30)) for i in range(700)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    known, farthest = [], mixing._farthest
+    monkeypatch.setattr(mixing, "_farthest", lambda vectors, centres: known.append(len(centres)) or farthest(vectors, centres))
+    mean, got = mixing.topic_model(df, topics=5, rounds=0)
+    assert known == [2, 3, 4]  # the passes over all vectors that only look for a centre
+    data, offs = mixing.column_bytes(pa.array(texts))
+    x = mixing._centred(np.rint(mixing.word_vectors(data, offs) * 2**14), mean)
+    order = np.array([r.h for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(F.xxhash64("text").alias("h")).collect()])
+    want = [int(order.argmin())]
+    while len(want) < 5:
+        want.append(int(np.lexsort((order, (x @ x[want].T).max(axis=1)))[0]))
+    assert np.array_equal(got, x[want])
+    assert [len(mixing.topic_model(df, topics=k, rounds=1)[1]) for k in (0, 1, 2)] == [0, 1, 2]
+
+
 def test_rounds_over_open_vectors_end_as_over_all(spark, monkeypatch):
     rng = random.Random(12)
     words = [f"w{k}" for k in range(200)]

@@ -35,6 +35,20 @@ def test_encoder_equals_whole_text():
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
 
 
+def test_counting_keeps_no_ids(monkeypatch):
+    rng = random.Random(5)
+    texts = [*ODD, *(" ".join("".join(rng.choice("abcdefgé7.") for _ in range(rng.choice([3, 9, 15, 16, 40]))) for _ in range(40)) for _ in range(40))]
+    want = [len(e.ids) + 1 for e in plain().encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(Encoder, "COUNT_BITS", 5, raising=False)  # nearly every piece takes another's slot
+    monkeypatch.setattr(Encoder, "LONG_KEPT", 7, raising=False)
+    monkeypatch.setattr(Encoder, "LONG_BYTES", 30, raising=False)
+    enc = Encoder(PATH)
+    for rows in (texts, texts[::-1], texts[:1], ODD):
+        data, offs = column_bytes(pa.array(rows))
+        assert enc.count_ids(data, offs).tolist() == [want[texts.index(t)] for t in rows]
+    assert enc.count == 1 and not enc.long and len(enc.long_many) <= 7
+
+
 def thue_morse(n=1024):
     """A word and its complement, on which polynomial hashes modulo a power of two collide whatever their base."""
     bits = [k.bit_count() % 2 for k in range(n)]

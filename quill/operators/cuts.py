@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +75,56 @@ def cut_files(units: DataFrame, pairs: DataFrame, key: str, caps: dict[str, int]
     ranges = written(greedy_parts(upward, key, "place", caps).groupBy(key, "part").agg(F.max("hi").alias("hi"), F.sum("n_units").alias("n_units"), *sums), "ranges")
     above = ranges.select(key, (F.col("part") - 1).alias("part"), (F.col("hi") + 1).alias("lo"))
     return ranges.join(above, [key, "part"], "left").select(key, "part", F.coalesce("lo", F.lit(1)).cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "n_units", *caps)
+
+
+def _upward(row: np.ndarray, weights: list[np.ndarray], caps: list[int]) -> np.ndarray:
+    """The part of each block, from 0 at the last of its row upward: blocks go on in a part while its sums stay under all caps."""
+    out, sums, part, own = [], [], 0, None
+    for r, *w in zip(row[::-1].tolist(), *(x[::-1].tolist() for x in weights), strict=True):
+        more = [a + b for a, b in zip(sums, w, strict=False)]
+        if r != own:
+            own, part, sums = r, 0, w
+        elif any(a > cap for a, cap in zip(more, caps, strict=True)):
+            part, sums = part + 1, w
+        else:
+            sums = more
+        out.append(part)
+    return np.array(out[::-1], np.int32)
+
+
+def cut_rows(files: DataFrame, key: str, units: str, caps: dict[str, int]) -> DataFrame:
+    """What :func:`cut_files` gives for files whose units stand in their row, and whose spans go from a unit to the last of its kind; each row is a file.
+
+    ``units`` is an array of structs with the fields sl, kind and those of ``caps`` (whole numbers), a unit a line, in the order of sl. Nothing is shuffled. Rows with a null key, and those without
+    units, are left out. A row takes as long as it has units, and some 20 times its size; longer files are for :func:`cut_files`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b["u"].flatten()
+            if not len(flat):
+                continue
+            sl, kind, *weights = flat.flatten()
+            sl, weights = sl.to_numpy(), [w.to_numpy() for w in weights]
+            row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(b["u"]), 0).to_numpy())
+            place = np.arange(len(row))
+            codes = kind.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+            _, which = np.unique(row * (codes.max() + 1) + codes, return_inverse=True)
+            last = np.zeros(which.max() + 1, np.int64)
+            np.maximum.at(last, which, place)
+            far = np.maximum.accumulate(last[which])  # no unit of an earlier row reaches this one
+            first = np.flatnonzero(np.append(True, far[:-1] < place[1:]))
+            many, end = np.diff(np.append(first, len(row))), np.append(first[1:], len(row)) - 1
+            sums = [np.add.reduceat(w, first) for w in weights]
+            part = _upward(row[first], sums, list(caps.values()))
+            head = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (row[first[1:]] != row[first[:-1]])))
+            hi = sl[end[np.append(head[1:], len(part)) - 1]]
+            same = np.append(False, row[first[head[1:]]] == row[first[head[:-1]]])
+            lo = np.where(same, np.append(0, hi[:-1]) + 1, 1)
+            cols = [pa.array(x) for x in (part[head], lo, hi, *(np.add.reduceat(x, head) for x in (many, *sums)))]
+            yield pa.RecordBatch.from_arrays([b["k"].take(pa.array(row[first[head]])), *cols], ["k", "part", "lo", "hi", "n_units", *caps])
+
+    fields = lambda u: F.struct(u["sl"].cast("long").alias("sl"), u["kind"].alias("kind"), *(u[w].cast("long").alias(w) for w in caps))
+    rows = files.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.transform(units, fields).alias("u"))
+    out = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, part int, lo long, hi long, n_units long, {', '.join(f'`{w}` long' for w in caps)}")
+    return out.withColumnRenamed("k", key)

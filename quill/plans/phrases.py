@@ -104,6 +104,7 @@ def page_piece_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNIT_CAP, ROW_CAP = 8, 24
+LONG_TEXT = 1 << 22
 _UNITS = rf"SELECT doc_id, ord, {NORM_SQL.format('line')} AS norm, CAST(ceil(length(line) / 80.0) AS BIGINT) AS n_rows FROM ({_LINES}) WHERE trim(line) <> ''"
 
 
@@ -130,11 +131,19 @@ WITH RECURSIVE u AS MATERIALIZED (
 SELECT doc_id, part, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY part DESC) + 1, 1) AS lo, hi, n_units, n_rows FROM r""",
 )
 def cut_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's lines cut from the bottom into ranges of at most 8 units and 24 printed rows, where no cut parts a repeated line from the first of its kind."""
-    rows = units.line_units(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("ord", F.col("ord").cast("long"))
-    rows = written(rows.select("doc_id", "ord", tx.norm(F.col("line")).alias("norm"), F.ceil(F.length("line") / 80).alias("n_rows")), "units")
-    first = rows.groupBy("doc_id", "norm").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("doc_id", "lo", "hi")
-    out = cuts.cut_files(rows.select("doc_id", F.col("ord").alias("sl"), F.col("ord").alias("el"), F.lit(1).cast("long").alias("n"), "n_rows"), first, "doc_id", {"n": UNIT_CAP, "n_rows": ROW_CAP})
+    """Every document's lines cut from the bottom into ranges of at most 8 units and 24 printed rows, where no cut parts a repeated line from the first of its kind.
+
+    Documents are cut in their rows; lines of those longer than ``LONG_TEXT`` bytes become rows of their own, of which one document may have more than a task holds.
+    """
+    docs, caps, long = table(spark, sf_dir, "documents").select("doc_id", "text"), {"n": UNIT_CAP, "n_rows": ROW_CAP}, F.octet_length("text") > LONG_TEXT
+    unit = lambda line, k: F.struct((k + 1).alias("sl"), tx.norm(line).alias("kind"), F.lit(1).alias("n"), F.ceil(F.length(line) / 80).alias("n_rows"), (F.trim(line) != "").alias("said"))
+    lines = F.filter(F.transform(F.split("text", "\r?\n"), unit), lambda u: u["said"])
+    out = cuts.cut_rows(docs.filter(~long).select("doc_id", lines.alias("units")), "doc_id", "units", caps)
+    if not docs.filter(long).isEmpty():
+        rows = units.line_units(docs.filter(long)).withColumn("ord", F.col("ord").cast("long"))
+        rows = written(rows.select("doc_id", "ord", tx.norm(F.col("line")).alias("norm"), F.ceil(F.length("line") / 80).alias("n_rows")), "units")
+        first = rows.groupBy("doc_id", "norm").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("doc_id", "lo", "hi")
+        out = out.unionByName(cuts.cut_files(rows.select("doc_id", F.col("ord").alias("sl"), F.col("ord").alias("el"), F.lit(1).cast("long").alias("n"), "n_rows"), first, "doc_id", caps))
     return out.drop("n")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quill.operators import cuts, fuzzy, graph, phrases, scans, states
+from quill.plans import phrases as phrase_queries
 from quill.staging import numbered, written
 
 
@@ -215,6 +216,36 @@ def test_cut_files(spark):
     assert sorted((r.f, r.part, r.lo, r.hi, r.n_units) for r in got) == sorted(want)
 
 
+def test_cut_rows(spark):
+    rng = random.Random(13)
+    files, rows = {}, []
+    for f in range(40):
+        ats = sorted(rng.sample(range(1, 200), rng.choice([0, 1, 2, 30, 90])))
+        files[f] = [(at, rng.choice(["a", "b", "", None]) if rng.random() < 0.1 else f"{f} {at}", rng.choice([0, 1, 3, 40])) for at in ats]
+        rows.append((f, [(at, kind, n, 1, "x") for at, kind, n in files[f]]))
+    rows += [(None, rows[3][1]), (99, None)]
+    df = spark.createDataFrame(rows, "f int, u array<struct<sl: int, kind: string, n: long, one: int, other: string>>").repartition(3)
+    got = cuts.cut_rows(df, "f", "u", {"one": 7, "n": 15}).collect()
+    want = []
+    for f, us in files.items():
+        pairs = {k: (min(a for a, q, _ in us if q == k), max(a for a, q, _ in us if q == k)) for _, k, _ in us}
+        want += [(f, *r) for r in (brute_cuts([(a, a, n) for a, _, n in us], pairs.values(), (7, 15)) if us else [])]
+    assert sorted((r.f, r.part, r.lo, r.hi, r.n_units) for r in got) == sorted(want)
+    assert {f: sum(r.n for r in got if r.f == f) for f in files} == {f: sum(n for _, _, n in us) for f, us in files.items()}
+
+
+def test_cut_ranges_shuffles_no_lines_of_ordinary_documents(spark, tmp_path, monkeypatch):
+    rng = random.Random(14)
+    texts = [None, "", "\n \n", "one"] + ["\n".join(rng.choice(["a", "A ", " ", "b\tc", "x" * 200, f"{rng.random()}"]) for _ in range(rng.choice([3, 40, 120]))) for _ in range(30)]
+    spark.createDataFrame([*enumerate(texts), (None, "a\nb")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(phrase_queries, "LONG_TEXT", 900, raising=False)
+    both = sorted(map(tuple, phrase_queries.cut_ranges(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(phrase_queries, "LONG_TEXT", 1 << 22, raising=False)
+    for module in (phrase_queries, cuts):
+        monkeypatch.setattr(module, "written", None)
+    assert sorted(map(tuple, phrase_queries.cut_ranges(spark, str(tmp_path)).collect())) == both and len({r[0] for r in both}) > 20
+
+
 def test_written_needs_a_shared_folder_on_a_cluster(spark):
     assert written(spark.range(3), "x").count() == 3
 
